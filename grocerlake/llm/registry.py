@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import language_id, mixing, sharding, token_binary
 
 QUERIES = {
     "op3_source_mix": mixing.op3_source_mix,
+    "op4_language_id": language_id.op4_language_id,
+    "op5_token_binary": token_binary.op5_token_binary,
     "op8_shard": sharding.op8_shard,
 }
 
