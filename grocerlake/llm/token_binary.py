@@ -58,6 +58,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer, self._limit = Tokenizer.from_file(path), cache_words
+        special = {t.content: i for i, t in self._tokenizer.get_added_tokens_decoder().items() if t.special}
+        self._parter = max(special.items(), key=lambda x: x[1])
         self._clear()
 
     def _clear(self):
@@ -66,19 +68,25 @@ class WordEncoder:
         self._from, self._n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
     def _learn(self, hashes: list[int], pieces: list[str]):
-        got = [e.ids for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32)
+        # all in one call, parted by a special token, whose id marks the pieces' ends
+        whole = self._parter[0].join(pieces) + self._parter[0]
+        flat = np.array(self._tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, np.uint32)
+        marks = np.flatnonzero(flat == self._parter[1])
+        if len(marks) != len(pieces):  # a piece holds that token's text
+            got = [e.ids for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            flat, n = np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int32)
+        else:
+            flat, n = np.delete(flat, marks), (np.diff(marks, prepend=-1) - 1).astype(np.int32)
         first, total = len(self._known), self._used + len(flat)
         while len(self._ids) < total:
             self._ids = np.concatenate((self._ids, np.zeros_like(self._ids)))
-        while len(self._from) < first + len(got):
+        while len(self._from) < first + len(n):
             self._from, self._n = np.concatenate((self._from, np.zeros_like(self._from))), np.concatenate((self._n, np.zeros_like(self._n)))
-        n = np.array([len(ids) for ids in got], np.int32)
         self._ids[self._used : total] = flat
-        self._n[first : first + len(got)] = n
-        self._from[first : first + len(got)] = self._used + np.cumsum(n) - n
+        self._n[first : first + len(n)] = n
+        self._from[first : first + len(n)] = self._used + np.cumsum(n) - n
         self._used = total
-        self._known.update(zip(hashes, range(first, first + len(got))))
+        self._known.update(zip(hashes, range(first, first + len(n))))
 
     def _encode(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the joined texts, and how many of them each text has."""
@@ -164,16 +172,21 @@ def compress(ids: np.ndarray, vocabulary: int, rounds: int = ROUNDS, round_rules
         at = np.flatnonzero(flag[slot])
         if not len(at):
             break
-        pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-        kinds, which, uses = np.unique(pair, return_inverse=True, return_counts=True)
+        # of the pairs that share a slot, the first one stands for it in this round
+        pair, own = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], slot[at]
+        first_of = np.zeros(1 << 20, np.uint64)
+        first_of[own[::-1]] = pair[::-1]
+        same = pair == first_of[own]
+        at, own = at[same], own[same]
+        uses = np.bincount(own, minlength=1 << 20)
         best = np.argsort(-uses, kind="stable")[:round_rules]
         best = best[uses[best] >= min_uses]
         if not len(best):
             break
-        new = np.zeros(len(kinds), np.uint32)
+        new = np.zeros(1 << 20, np.uint32)
         new[best] = vocabulary + len(rules) + np.arange(len(best), dtype=np.uint32)
-        taken = new[which] > 0
-        at, symbol = at[taken], new[which][taken]
+        symbol = new[own]
+        at, symbol = at[symbol > 0], symbol[symbol > 0]
         # in a run of overlapping occurrences every second one is replaced
         first = np.concatenate(([True], np.diff(at) > 1))
         place = np.arange(len(at)) - np.flatnonzero(first)[np.cumsum(first) - 1]
@@ -182,7 +195,7 @@ def compress(ids: np.ndarray, vocabulary: int, rounds: int = ROUNDS, round_rules
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        rules = np.concatenate((rules, np.column_stack((kinds[best] >> np.uint64(32), kinds[best] & np.uint64(0xFFFFFFFF))).astype(np.uint32)))
+        rules = np.concatenate((rules, np.column_stack((first_of[best] >> np.uint64(32), first_of[best] & np.uint64(0xFFFFFFFF))).astype(np.uint32)))
     return seq, rules
 
 
