@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, sharding, token_binary
+from . import language_id, media, mixing, quality, sharding, token_binary
 
 QUERIES = {
     "op3_source_mix": mixing.op3_source_mix,
     "op4_language_id": language_id.op4_language_id,
     "op5_token_binary": token_binary.op5_token_binary,
     "op8_shard": sharding.op8_shard,
+    "op9_media_chunks": media.op9_media_chunks,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES = {
