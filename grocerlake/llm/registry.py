@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language_id, media, mixing, quality, sharding, token_binary
+from . import language_id, licenses, media, mixing, quality, sharding, token_binary
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op3_source_mix": mixing.op3_source_mix,
     "op4_language_id": language_id.op4_language_id,
     "op5_token_binary": token_binary.op5_token_binary,
