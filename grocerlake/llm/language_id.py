@@ -42,17 +42,11 @@ def fit_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_cha
     Empty and null texts are never sampled.  No labelled rows: no dictionaries.
     """
     labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    keyed = labelled.select("lang", "text", F.xxhash64("doc_id").alias("_h")).withColumn("_slot", F.pmod("_h", F.lit(sample_docs)))
-    chosen = keyed.groupBy("lang", "_slot").agg(F.min("_h").alias("_h"))
-    rows = (
-        keyed.join(chosen, ["lang", "_slot", "_h"])
-        .select("lang", "_slot", F.substring("text", 1, sample_chars).alias("piece"))
-        .groupBy("lang", "_slot")
-        .agg(F.min("piece").alias("piece"))
-        .collect()
-    )
+    keyed = labelled.select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, sample_chars).alias("piece"))
+    slots = keyed.groupBy("lang", F.pmod("h", F.lit(sample_docs)).alias("slot")).agg(F.min(F.struct("h", "piece"))["piece"].alias("piece"))
+    rows = slots.collect()
     pieces: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r._slot)):
+    for r in sorted(rows, key=lambda r: (r.lang, r.slot)):
         pieces.setdefault(r.lang, []).append(r.piece)
     return {lang: "\n".join(p).lower().encode() for lang, p in sorted(pieces.items())}
 
