@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import language_id, licenses, media, mixing, quality, sharding, token_binary
+from . import html_text, language_id, licenses, media, mixing, quality, sharding, token_binary
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op3_source_mix": mixing.op3_source_mix,
     "op4_language_id": language_id.op4_language_id,
     "op5_token_binary": token_binary.op5_token_binary,
+    "op7_main_text": html_text.op7_main_text,
     "op8_shard": sharding.op8_shard,
     "op9_media_chunks": media.op9_media_chunks,
     "op10_quality": quality.op10_quality,
