@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import html_text, language_id, licenses, media, mixing, quality, sharding, token_binary
+from . import decontamination, html_text, language_id, licenses, media, mixing, quality, sharding, token_binary
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op3_source_mix": mixing.op3_source_mix,
     "op4_language_id": language_id.op4_language_id,
     "op5_token_binary": token_binary.op5_token_binary,
+    "op6_decontaminate": decontamination.op6_decontaminate,
     "op7_main_text": html_text.op7_main_text,
     "op8_shard": sharding.op8_shard,
     "op9_media_chunks": media.op9_media_chunks,
@@ -17,5 +18,6 @@ QUERIES = {
 
 ORACLES = {
     "op3_source_mix": mixing.OP3_SQL,
+    "op6_decontaminate": decontamination.OP6_SQL,
     "op8_shard": sharding.OP8_SQL,
 }
