@@ -82,7 +82,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, min_consistency: float = MIN_CONSISTENCY) -> DataFrame:
     """A row for each document (doc_id, text) and benchmark item (item_id, text) it contains.
 
-    Columns: doc_id, item_id, windows (of the item), matched, slots (compared), changed (of
+    Columns: doc_id, row_key (hash of id and text), item_id, windows (of the item), matched, slots (compared), changed (of
     them), consistency.  A document is known by id and text: equal rows give one row.
     Null and short texts contain nothing, and items without a countable window are never found.  Other columns are ignored.
     """
@@ -109,12 +109,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, min_coverage: floa
     checked = by_value.groupBy("_key", "item_id").agg(F.sum("n").alias("slots"), F.sum("c").alias("changed"), (F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)) / F.sum("n")).alias("consistency"))
     whole = held.select("doc_id", "_key").join(covered, "_key").join(checked, ["_key", "item_id"], "left")
     return whole.select(
-        "doc_id", "item_id", "windows", "matched", F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), F.coalesce("changed", F.lit(0)).cast("long").alias("changed"), F.coalesce("consistency", F.lit(1.0)).alias("consistency")
+        "doc_id", F.col("_key").alias("row_key"), "item_id", "windows", "matched", F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), F.coalesce("changed", F.lit(0)).cast("long").alias("changed"), F.coalesce("consistency", F.lit(1.0)).alias("consistency")
     ).where(F.col("consistency") >= min_consistency)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that hold no item, with all their columns."""
+    found = materialize(find_contamination(docs, benchmark).select("row_key").distinct())
+    return docs.join(found, F.xxhash64("doc_id", "text") == F.col("row_key"), "left_anti")
 
 
 def _words_sql(text: str) -> str:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language_id, licenses, media, mixing, quality, sharding, token_binary
+from . import decontamination, html_text, language_id, licenses, media, mixing, ngram_jaccard, quality, sharding, token_binary
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op2_ngram_jaccard": ngram_jaccard.op2_ngram_jaccard,
     "op3_source_mix": mixing.op3_source_mix,
     "op4_language_id": language_id.op4_language_id,
     "op5_token_binary": token_binary.op5_token_binary,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_ngram_jaccard": ngram_jaccard.OP2_SQL,
     "op3_source_mix": mixing.OP3_SQL,
     "op6_decontaminate": decontamination.OP6_SQL,
     "op8_shard": sharding.OP8_SQL,
