@@ -1,10 +1,10 @@
 """Exact n-gram Jaccard join by a token-group matrix.
 
-A document is its set of distinct 5-word shingles.  Sets that may be similar share a rare
-shingle: one of the first of theirs in a common order, as many as may be missing and one more.
-Sets are grouped by such a shingle; the matrix tells which groups hold which
-shingles, and which groups a set could be similar to.  A group is opened by
-those sets only of which enough shingles are in the union of its members'.
+A document is its set of distinct 5-word shingles.  Sets are read in a common order, rare
+shingles first.  Of similar sets at most a fifth of the shingles are missing, so
+among the first ones, that many and k more, they share k.  Sets are grouped by such a
+shingle; the matrix tells which groups hold which shingles, and thus which groups a set can be similar to at all.
+A group is opened by those sets only of which enough shingles are in the union of its members'.
 
 Equal sets are one set all along.  Links are reported as a spanning forest:
 pairs that are connected already are not compared.
@@ -29,6 +29,8 @@ N, PERCENT = 5, 80
 FREQUENT = 100_000
 #: A shingle can be frequent if so many sets of a sample-free count block of this many shingles have it.
 COUNT_BLOCK, COUNT_LEAST = 4_000_000, 4
+#: Bits, as a power of two, of the table of sets to be compared: 8 MB at any size of data.
+BIT_SLOTS = 26
 #: Sets of a group that are compared in one cell, as queries and as members.
 QUERY_BLOCK, MEMBER_BLOCK = 256, 1024
 #: Groups of more sets are first linked through so many of them.
@@ -91,33 +93,62 @@ def _texts(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, list[bytes]]]:
         yield lo, out
 
 
-def _frequent(docs: DataFrame, n: int) -> np.ndarray:
-    """Frequent shingles, the rarer first.  Counts are of distinct texts of a part of the table, summed."""
+def _describe(docs: DataFrame, n: int) -> DataFrame:
+    """Each row's set id and size, and counts of shingles that are frequent in some block of the table.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Rows of documents have a null shingle.  Counts are of distinct texts of a task.
+    """
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
+        names = ["doc_id", "sid", "size", "shingle"]
 
         def often():
             kinds, n_sets = np.unique(np.concatenate(held), return_counts=True)
             keep = n_sets >= COUNT_LEAST
-            return pa.record_batch([pa.array(kinds[keep].view(np.int64)), pa.array(n_sets[keep].astype(np.int64))], names=["shingle", "n"])
+            none = pa.nulls(int(keep.sum()), pa.int64())
+            return pa.record_batch([none, none, pa.array(n_sets[keep].astype(np.int64)), pa.array(kinds[keep].view(np.int64))], names=names)
 
         for batch in batches:
-            for _, texts in _texts(batch, 0):
+            ids = batch.column(0).cast(pa.int64())
+            for lo, texts in _texts(batch, 1):
+                sids, sizes = [], []
                 for s in shingle_sets(texts, n):
-                    if len(s) and (key := set_id(s)) not in seen:
+                    key = set_id(s) if len(s) else None
+                    sids.append(key)
+                    sizes.append(len(s))
+                    if key is not None and key not in seen:
                         seen.add(key)
                         held.append(s)
                         size += len(s)
+                k = len(texts)
+                yield pa.record_batch([ids[lo : lo + k], pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int64())], names=names)
                 if size > COUNT_BLOCK:
                     yield often()
                     held, size, seen = [], 0, set()
         if held:
             yield often()
 
-    counted = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
-    return top["shingle"].to_numpy()[::-1].copy().view(np.uint64)
+    return materialize(docs.mapInArrow(describe, "doc_id long, sid long, size long, shingle long"))
+
+
+def _bits(rows: DataFrame) -> np.ndarray:
+    """Bit table, of one size for all data, of (sid, doc_id); a bit set by chance costs time, not truth."""
+    slot = F.col("sid").bitwiseXOR(F.coalesce("doc_id", F.lit(0))).bitwiseAND(F.lit((1 << BIT_SLOTS) - 1))
+    marked = rows.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (BIT_SLOTS - 6), np.int64)
+    out[marked["word"].to_numpy()] = marked["bits"].to_numpy()
+    return out
+
+
+def _is_marked(bits: np.ndarray, sid: int, doc_id: int | None) -> bool:
+    slot = (sid ^ (doc_id or 0)) & ((1 << BIT_SLOTS) - 1)
+    return bool(int(bits[slot >> 6]) >> (slot & 63) & 1)
+
+
+def spare(size):
+    """How many shingles more than one a set must share within the first ones, by size: every twentieth."""
+    return size // 20
 
 
 class _Order:
@@ -152,84 +183,106 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    order = spark.sparkContext.broadcast(_frequent(rows, n))  # at most FREQUENT numbers
+    described = _describe(rows, n)
+    sets = described.where("shingle is null").select("doc_id", "sid", "size")
+    counted = described.where("shingle is not null").groupBy("shingle").agg(F.sum("size").alias("n"))
+    top = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()  # at most FREQUENT numbers
+    order = spark.sparkContext.broadcast(top["shingle"].to_numpy()[::-1].copy().view(np.uint64))
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of two kinds: a document's set (shingle null), and the first shingles of a set."""
+    def first_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, told = _Order(order.value), set()
         for batch in batches:
-            ids = batch.column(0)
-            for lo, texts in _texts(batch, 1):
-                sids, sizes, prefixes, owners = [], [], [], []
+            for _, texts in _texts(batch, 0):
+                firsts, owners = [], []
                 for s in shingle_sets(texts, n):
                     sid = set_id(s) if len(s) else None
-                    sids.append(sid)
-                    sizes.append(len(s))
                     if sid is not None and sid not in told:
                         told.add(sid)
-                        p = rank.prefix(s, len(s) - least_overlap(len(s), percent) + 1)
-                        prefixes.append(p)
-                        owners.append(np.full(len(p), sid, np.int64))
-                k = len(texts)
-                none = pa.nulls(k, pa.int64())
-                yield pa.record_batch([ids[lo : lo + k].cast(pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), none], names=["doc_id", "sid", "size", "shingle"])
+                        firsts.append(rank.prefix(s, len(s) - least_overlap(len(s), percent) + 1 + spare(len(s))))
+                        owners.append(np.full(len(firsts[-1]), sid, np.int64))
                 if owners:
-                    sid, shingle = np.concatenate(owners), np.concatenate(prefixes).view(np.int64)
-                    none = pa.nulls(len(sid), pa.int64())
-                    yield pa.record_batch([none, pa.array(sid), none, pa.array(shingle)], names=["doc_id", "sid", "size", "shingle"])
-
-    described = materialize(rows.mapInArrow(describe, "doc_id long, sid long, size long, shingle long"))
-    sets = described.where("shingle is null").select("doc_id", "sid", "size")
-    firsts = described.where("shingle is not null").select("shingle", "sid")
+                    yield pa.record_batch([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.concatenate(owners))], names=["shingle", "sid"])
 
-    # shingles of more than one set; sets in several parts of the table have said theirs more than once
-    often = firsts.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle")
-    shared = firsts.join(often, "shingle").distinct()
-    counts = shared.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = materialize(shared.join(counts, "shingle"))
-
-    # groups: the shingle that most other sets have in common with this one
+    def of_several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by shingle and set those whose shingle has another set; repeated rows once."""
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shingle, sid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if last is not None:  # the row before may belong to this batch's first shingle
+                shingle, sid = np.append(last[0], shingle), np.append(last[1], sid)
+            fresh = np.ones(len(shingle), bool)
+            fresh[1:] = (shingle[1:] != shingle[:-1]) | (sid[1:] != sid[:-1])
+            shingle, sid = shingle[fresh], sid[fresh]
+            like_next = np.append(shingle[1:] == shingle[:-1], False)
+            like_last = np.append(False, shingle[1:] == shingle[:-1])
+            if last is not None:
+                like_last[0] = last[2]
+            keep = like_next | like_last
+            last = (shingle[-1:], sid[-1:], bool(like_last[-1]))
+            keep[-1] = False  # told with the next batch
+            yield pa.record_batch([pa.array(shingle[keep]), pa.array(sid[keep])], names=["shingle", "sid"])
+        if last is not None and last[2]:
+            yield pa.record_batch([pa.array(last[0]), pa.array(last[1])], names=["shingle", "sid"])
+
+    firsts = rows.select("text").mapInArrow(first_ones, "shingle long, sid long")
+    together = firsts.repartition("shingle").sortWithinPartitions("shingle", "sid")
+    shared = materialize(together.mapInArrow(of_several, "shingle long, sid long"))
+
+    # groups: by the shingle that most other sets have in common with this one
     sizes = sets.where("sid is not null").groupBy("sid").agg(F.first("size").alias("size"), F.min("doc_id").alias("least_id"))
-    group_of = shared.groupBy("sid").agg(F.max(F.struct("c", "shingle"))["shingle"].alias("g")).join(sizes.select("sid", "size"), "sid")
+    counts = shared.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"))
+    group_of = shared.join(counts, "shingle").groupBy("sid").agg(F.max(F.struct("c", "shingle"))["shingle"].alias("own")).join(sizes.select("sid", "size"), "sid")
     group_of = materialize(group_of)
-    reach = group_of.groupBy("g").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-    matrix = shared.select("shingle", "sid").join(group_of.select("sid", "g"), "sid").select("shingle", "g").distinct()
-    asks = shared.select("shingle", "sid").join(matrix, "shingle").select("sid", "g").distinct()
-    asks = asks.join(group_of.select("sid", "size", F.col("g").alias("own")), "sid").join(reach, "g")
-    asks = asks.where((F.col("size") * percent <= F.col("hi") * 100) & (F.col("lo") * percent <= F.col("size") * 100))
-    # a group of one set that only this set asks for tells nothing
-    asks = materialize(asks.select("g", "sid", (F.col("own") == F.col("g")).alias("member")))
-    busy = asks.groupBy("g").agg(F.count(F.lit(1)).alias("q"), F.sum(F.col("member").cast("long")).alias("m")).where("q > 1")
-
-    # the sets of all that take part, from one text of each
-    wanted = sets.join(asks.join(busy.select("g"), "g").select("sid").distinct(), "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    reach = group_of.groupBy("own").agg(F.min("size").alias("lo"), F.max("size").alias("hi")).withColumnRenamed("own", "g")
+    placed = materialize(shared.join(group_of, "sid"))
+    matrix = placed.groupBy("shingle", F.col("own").alias("g")).agg(F.count(F.lit(1)).alias("m"))
+    # a set itself does not count in its own group's row
+    meets = placed.join(matrix, "shingle").where((F.col("own") != F.col("g")) | (F.col("m") > 1))
+    met = meets.groupBy("sid", "g").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("size"), F.first("own").alias("own")).join(reach, "g")
+    least = F.ceil(F.col("size") * percent / 100)
+    asks = met.where((F.col("c") > F.floor(least / 20)) & (least <= F.col("hi")) & (F.col("lo") * percent <= F.col("size") * 100))
+    asks = materialize(asks.select("sid", "g", "own"))
+    # of two groups the one with the smaller number asks; who asks nowhere is linked with none
+    members = group_of.join(asks.select("sid").distinct(), "sid").select("sid", F.col("own").alias("g"))
+    queries = asks.where("own <= g").select("sid", "g")
+    members = materialize(members.join(queries.select("g").distinct(), "g").select("sid", "g"))
+
+    # the sets that take part, from one text of each
+    takes_part = queries.select("sid").unionByName(members.select("sid")).distinct()
+    bits = spark.sparkContext.broadcast(_bits(takes_part.join(sizes, "sid").select("sid", F.col("least_id").alias("doc_id"))))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = set()
         for batch in batches:
-            wants = batch.column(0).to_pylist()
+            ids = batch.column(0).to_pylist()
             for lo, texts in _texts(batch, 1):
-                found = [(sid, s.tobytes()) for sid, s in zip(wants[lo : lo + len(texts)], shingle_sets(texts, n)) if len(s) and set_id(s) == sid]
+                found = []
+                for i, s in enumerate(shingle_sets(texts, n)):
+                    if len(s) and _is_marked(bits.value, sid := set_id(s), ids[lo + i]) and sid not in told:
+                        told.add(sid)
+                        found.append((sid, s.tobytes()))
                 yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["sid", "shingles"])
 
-    spelt = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("sid", "text").mapInArrow(spell, "sid long, shingles binary")
-    spelt = materialize(spelt.dropDuplicates(["sid"]))
+    spelt = materialize(rows.mapInArrow(spell, "sid long, shingles binary").join(takes_part, "sid", "left_semi"))
 
     # large groups: link their sets with a few of them, then ask only for what is not in the main part
-    big = materialize(busy.where(F.col("q") > MEMBER_BLOCK).select("g"))
+    everyone = queries.unionByName(members).distinct()
+    big = materialize(everyone.groupBy("g").count().where(F.col("count") > MEMBER_BLOCK).select("g"))
     links = None
-    queries, members = asks.join(busy.select("g"), "g"), asks.where("member")
     if not big.isEmpty():
-        in_big = asks.join(big, "g")
+        in_big = everyone.join(big, "g")
         nth = Window.partitionBy("g").orderBy(F.xxhash64("sid"), "sid")
-        pivots = in_big.where("member").withColumn("_n", F.row_number().over(nth)).where(F.col("_n") <= PIVOTS).select("g", "sid")
-        links = materialize(_compare(in_big.select("g", "sid"), pivots, spelt, percent))
+        pivots = members.join(big, "g").withColumn("_n", F.row_number().over(nth)).where(F.col("_n") <= PIVOTS).select("sid", "g")
+        links = materialize(_compare(in_big, pivots, spelt, percent))
         parts = connected_components(links)
-        placed = in_big.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid"))
-        main = placed.groupBy("g", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(F.max(F.struct("c", "part"))["part"].alias("main"))
-        left = placed.join(main, "g").where("part <> main").select("g", "sid")
-        queries = queries.join(big, "g", "left_anti").select("g", "sid").unionByName(left)
-        members = members.join(big, "g", "left_anti").select("g", "sid").unionByName(in_big.select("g", "sid"))
-    found = _compare(queries.select("g", "sid"), members.select("g", "sid"), spelt, percent)
+        known = in_big.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid"))
+        main = known.groupBy("g", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(F.max(F.struct("c", "part"))["part"].alias("main"))
+        left = known.join(main, "g").where("part <> main").select("sid", "g")
+        queries = queries.join(big, "g", "left_anti").unionByName(left)
+        members = members.join(big, "g", "left_anti").unionByName(in_big.select("sid", "g"))
+    found = _compare(queries, members, spelt, percent)
     links = materialize(found if links is None else found.unionByName(links))
 
     parts = connected_components(links)
