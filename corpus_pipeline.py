@@ -30,13 +30,15 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the one with the least id.
 
-    Documents without words stay; of rows with equal id and text in a component one stays.
+    Documents without words stay, and rows without an id, which cannot be named; of rows with equal id and
+    text in a component one stays.
     """
-    found = materialize(jaccard_components(docs))
-    stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
-    repeated = found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    found = materialize(jaccard_components(docs).where("n_shingles > 0 and doc_id is not null"))
+    by_id = found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("goes"), F.count(F.lit(1)).alias("rows"))
+    by_id = materialize(by_id.where("goes or rows > 1"))
+    # those that go are fewer than those that stay
+    kept = docs.join(by_id.where("goes").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return kept if by_id.where("rows > 1 and not goes").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes scanned at a time; each takes about 50 bytes of memory on the way.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 
 SPACE = np.zeros(256, bool)

@@ -23,7 +23,8 @@ from .common import table
 #: Words of a gram and grams of a winnowing window: every shared run of
 #: GRAM + WINDOW - 1 words has a fingerprint in common.
 GRAM, WINDOW = 3, 2
-#: Words by which an alignment may leave its diagonal.
+#: Words by which an alignment may leave its diagonal; for short templates a quarter of theirs,
+#: lest it reach the next occurrence.
 BAND = 12
 MIN_COVERAGE = 0.8
 
@@ -184,26 +185,27 @@ def scan(texts: list[bytes], index: Index, min_coverage: float = MIN_COVERAGE) -
         words, starts, ends, owner = _words(group)
         h, at = fingerprints(words, owner)
         which, entry = index.hits(h)
-        found: dict[tuple[int, int], set[int]] = defaultdict(set)
+        found: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         first_word = np.searchsorted(owner, np.arange(len(group) + 1))
         for a, e in zip(at[which].tolist(), entry.tolist()):
             doc = int(owner[a])
-            found[doc, int(index.template[e])].add(a - int(first_word[doc]) - int(index.place[e]))
+            found[doc, int(index.template[e])][a - int(first_word[doc]) - int(index.place[e])].append(a - int(first_word[doc]))
         matches: list[list[tuple]] = [[] for _ in group]
         begins = np.cumsum([0, *(len(t) + 1 for t in group)])
         for (doc, k), diagonals in sorted(found.items()):
             lo, hi = first_word[doc], first_word[doc + 1]
-            template, last = index.words[k], None
-            for diagonal in sorted(diagonals):
-                if last is not None and diagonal - last <= BAND // 2:
-                    continue  # the band of the one before covers it
-                last = diagonal
+            template = index.words[k]
+            band, upto = min(BAND, max(1, len(template) // 4)), -1
+            for diagonal, places in sorted(diagonals.items()):
+                if max(places) < upto:
+                    continue  # within the match before
                 # only the words that the band can reach
-                base = max(0, diagonal - BAND)
-                near = words[lo + base : min(hi, lo + max(0, diagonal) + len(template) + BAND)].tolist()
-                matched, a, b = align(template, near, diagonal - base)
+                base = max(0, diagonal - band)
+                near = words[lo + base : min(hi, lo + max(0, diagonal) + len(template) + band)].tolist()
+                matched, a, b = align(template, near, diagonal - base, band)
                 coverage = matched / len(template)
                 if coverage >= min_coverage:
+                    upto = base + b
                     start, end = int(starts[lo + base + a] - begins[doc]), int(ends[lo + base + b - 1] - begins[doc])
                     matches[doc].append((-matched, -coverage, index.names[k], len(template), start, end))
         yield from (_apart(found, text) for found, text in zip(matches, group))

@@ -28,7 +28,7 @@ N, PERCENT = 5, 80
 #: The list only orders; shingles that it lacks are found all the same.
 FREQUENT = 100_000
 #: A shingle can be frequent if so many sets of a sample-free count block of this many shingles have it.
-COUNT_BLOCK, COUNT_LEAST = 4_000_000, 4
+COUNT_BLOCK, COUNT_LEAST = 2_000_000, 4
 #: Bits, as a power of two, of the table of sets to be compared: 8 MB at any size of data.
 BIT_SLOTS = 26
 #: Sets of a group that are compared in one cell, as queries and as members.
@@ -79,7 +79,7 @@ def least_overlap(size, percent: int = PERCENT):
 
 
 def _texts(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, list[bytes]]]:
-    """Some 2 MB of texts at a time, with the row of the first."""
+    """Half a megabyte of texts at a time, with the row of the first."""
     column = batch.column(at).cast(pa.large_binary())
     lo, size, out = 0, 0, []
     for i in range(len(column)):
@@ -250,6 +250,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     members = materialize(members.join(queries.select("g").distinct(), "g").select("sid", "g"))
 
     # the sets that take part, from one text of each
+    # (texts that the table holds for others by chance go no further than the join with the cells)
     takes_part = queries.select("sid").unionByName(members.select("sid")).distinct()
     bits = spark.sparkContext.broadcast(_bits(takes_part.join(sizes, "sid").select("sid", F.col("least_id").alias("doc_id"))))
 
@@ -265,7 +266,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
                         found.append((sid, s.tobytes()))
                 yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["sid", "shingles"])
 
-    spelt = materialize(rows.mapInArrow(spell, "sid long, shingles binary").join(takes_part, "sid", "left_semi"))
+    spelt = materialize(rows.mapInArrow(spell, "sid long, shingles binary"))
 
     # large groups: link their sets with a few of them, then ask only for what is not in the main part
     everyone = queries.unionByName(members).distinct()

@@ -32,7 +32,7 @@ SHARD_TOKENS = 1 << 20
 #: Pair replacement: rounds, new rules of a round, least uses of a rule.
 ROUNDS, ROUND_RULES, MIN_USES = 6, 2500, 16
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 SHARD_SCHEMA = "part int, seq int, n_tokens long, doc_ids array<bigint>, block binary"
 
@@ -286,8 +286,8 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, vocabulary: int, te
         for batch in batches:
             doc_ids, texts = batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.large_binary())
             sizes = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in texts])
-            # about 2 MB of text at a time
-            for lo, hi in _slices(sizes, CHUNK):
+            # half a megabyte of text at a time, or a shard's worth
+            for lo, hi in _slices(sizes, min(CHUNK, 4 * shard_tokens)):
                 got, n = encoder.encode([t.as_py() or b"" for t in texts[lo:hi]])
                 ids.append(np.insert(got, np.cumsum(n), END))
                 counts.append(n + 1)
