@@ -148,3 +148,13 @@ def classify_route(question: Column, barcode: Column) -> Column:
 
 def in_domain(question: Column) -> Column:
     return F.arrays_overlap(tokenize(question), strings(NUTRITION_TERMS))
+
+
+def set_overlap(a: Column, b: Column) -> Column:
+    """Sorted members of both arrays."""
+    return F.array_sort(F.array_intersect(a, b))
+
+
+def set_missing(a: Column, b: Column) -> Column:
+    """Sorted members of the first array that the second lacks."""
+    return F.array_sort(F.array_except(a, b))

@@ -161,7 +161,14 @@ def eval_cases(d):
       CASE item_id % 2 WHEN 0 THEN 'rag' ELSE 'mixed' END AS route, item_id % 3 = 0 AS abstained, text AS answer, CASE WHEN item_id % 9 = 0 THEN {d.empty} ELSE {d.arr(f('item_id + 2'), f('item_id + 1'))} END AS sources, cast(length(text) as double) AS retrieval_ms FROM {d.t('benchmark')}"""
 
 
-ADAPTERS = {f.__name__: f for f in (rag_answer_audit, scan_history, pipeline_runs, product_cache, user_profiles, pantry_items, favorites, meal_plans, rag_documents, questions, vectors, releases, codes, requests, label_texts, meal_requests, eval_cases)}
+def extractions(d):
+    """Label extractions of orders, some confirmed."""
+    run = lambda p, k: f"CASE WHEN o_orderkey % {k} = 0 THEN '{p}:failed' ELSE '{p}:succeeded' END"
+    return f"""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'confirmed' ELSE 'draft' END AS status, cast(o_orderkey % 97 as double) / 100 AS confidence, CASE WHEN o_orderkey % 4 = 0 THEN {d.arr("'a'", "'b'")} ELSE {d.empty} END AS validation_issues,
+      {d.arr(run('first', 5), run('second', 2))} AS runs, cast(o_orderdate as {d.nap}) AS created_at FROM {d.t('orders')}"""
+
+
+ADAPTERS = {f.__name__: f for f in (rag_answer_audit, scan_history, pipeline_runs, product_cache, user_profiles, pantry_items, favorites, meal_plans, rag_documents, questions, vectors, releases, codes, requests, label_texts, meal_requests, eval_cases, extractions)}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

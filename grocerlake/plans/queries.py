@@ -841,10 +841,12 @@ def _provider_words(read):
     return w.unionByName(other)
 
 
-_OTHER = "sum(CASE WHEN idx % 3 <> 0 THEN CASE WHEN idx % 2 = 0 THEN 0.95 ELSE 0.5 END END) / count(*) FILTER (idx % 3 <> 0)"
-
-
-@query()
+@query(
+    f"""WITH {WORDS_SQL}, rw AS (SELECT doc_id, (line_id * 10000 + place)::INT AS idx, text FROM words), rb AS (SELECT *, idx % 3 <> 0 AS paired, CASE WHEN idx % 2 = 0 THEN 0.95 ELSE 0.5 END::DOUBLE AS cb FROM rw),
+    rp AS (SELECT doc_id, coalesce(avg(cb) FILTER (paired) > 0.8, false) AS second, CASE WHEN count(*) FILTER (paired) > 0 THEN 2 ELSE 1 END AS n FROM rb GROUP BY doc_id),
+    rr AS (SELECT doc_id, idx, text, CASE WHEN paired THEN greatest(0.8, cb) ELSE 0.8 END::DOUBLE AS c, CASE WHEN paired THEN 2 ELSE 1 END / n AS agreed FROM rb JOIN rp USING (doc_id) WHERE paired OR NOT second)
+    SELECT doc_id, idx, text, round(c * (0.75 + 0.25 * agreed)::DOUBLE, 3) AS confidence, round(agreed, 3) AS agreement FROM rr"""
+)
 def reconcile_words(read, spark):
     return lb.reconcile_words(_provider_words(read)).select("doc_id", "idx", "text", "confidence", "agreement")
 
@@ -872,6 +874,53 @@ def confirm_extractions(read, spark):
     return lb.confirm_extractions(p.select("id", "barcode", "nutriments", "allergens"), confirmed, NOW())[0].select("barcode", "name", "source", "cached_at")
 
 
+_BOX = "greatest(0, least(x0 + w, x0 + 5 + w) - (x0 + 5)) * greatest(0, 20 - place % 25)"
+
+
+@query(f"WITH {WORDS_SQL} SELECT doc_id, line_id, text, x0, round(({_BOX}) / (2 * w * 20 - {_BOX}), 6) AS iou FROM words")
+def bbox_iou(read, spark):
+    w = lb.text_to_words(read("label_texts"))
+    down = (c("idx") % 10_000) % 25
+    moved = lb.bbox(c("bbox.x0") + 5, c("bbox.y0") + down, c("bbox.x1") + 5, c("bbox.y1") + down)
+    return w.select("doc_id", c("line_id").cast("long"), "text", "bbox.x0", F.round(lb.bbox_iou(c("bbox"), moved), 6).alias("iou"))
+
+
+@query("SELECT id, round(greatest(0.0, least(1.0, CASE WHEN len(validation_issues) > 0 THEN (confidence + 0.5) / 2 ELSE confidence * 0.5 END * (0.75 + 0.25 * confidence)))::DOUBLE, 3) AS confidence FROM extractions")
+def extraction_confidence(read, spark):
+    fields = F.when(F.size("validation_issues") > 0, F.array(c("confidence"), F.lit(0.5))).otherwise(F.array().cast("array<double>"))
+    return read("extractions").select("id", lb.extraction_confidence(fields, c("confidence"), c("confidence")).alias("confidence"))
+
+
+_LAST = "(SELECT * FROM extractions ORDER BY created_at DESC, id DESC LIMIT 100)"
+
+
+def _extractions(read):
+    parts = F.transform("runs", lambda r: F.struct(F.split(r, ":")[0].alias("provider"), F.split(r, ":")[1].alias("status")))
+    return read("extractions").withColumn("provider_runs", parts)
+
+
+@query(f"SELECT count(*) AS extraction_count, count(*) FILTER (status = 'confirmed') AS confirmed_count, round(avg(confidence), 4) AS mean_confidence, sum(len(validation_issues))::BIGINT AS issue_count FROM {_LAST}")
+def ocr_dashboard(read, spark):
+    return lb.ocr_dashboard(_extractions(read))[0]
+
+
+@query(f"SELECT string_split(r, ':')[1] AS provider, count(*) AS successes FROM (SELECT unnest(runs) AS r FROM {_LAST}) WHERE r LIKE '%:succeeded' GROUP BY ALL")
+def ocr_provider_successes(read, spark):
+    return lb.ocr_dashboard(_extractions(read))[1]
+
+
+@query("SELECT user_id, list_sort(list_intersect(allergies, disliked_ingredients)) AS overlap, list_sort(list_filter(list_distinct(disliked_ingredients), lambda x: NOT list_contains(allergies, x))) AS missing FROM user_profiles")
+def set_operations(read, spark):
+    return read("user_profiles").select("user_id", tx.set_overlap(c("allergies"), c("disliked_ingredients")).alias("overlap"), tx.set_missing(c("disliked_ingredients"), c("allergies")).alias("missing"))
+
+
+@query(f"WITH {FIELDS_SQL} SELECT barcode, field_precision, field_recall, field_f1, numeric_accuracy FROM fields WHERE barcode[12] <> '3'")
+def correction_metrics(read, spark):
+    r = {"expected": "confirmed_nutriments", "actual": "nutriments", "expected_allergens": "confirmed_allergens", "actual_allergens": "allergens"}
+    rows = _field_rows(read).withColumnsRenamed(r).withColumn("confirmed_nutriments", F.when(F.substring("barcode", 12, 1) != "3", c("confirmed_nutriments")))
+    return ev.correction_metrics(rows).select("barcode", "field_precision", "field_recall", "field_f1", "numeric_accuracy")
+
+
 # -- meals -------------------------------------------------------------------
 
 
