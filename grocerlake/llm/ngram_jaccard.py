@@ -378,19 +378,19 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-WITH RECURSIVE w AS (
+WITH RECURSIVE w AS MATERIALIZED (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
-), s AS (
-  SELECT doc_id, CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), lambda i: hash(words[i : i + 4])))
+), s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), lambda i: hash(words[i], words[i + 1], words[i + 2], words[i + 3], words[i + 4])))
     WHEN len(words) > 0 THEN [hash(words)] ELSE [] END AS set FROM w
-), t AS (SELECT doc_id, unnest(set) AS g FROM s),
-few AS (SELECT g FROM t GROUP BY g HAVING count(*) > 1),
-p AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM (FROM t SEMI JOIN few USING (g)) a JOIN (FROM t SEMI JOIN few USING (g)) b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL
-), l AS (
-  SELECT x, y FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * n >= 80 * (len(a.set) + len(b.set) - n)
-), r(a, b) AS (
+), t AS MATERIALIZED (SELECT doc_id, unnest(set) AS g FROM s),
+few AS MATERIALIZED (SELECT g FROM t GROUP BY g HAVING count(*) > 1),
+u AS MATERIALIZED (FROM t SEMI JOIN few USING (g)),
+p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+h AS MATERIALIZED (SELECT x, y FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * n >= 80 * (len(a.set) + len(b.set) - n)),
+l AS MATERIALIZED (SELECT x, y FROM h UNION ALL SELECT y, x FROM h),
+r(a, b) AS (
   SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.y FROM r JOIN l ON r.b = l.x
 )
 SELECT s.doc_id, len(s.set)::BIGINT AS n_shingles, m.c AS component_id FROM s JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = s.doc_id
