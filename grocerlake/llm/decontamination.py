@@ -4,6 +4,9 @@ Numbers, names and units become typed placeholders, so a question keeps its form
 its parameters change.  Windows of canonical words are hash-joined with those of the benchmark;
 where enough of an item's windows occur in a document, the values in its
 slots are compared: equal values of the item must have become equal values.
+
+A capital elsewhere (at the start of a text, a sentence, a quotation) may begin a name or not.
+Windows with such a word have two forms, the word itself and a name's placeholder, on both sides.
 """
 
 from __future__ import annotations
@@ -29,6 +32,14 @@ UNITS = (
     "kb mb gb tb hz khz mhz ghz w kw mw v kv a ma j kj cal kcal pa kpa mpa mph kmh dollars dollar euros euro cents cent usd eur gbp percent degrees degree"
 ).split()
 _UNITS = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
+#: Sign of a possible name, and what stands for that character in a text.
+_MAYBE, _OTHER = "\x01", "\x02"
+#: Words that begin sentences and are no names: one that became another word is a change of the wording.
+OPENERS = (
+    "a an the this that these those there here what which who whom whose when where why how is are was were am be do does did has have had can could will would shall should may might must "
+    "i you he she it we they my your his her its our their one each every all both some any no not if then so but and or nor yet as at by for from in into of off on onto over to under up with without within "
+    "after before during until while since because although though however also once only given suppose let find calculate compute determine write name explain describe list choose select use"
+).split()
 
 
 def marked_words(text: Column) -> Column:
@@ -38,12 +49,26 @@ def marked_words(text: Column) -> Column:
     digit, a comma, a colon or a semicolon and one space), ``~`` a unit after a number.  Words are runs of
     letters and digits.  Null for null.
     """
+    return _lower_words(_signed(text), "@#~")
+
+
+def _signed(text: Column) -> Column:
     t = F.translate(text, "@#~", "   ")
     t = F.regexp_replace(t, r"([0-9])[.,]([0-9])", "$1$2")
     t = F.regexp_replace(t, r"([\p{Ll}\p{N},;:] )(\p{Lu})", "$1@$2")
     t = F.regexp_replace(t, r"([0-9]+)", " #$1 ")
-    t = F.regexp_replace(t, rf"(#[0-9]+) +((?i:{_UNITS}))([^\p{{L}}\p{{N}}]|$)", "$1 ~$2$3")
-    return F.array_remove(F.split(F.lower(t), r"[^\p{L}\p{N}@#~]+"), "")
+    return F.regexp_replace(t, rf"(#[0-9]+) +((?i:{_UNITS}))([^\p{{L}}\p{{N}}]|$)", "$1 ~$2$3")
+
+
+def _lower_words(t: Column, signs: str) -> Column:
+    return F.array_remove(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}{signs}]+"), "")
+
+
+def open_words(text: Column) -> Column:
+    """The same words, and other capitalised ones begin with the sign of a possible name."""
+    t = _signed(F.translate(text, _MAYBE, _OTHER))
+    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}@#~])(\p{Lu})", f"{_MAYBE}$1")
+    return _lower_words(t, f"@#~{_MAYBE}")
 
 
 def _sign(word: Column) -> Column:
@@ -54,29 +79,45 @@ def _is_slot(word: Column) -> Column:
     return _sign(word).isin("#", "@", "~")
 
 
+def _plain(word: Column) -> Column:
+    """A word as it is if possible names are none."""
+    return F.when(_sign(word) == _MAYBE, F.substring(word, 2, 1 << 20)).otherwise(word)
+
+
 def _with_windows(df: DataFrame, text: str) -> DataFrame:
-    """Add the marked words and, in order, a hash of the canonical words of each window.
+    """Add the words and, in order, a hash of the canonical words of each window: ``_windows`` with
+    possible names as words, ``_open`` with them as names, null where that is the same.
 
     Fewer words than a window has give no window.  Windows are exploded with the outer
     form: for the inner one the optimizer tests the array's size below the projections,
     which repeats all of this for each element.
     """
-    words = df.withColumn("_words", F.coalesce(marked_words(F.col(text)), F.array().cast("array<string>")))
-    hashed = words.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(F.when(_is_slot(w), _sign(w)).otherwise(w))))
+    words = df.withColumn("_words", F.coalesce(open_words(F.col(text)), F.array().cast("array<string>")))
+    hashed = words.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(F.when(_is_slot(w), _sign(w)).otherwise(_plain(w)))))
+    hashed = hashed.withColumn("_names", F.zip_with("_words", "_hashes", lambda w, h: F.when(_sign(w) == _MAYBE, F.xxhash64(F.lit("@"))).otherwise(h)))
     last = F.size("_words") - WINDOW
-    window = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(F.col("_hashes"), i + k) for k in range(WINDOW)]))
-    return hashed.withColumn("_windows", F.when(last >= 0, window).otherwise(F.array().cast("array<bigint>")))
+    none = F.array().cast("array<bigint>")
+
+    def windows(name: str) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(F.col(name), i + k) for k in range(WINDOW)]))
+        return F.when(last >= 0, each).otherwise(none)
+
+    out = hashed.withColumn("_windows", windows("_hashes")).withColumn("_as_names", windows("_names"))
+    return out.withColumn("_open", F.zip_with("_windows", "_as_names", lambda w, o: F.when(w != o, o)))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, item_pos, window of every window with enough words besides slots.
+    """item_id, item_pos, window, item_plain, item_words of every window with enough words besides slots.
 
+    A window has a row for each of its forms; the second (not item_plain) where it has enough words as well.
     Items with equal ids and texts count once.  Null texts and items shorter than a window have none.
     """
     items = _with_windows(benchmark.select("item_id", "text").distinct(), "text")
-    rows = items.select("item_id", "_words", F.posexplode_outer("_windows").alias("item_pos", "window"))
+    rows = items.select("item_id", "_words", F.size("_windows").alias("_n"), F.posexplode_outer(F.concat("_windows", "_open")).alias("_at", "window")).where("window is not null")
+    rows = rows.withColumns({"item_pos": (F.col("_at") % F.col("_n")).cast("int"), "item_plain": F.col("_at") < F.col("_n")})
     words = F.slice("_words", F.col("item_pos") + 1, WINDOW)
-    return rows.where(F.size(F.filter(words, lambda w: ~_is_slot(w))) >= MIN_LITERALS).select("item_id", "item_pos", "window", words.alias("item_words"))
+    literals = F.size(F.filter(words, lambda w: ~_is_slot(w))) - F.when(F.col("item_plain"), 0).otherwise(F.size(F.filter(words, lambda w: _sign(w) == _MAYBE)))
+    return rows.where(literals >= MIN_LITERALS).select("item_id", "item_pos", "window", "item_plain", words.alias("item_words"))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, min_consistency: float = MIN_CONSISTENCY) -> DataFrame:
@@ -85,32 +126,57 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, min_coverage: floa
     Columns: doc_id, row_key (hash of id and text), item_id, windows (of the item), matched, slots (compared), changed (of
     them), consistency.  A document is known by id and text: equal rows give one row.
     Null and short texts contain nothing, and items without a countable window are never found.  Other columns are ignored.
+
+    An item is found by the first of three ways that has enough windows and consistent slots, and the figures are that way's: possible names as words;
+    windows in either form on one diagonal (a run of the document, word beside word), the best one;
+    windows in either form wherever they are.
     """
     bench = materialize(benchmark_windows(benchmark))
     n = bench.count()
-    index = bench.select("item_id", "item_pos", "window")
+    index = bench.select("item_id", "item_pos", "window", "item_plain")
     index = F.broadcast(index) if n <= BROADCAST_WINDOWS else index
     keyed = docs.select("doc_id", "text").where("text is not null").withColumn("_key", F.xxhash64("doc_id", "text"))
-    windows = _with_windows(keyed, "text").select("_key", F.explode_outer("_windows").alias("window"))
-    hits = windows.join(index, "window").groupBy("_key", "item_id", "item_pos").agg(F.count(F.lit(1)))
-    sizes = bench.groupBy("item_id").agg(F.count(F.lit(1)).alias("windows"))
-    covered = hits.groupBy("_key", "item_id").agg(F.count(F.lit(1)).alias("matched")).join(sizes, "item_id").where(F.col("matched") >= F.col("windows") * min_coverage)
+    windows = _with_windows(keyed, "text").select("_key", F.size("_windows").alias("_n"), F.posexplode_outer(F.concat("_windows", F.array_compact("_open"))).alias("_at", "window"))
+    hits = windows.join(index, "window").groupBy("_key", "item_id", "item_pos").agg(F.max(F.col("item_plain") & (F.col("_at") < F.col("_n"))).alias("plain"))
+    sizes = bench.where("item_plain").groupBy("item_id").agg(F.count(F.lit(1)).alias("windows"))
+    covered = hits.groupBy("_key", "item_id").agg(F.count(F.lit(1)).alias("either"), F.count_if("plain").alias("matched")).join(sizes, "item_id").where(F.col("either") >= F.col("windows") * min_coverage)
     covered = materialize(covered)
     # the few documents that hold an item are read again, word by word
     held = keyed.join(covered.select("_key").distinct(), "_key").distinct()
-    opened = _with_windows(held, "text").select("doc_id", "_key", "_words", F.posexplode_outer("_windows").alias("doc_pos", "window"))
+    opened = _with_windows(held, "text").select("doc_id", "_key", "_words", F.size("_windows").alias("_n"), F.posexplode_outer(F.concat("_windows", "_open")).alias("_at", "window")).where("window is not null")
+    opened = opened.withColumn("doc_pos", (F.col("_at") % F.col("_n")).cast("int"))
     places = opened.join(covered.select("_key", "item_id"), "_key").join(F.broadcast(bench) if n <= BROADCAST_WINDOWS else bench, ["item_id", "window"])
-    offset = F.posexplode("item_words").alias("k", "item_word")
-    slots = places.select("_key", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("diagonal"), "item_pos", "doc_pos", "_words", offset).where(_is_slot(F.col("item_word")))
-    slots = slots.select("_key", "item_id", "diagonal", (F.col("item_pos") + F.col("k")).alias("place"), "item_word", F.get("_words", F.col("doc_pos") + F.col("k")).alias("doc_word")).distinct()
-    by_value = slots.groupBy("_key", "item_id", "diagonal", "item_word").agg(
+    places = places.withColumns({"diagonal": F.col("doc_pos") - F.col("item_pos"), "plain": F.col("item_plain") & (F.col("_at") < F.col("_n"))})
+    places = materialize(places.select("_key", "item_id", "diagonal", "item_pos", "plain", "item_words", F.slice("_words", F.col("doc_pos") + 1, WINDOW).alias("doc_words")))
+    words = places.select("_key", "item_id", "diagonal", "item_pos", "plain", "doc_words", F.posexplode("item_words").alias("k", "item_word"))
+    words = words.select("_key", "item_id", "diagonal", "plain", (F.col("item_pos") + F.col("k")).alias("place"), "item_word", F.get("doc_words", F.col("k")).alias("doc_word"))
+    pair, way = ["_key", "item_id"], lambda k: F.lit(k).alias("way")
+    share = (F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)) / F.sum("n")).alias("consistency")
+    figures = F.sum("n").alias("slots"), F.sum("c").alias("changed"), share
+
+    slots = words.where(F.col("plain") & _is_slot(F.col("item_word"))).select(*pair, "diagonal", "place", "item_word", "doc_word").distinct()
+    by_value = slots.groupBy(*pair, "diagonal", "item_word").agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col("item_word") != F.col("doc_word")).cast("long")).alias("c"), (F.min("doc_word") == F.max("doc_word")).alias("same")
     )
-    checked = by_value.groupBy("_key", "item_id").agg(F.sum("n").alias("slots"), F.sum("c").alias("changed"), (F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)) / F.sum("n")).alias("consistency"))
-    whole = held.select("doc_id", "_key").join(covered, "_key").join(checked, ["_key", "item_id"], "left")
-    return whole.select(
-        "doc_id", F.col("_key").alias("row_key"), "item_id", "windows", "matched", F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), F.coalesce("changed", F.lit(0)).cast("long").alias("changed"), F.coalesce("consistency", F.lit(1.0)).alias("consistency")
-    ).where(F.col("consistency") >= min_consistency)
+    plain = covered.select(*pair, "windows", "matched").join(by_value.groupBy(*pair).agg(*figures), pair, "left").withColumn("way", F.lit(0))
+
+    # a possible name counts as a slot where it changed, and then must be none of the openers
+    value = lambda w: F.translate(w, f"@{_MAYBE}", "")
+    maybe = _sign(F.col("item_word")) == _MAYBE
+    slots = words.where(_is_slot(F.col("item_word")) | maybe).select(*pair, "diagonal", "place", maybe.alias("maybe"), value("item_word").alias("item_word"), value("doc_word").alias("doc_word")).distinct()
+    by_value = slots.groupBy(*pair, "diagonal", "item_word").agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col("item_word") != F.col("doc_word")).cast("long")).alias("c"), (F.min("doc_word") == F.max("doc_word")).alias("same"),
+        F.min("maybe").alias("maybe"), F.max(F.col("maybe") & (F.col("item_word") != F.col("doc_word")) & (F.col("item_word").isin(OPENERS) | F.col("doc_word").isin(OPENERS))).alias("reworded"),
+    ).where("not maybe or c > 0").withColumn("same", F.col("same") & ~F.col("reworded"))
+    lines = places.groupBy(*pair, "diagonal").agg(F.count_distinct("item_pos").alias("matched")).join(by_value.groupBy(*pair, "diagonal").agg(*figures), [*pair, "diagonal"], "left")
+    line = lines.join(sizes, "item_id").select(*pair, "windows", "matched", "slots", "changed", "consistency", way(1))
+    spread = covered.select(*pair, "windows", F.col("either").alias("matched")).join(by_value.groupBy(*pair).agg(*figures), pair, "left").withColumn("way", F.lit(2))
+
+    ways = plain.unionByName(line).unionByName(spread).withColumns({"slots": F.coalesce("slots", F.lit(0)).cast("long"), "changed": F.coalesce("changed", F.lit(0)).cast("long"), "consistency": F.coalesce("consistency", F.lit(1.0))})
+    passed = ways.where((F.col("matched") >= F.col("windows") * min_coverage) & (F.col("consistency") >= min_consistency))
+    names = ("windows", "matched", "slots", "changed", "consistency")
+    best = passed.groupBy(*pair).agg(F.min_by(F.struct(*names), F.struct("way", -F.col("matched"), -F.col("consistency"), -F.col("slots"), "changed")).alias("_f")).select(*pair, "_f.*")
+    return held.select("doc_id", "_key").join(best, "_key").select("doc_id", F.col("_key").alias("row_key"), "item_id", *names)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,3 +109,25 @@ def test_decontamination(spark):
     assert {r.doc_id for r in dc.drop_contaminated(df, bench).collect()} == {3, 5, 6, 7, 8}
     assert dc.find_contamination(df.limit(0), bench).count() == 0
     assert dc.find_contamination(df, bench.limit(0)).count() == 0
+
+
+NATALIA = "Natalia sold clips to 48 of her friends in April. Natalia then sold half as many clips in May. Natalia gave 12 of them away and kept the rest for later. How many clips did Natalia sell altogether in both months?"
+
+
+def test_names_that_begin_sentences_and_short_items(spark):
+    bench = spark.createDataFrame([(1, NATALIA), (2, "What is the capital of France?"), (3, "Weng earns 12 dollars an hour for babysitting her neighbour")], "item_id long, text string")
+    docs = [
+        (1, "filler words. " + NATALIA.replace("Natalia", "Ruth").replace("48", "36").replace("12", "9")),
+        (2, "the quiz said What is the capital of France? and went on"),
+        (3, "Paris is the capital of France and it is large."),
+        (4, NATALIA.replace("Natalia then", "Ruth then").replace("Natalia gave", "Olga gave").replace("did Natalia", "did Anna").replace("48", "36")),
+        (5, "filler Weng earns 12 dollars an hour for babysitting her neighbour"),
+        (6, "A day. Olga earns 15 dollars an hour for babysitting her neighbour"),
+        (7, "what is the capital of Spain"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in dc.find_contamination(df, bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (5, 3), (6, 3), (7, 2)}
+    assert got[1, 1].consistency == 1.0 and got[1, 1].changed > 0 and got[1, 1].matched == got[1, 1].windows
+    assert got[2, 2].matched == got[2, 2].windows == 2
+    assert {r.doc_id for r in dc.drop_contaminated(df, bench).collect()} == {3, 4}
