@@ -177,6 +177,17 @@ def test_pages(spark):
     assert ht.extract_text(df.limit(0)).count() == 0
 
 
+def test_layout_names_and_open_heads_keep_the_article():
+    body = " ".join(f"w{k}" for k in range(60))
+    inside = f"<main><h1>Head</h1><p>{body}</p></main><div class='sidebar'>side</div>"
+    for wrap in ("content-sidebar-wrap", "layout no-sidebar", "page with-menu"):
+        assert ht.Page(f"<body><p>site</p><div class='{wrap}'>{inside}</div></body>").text({}) == f"Head {body}"
+    assert ht.Page(f"<div class='page with-menu'><p>{body}</p><div id='comments'><p>me</p></div></div>").text({}) == body
+    assert ht.Page(f"<article><p>{body}</p></article><div id='comments'><article class='comment'>{body} {body}</article></div>").text({}) == body
+    assert ht.Page(f"<html><head><title>t</title><meta charset=utf-8><body><p>{body}").text({}) == body
+    assert ht.Page(f"<head><title>t</title><link rel=x><p>{body}</p>").text({}) == body
+
+
 def test_copies_of_a_page_are_no_template():
     same = [ht.skeleton(page(1).replace("Head", f"Head{k}")) for k in range(6)]
     assert ht.induce(same)["template"] == [] and ht.induce([]) == {}
