@@ -188,6 +188,26 @@ def test_layout_names_and_open_heads_keep_the_article():
     assert ht.Page(f"<head><title>t</title><link rel=x><p>{body}</p>").text({}) == body
 
 
+def test_template_is_confirmed_by_all_pages_of_the_host(spark):
+    rows = [(i, f"http://a.example.com/{i}", page(i)) for i in range(8)]
+    # a host of many pages: a sample shares a heading by chance, another layout comes in between
+    head = "<body><div class=top>The site</div><div class=text><p>{w}</p><h2 class=note>{h}</h2></div><div class=tail><p>end {i}</p></div></body>"
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows += [(100 + i, f"http://c.example.com/{i}", head.replace("{w}", body(i)).replace("{i}", str(i)).replace("{h}", "Same" if i % 5 else f"Own {i}")) for i in range(40)]
+    rows += [(200 + i, f"http://c.example.com/o{i}", f"<body><section><p>{body(900 + i)}</p></section></body>") for i in range(5)]
+    got = {r.page_id: r.text for r in ht.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(8)] == [wanted(i) for i in range(8)]
+    assert [got[100 + i] for i in range(40)] == [f"{body(i)} {'Same' if i % 5 else f'Own {i}'} end {i}" for i in range(40)]
+    assert [got[200 + i] for i in range(5)] == [body(900 + i) for i in range(5)]
+
+
+def test_one_page_of_another_layout_leaves_the_template():
+    layout = "<body><main><div class=press>Printed by the daily press</div><p>{w}</p></main></body>"
+    trees = [ht.skeleton(layout.replace("{w}", " ".join(f"w{i}x{k}" for k in range(30)))) for i in range(7)]
+    odd = ht.skeleton("<body>" + "".join(f"<section><p>s{k}</p></section>" for k in range(9)) + "</body>")
+    assert [p for p, _ in ht.induce([*trees, odd])["template"]] == ["/body/main/div.press"]
+
+
 def test_copies_of_a_page_are_no_template():
     same = [ht.skeleton(page(1).replace("Head", f"Head{k}")) for k in range(6)]
     assert ht.induce(same)["template"] == [] and ht.induce([]) == {}
