@@ -97,7 +97,11 @@ class WordEncoder:
         starts, ends = np.sort(np.concatenate((starts, cut))), np.sort(np.concatenate((ends, cut)))
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(begins), np.int64)
-        data = LOWER[data]
+        # special tokens are matched before letters become lower case: pieces that may hold one keep theirs
+        raw, data = data, LOWER[data]
+        opened = np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|")))
+        for k in np.unique(np.searchsorted(starts, opened, "right") - 1):
+            data[starts[k] : ends[k]] = raw[starts[k] : ends[k]]
         keys, at, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self._known) + len(keys) > self._limit:
             self._clear()
@@ -253,6 +257,19 @@ class Shard:
         """Ids of document i alone."""
         return self._expand(self.symbols[self.begins[i] : self.begins[i + 1]])
 
+    def ids(self, i: int, first: int, last: int) -> np.ndarray:
+        """Ids ``first`` to ``last`` (not included) of document i; only the symbols that hold them are expanded."""
+        symbols = self.symbols[self.begins[i] : self.begins[i + 1]]
+        rule = np.maximum(symbols.astype(np.int64) - self.vocabulary, 0)
+        n = np.where(symbols >= self.vocabulary, self.lengths[rule] if len(self.lengths) else 1, 1).astype(np.int64)
+        upto = np.cumsum(n)
+        first, last = max(first, 0), min(last, int(upto[-1]) if len(upto) else 0)
+        if first >= last:
+            return np.zeros(0, np.uint32)
+        a, b = np.searchsorted(upto, first, "right"), np.searchsorted(upto, last, "left") + 1
+        before = upto[a] - n[a]
+        return self._expand(symbols[a:b])[first - before : last - before]
+
     def documents(self) -> list[np.ndarray]:
         """Ids of all documents; the end id also occurs inside texts, so begins bound them."""
         rule = np.maximum(self.symbols.astype(np.int64) - self.vocabulary, 0)

@@ -131,6 +131,25 @@ def test_grammar_round_trip():
         tb.Shard(b"x" * 40)
 
 
+def test_special_tokens_of_mixed_case():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, texts = Tokenizer.from_file(path), ["A <|ENDOFTEXT|> b", "x<|EndOfText|>Y, <|endoftext|>", "<|StartOfText|>", "<|endoftext|>", "Plain WORDS <| END", "<|"]
+    ids, n = tb.WordEncoder(path).encode([t.encode() for t in texts])
+    assert [g.tolist() for g in np.split(ids, np.cumsum(n)[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_range_of_ids_is_decoded_alone():
+    rng = np.random.default_rng(9)
+    docs = [rng.choice([2, 3, 4, 5], k).astype(np.uint32) for k in (0, 1, 500, 1200)]
+    shard = tb.Shard(tb.pack(np.concatenate([np.append(d, tb.END) for d in docs]).astype(np.uint32), np.array([len(d) + 1 for d in docs]), 49408))
+    for i, d in enumerate(docs):
+        whole = np.append(d, tb.END)
+        for a, b in ((0, 1), (0, 5000), (3, 3), (7, 20), (len(d) - 2, len(d) + 1), (400, 401)):
+            assert shard.ids(i, a, b).tolist() == whole[max(a, 0) : b].tolist()
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
