@@ -94,13 +94,25 @@ def _admit_rows(rows: pd.DataFrame, recent: list[float], limits: dict) -> tuple[
 
 
 def throttle(events: DataFrame, limits: dict | None = None) -> DataFrame:
-    """Events (event_id, request_class, identity, ts) with ``accepted``, by a sliding log of each class and identity."""
-    used = limits or LIMITS
+    """Events (event_id, request_class, identity, ts) with ``accepted``, by a sliding log of each class and identity.
 
-    def batch(rows: pd.DataFrame) -> pd.DataFrame:
-        return _admit_rows(rows, [], used)[0]
+    Rows come sorted, batch by batch; a task holds a batch and the accepted times of one key.
+    """
+    used = limits or LIMITS
 
-    return events.where(F.col("request_class").isin(*used)).groupBy("request_class", "identity").applyInPandas(batch, THROTTLED)
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, recent = None, []
+        for rows in batches:
+            seconds, accepted = rows["ts"].astype("datetime64[us]").astype("int64") / 1e6, []
+            for name, who, t in zip(rows["request_class"], rows["identity"], seconds.tolist()):
+                if (name, who) != key:
+                    key, recent = (name, who), []
+                one, recent = admit([t], recent, *used[name])
+                accepted += one
+            yield rows.assign(accepted=accepted)
+
+    rows = events.where(F.col("request_class").isin(*used)).select("event_id", "request_class", "identity", "ts").repartition("request_class", "identity")
+    return rows.sortWithinPartitions("request_class", "identity", F.asc_nulls_last("ts"), "event_id").mapInPandas(walk, THROTTLED)
 
 
 def stream_throttle(events: DataFrame, limits: dict | None = None) -> DataFrame:

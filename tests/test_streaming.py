@@ -34,3 +34,19 @@ def test_upserts_of_a_stream(spark, tmp_path):
     q = st.stream_upsert_products(spark.readStream.schema(df.schema).parquet(path), str(tmp_path / "cache"), str(tmp_path / "c"), F.lit("2024-01-01").cast("timestamp"))
     q.awaitTermination(120)
     assert {r.barcode: r.name for r in spark.read.parquet(str(tmp_path / "cache/v00000000")).collect()} == {"1": "a", "2": "b"}
+
+
+def test_throttle_walks_in_batches(spark, capsys):
+    df = spark.range(400).select(F.col("id").alias("event_id"), F.lit("chat").alias("request_class"), F.when(F.col("id") % 3 > 0, "big").alias("identity"), F.timestamp_seconds(F.col("id") * 5 % 997).alias("ts"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.event_id: r.accepted for r in st.throttle(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for who in ("big", None):
+        rows = sorted((r.ts.timestamp(), r.event_id) for r in df.collect() if r.identity == who)
+        want |= dict(zip((k for _, k in rows), st.admit([t for t, _ in rows], [], *st.LIMITS["chat"])[0]))
+    assert got == want and not all(got.values())
+    st.throttle(df).explain()
+    assert "FlatMapGroupsInPandas" not in capsys.readouterr().out
