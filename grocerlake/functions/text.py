@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words left out in ranking, and names that stand for English terms.
@@ -158,3 +162,24 @@ def set_overlap(a: Column, b: Column) -> Column:
 def set_missing(a: Column, b: Column) -> Column:
     """Sorted members of the first array that the second lacks."""
     return F.array_sort(F.array_except(a, b))
+
+
+def hash_lines(lines: DataFrame, *order: str, name: str, tail: str = "") -> DataFrame:
+    """One row with the SHA-256 of the column ``line``, in order and joined by line feeds, and of ``tail``.
+
+    Null lines are left out.  One task sorts them, on disk where they are many, and holds a batch at a time.
+    """
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h, first = sha256(), True
+        for batch in batches:
+            for line in batch.loc[batch["_end"] == 0, "line"]:
+                h.update(("" if first else "\n").encode() + line.encode())
+                first = False
+        h.update(tail.encode())
+        yield pd.DataFrame({name: [h.hexdigest()]})
+
+    # a last row, so that there is a task where there are no lines
+    end = lines.sparkSession.range(1).select(*[F.lit(None).cast(lines.schema[k].dataType).alias(k) for k in order], F.lit("").alias("line"), F.lit(1).alias("_end"))
+    rows = lines.where("line is not null").select(*order, "line", F.lit(0).alias("_end")).unionByName(end)
+    return rows.repartition(1).sortWithinPartitions("_end", *order, "line").select("line", "_end").mapInPandas(digest, f"{name} string")

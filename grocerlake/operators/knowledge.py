@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grocerlake.functions.text import content_hash, has_injection_risk, missing_metadata, tokenize
+from grocerlake.functions.text import content_hash, has_injection_risk, hash_lines, missing_metadata, tokenize
 
 BLOCKS = "array<struct<heading_path:array<string>,text:string>>"
 
@@ -149,12 +149,11 @@ def embed_with_reuse(chunks: DataFrame, history: DataFrame, model: str, embed: C
 def manifest_hash(docs: DataFrame, config: dict) -> DataFrame:
     """One row: hash of ``filename:sha256(body)`` lines in order and of the sorted settings.
 
-    The lines, some 100 bytes a document, meet in one row.
+    The lines, some 100 bytes a document, are sorted and hashed in one task, batch by batch.
     """
     settings = "\n".join(f"{k}={config[k]}" for k in sorted(config))
     line = F.concat(F.col("filename"), F.lit(":"), F.sha2("body", 256))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("filename").alias("f"), line.alias("l")))), lambda x: x["l"]), "\n")
-    return docs.agg(F.sha2(F.concat(lines, F.lit("\n" + settings)), 256).alias("manifest_hash"))
+    return hash_lines(docs.select("filename", line.alias("line")), "filename", name="manifest_hash", tail="\n" + settings)
 
 
 def build_release(chunks: DataFrame, docs: DataFrame, version: str, as_of: Column, releases: DataFrame | None = None) -> DataFrame:

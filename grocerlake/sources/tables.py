@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grocerlake.functions.text import hash_lines
+
 METADATA = "map<string,string>"
 SCHEMAS = {
     "product_cache": "barcode string, name string, brand string, categories array<string>, ingredients_text string, allergens array<string>, additives array<string>, nutriments map<string,string>, nutriscore string, ecoscore string, image_url string, source string, raw_summary struct<status:int,last_modified_t:long,rev:long>, completeness_score double, cached_at timestamp, updated_at timestamp",
@@ -57,18 +59,14 @@ def read_knowledge_markdown(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_eval_cases(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(cases, one row with the hash of all lines in file order); blank lines are skipped.
-
-    Evaluation sets are small; their lines meet in one row for the hash.
-    """
+    """(cases, one row with the hash of all lines in file order); blank lines are skipped."""
     lines = None
     for i, p in enumerate(paths):
         one = spark.read.text(p, wholetext=True).select(F.lit(i).alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
         lines = one if lines is None else lines.unionByName(one)
     lines = lines.withColumn("value", F.trim("value")).where("value <> ''")
     cases = lines.select(F.from_json("value", CASE).alias("c")).select("c.*")
-    ordered = F.array_sort(F.collect_list(F.struct("file", "line", "value")))
-    return cases, lines.agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["value"]), "\n"), 256).alias("dataset_hash"))
+    return cases, hash_lines(lines.withColumnsRenamed({"line": "place", "value": "line"}), "file", "place", name="dataset_hash")
 
 
 def read_product_dump(spark: SparkSession, path: str) -> DataFrame:

@@ -175,3 +175,16 @@ def test_throttle_counts_accepted_ones_only(spark):
     df = spark.createDataFrame(rows, "event_id long, request_class string, identity string, t double").withColumn("ts", F.col("t").cast("timestamp")).drop("t")
     got = [r.accepted for r in st.throttle(df).orderBy("event_id").collect()]
     assert got == [True, True, True, True, False, True, False, True]
+
+
+def test_manifest_is_hashed_line_by_line(spark, capsys):
+    from hashlib import sha256
+
+    rows = [(f"d{i * 7 % 50}.md", f"body {i}") for i in range(50)] + [("no.md", None)]
+    df = spark.createDataFrame(rows, "filename string, body string").repartition(5)
+    lines = "\n".join(f"{f}:{sha256(b.encode()).hexdigest()}" for f, b in sorted(r for r in rows if r[1]))
+    got = kn.manifest_hash(df, {"b": 1, "a": 2})
+    assert [r[0] for r in got.collect()] == [sha256(f"{lines}\na=2\nb=1".encode()).hexdigest()]
+    assert [r[0] for r in kn.manifest_hash(df.limit(0), {}).collect()] == [sha256(b"\n").hexdigest()]
+    got.explain()
+    assert "collect_list" not in capsys.readouterr().out
