@@ -614,6 +614,31 @@ def answer_audit(read, spark):
     return rt.answer_audit(rt.answer_questions(read("questions"), _selected(read)), NOW()).drop("created_at")
 
 
+def _selected_hybrid(read):
+    """Hits of each question by words and vectors, as answers are meant to have them; DuckDB cannot follow."""
+    k = _chunks(read)
+    q = kn.feature_hash_embed(read("questions"), text="question").withColumnRenamed("embedding", "query_embedding")
+    hits = rt.hybrid_search(q, kn.feature_hash_embed(k), 18).join(k.select("chunk_id", "source_title", "content"), "chunk_id")
+    return rt.select_answer_context(rt.apply_evidence_floor(hits, 6))
+
+
+@query()
+def answer_context_hybrid(read, spark):
+    return _selected_hybrid(read).select("query_id", "chunk_id", "rank", F.round("fused_score", 8).alias("fused_score"))
+
+
+@query()
+def answer_questions_hybrid(read, spark):
+    out = rt.answer_questions(read("questions"), _selected_hybrid(read))
+    sources = F.coalesce(F.transform("citations", lambda x: x["source"]), F.array().cast("array<string>"))
+    return out.select("query_id", "route", "abstained", "answer", sources.alias("sources"))
+
+
+@query()
+def answer_audit_hybrid(read, spark):
+    return rt.answer_audit(rt.answer_questions(read("questions"), _selected_hybrid(read)), NOW()).drop("created_at")
+
+
 @query()
 def hybrid_search(read, spark):
     k = kn.feature_hash_embed(_chunks(read))

@@ -69,3 +69,36 @@ def test_export(spark, tmp_path):
     df = spark.createDataFrame([("x",)], "content string")
     kn.export_release(df, df, df, "v1", str(tmp_path))
     assert spark.read.json(str(tmp_path / "bronze/chunks")).select("content", F.col("knowledge_release")).first() == ("x", "v1")
+
+
+def test_hybrid_answers_follow_words_and_vectors(spark):
+    import numpy as np
+
+    from grocerlake.operators import retrieval as rt
+
+    def read(name):
+        return plans.load(spark, SF, name)
+
+    chunks, questions = plans._chunks(read), read("questions")
+    detail = {r.chunk_id: r for r in kn.feature_hash_embed(chunks).collect()}
+    asked = {r.query_id: np.array(r.embedding) for r in kn.feature_hash_embed(questions, text="question").collect()}
+    by_query = {}
+    for r in rt.bm25(questions, chunks).where("lexical_score > 0").collect():
+        by_query.setdefault(r.query_id, []).append((r.chunk_id, r.lexical_score, float(sum(a * b for a, b in zip(asked[r.query_id], detail[r.chunk_id].embedding)))))
+    want, floored = {}, 0
+    for q, hits in by_query.items():
+        place = lambda h: (detail[h[0]].source_filename, detail[h[0]].chunk_index)
+        lexical = {h[0]: k for k, h in enumerate(sorted(hits, key=lambda h: (-h[1], place(h))), 1)}
+        semantic = {h[0]: k for k, h in enumerate(sorted(hits, key=lambda h: (-h[2], place(h))), 1)}
+        fused = {h[0]: 1.0 / (60 + lexical[h[0]]) + (0.8 / (60 + semantic[h[0]]) if h[2] > 0 else 0.0) for h in hits}
+        ranked = sorted(hits, key=lambda h: (-fused[h[0]], -h[1], -h[2], place(h)))[:18]
+        kept = [h[0] for h in ranked if fused[h[0]] >= 0.72 * fused[ranked[0][0]]]
+        floored += len(kept) < len(ranked)
+        first = {detail[k].source_filename for k in kept[:3]}
+        want[q] = [k for i, k in enumerate(kept[:6]) if i < 3 or detail[k].source_filename in first][:4]
+    got = {}
+    for r in sorted(plans.QUERIES["answer_context_hybrid"](spark, SF).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    assert got == want and floored
+    cited = {r.query_id: r.sources for r in plans.QUERIES["answer_questions_hybrid"](spark, SF).where("not abstained").collect()}
+    assert cited and all(s == [detail[k].source_filename for k in want[q]] for q, s in cited.items())
