@@ -1,9 +1,9 @@
 """Token ids in a binary file format, compressed by a Re-Pair grammar.
 
 Documents in ascending id order are cut into shards of about ``SHARD_TOKENS`` ids.
-In each shard frequent pairs of ids are replaced by nonterminals, again and again.  A shard
-stores its rules, how many ids each expands to, and where each document begins,
-so that one document, or some ids of it, can be decoded alone.
+In each shard frequent pairs of ids are replaced by nonterminals, again and again, until no pair
+occurs ``MIN_USES`` times.  A shard stores its rules, how many ids each expands to, and where each
+document begins, so that one document, or some ids of it, can be decoded alone.
 
 Layout of a shard, little endian: ``GLRP``, version, vocabulary size, number of
 rules, of symbols and of documents, bytes of a symbol (seven unsigned 32-bit
@@ -28,11 +28,13 @@ from .bytescan import CHUNK, LOWER, SPACE, chunks, runs, span_hashes
 from .common import materialize, table
 
 END = 1
-SHARD_TOKENS = 1 << 20
-#: Pair replacement: rounds, new rules of a round, least uses of a rule.
-ROUNDS, ROUND_RULES, MIN_USES = 6, 2500, 16
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 600_000
+SHARD_TOKENS = 1 << 19
+#: Pair replacement: least uses of a rule, and how many pairs are replaced at a time.
+MIN_USES, ROUND_RULES = 16, 2500
+#: Words whose ids a worker remembers; some 60 bytes each.
+CACHE_WORDS = 1 << 20
+#: Bytes of text in a range of ids that one task encodes, on average.
+RANGE_BYTES = 64 << 20
 
 SHARD_SCHEMA = "part int, seq int, n_tokens long, doc_ids array<bigint>, block binary"
 
@@ -48,45 +50,98 @@ _PUNCT[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<|
 
 
 class WordEncoder:
-    """Whole texts to ids by a tokenizer that never joins what white space parts.
+    """Whole texts to ids by a tokenizer that lower-cases and never joins what white space parts.
 
     A text is cut at white space and between letters and punctuation; each different
-    piece goes through the tokenizer once.
+    piece goes through the tokenizer once, and its ids are kept by the piece's hash in a table of fixed size.
+    A tokenizer that does otherwise is refused.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self._tokenizer, self._limit = Tokenizer.from_file(path), cache_words
+        one = lambda t: self._tokenizer.encode(t, add_special_tokens=False).ids
+        if one("Ab \t c, D") != one("ab") + one("c") + one(",") + one("d"):
+            raise ValueError(f"{path} keeps case or white space")
         special = {t.content: i for i, t in self._tokenizer.get_added_tokens_decoder().items() if t.special}
         self._parter = max(special.items(), key=lambda x: x[1])
+        vocabulary = self._tokenizer.get_vocab()
+        # the id that ends a word of letters, if the tokenizer marks it
+        self._last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self._bits = max(4, (2 * cache_words - 1).bit_length())
         self._clear()
 
     def _clear(self):
-        self._known: dict[int, int] = {}
+        self._keys, self._entry, self._known = np.zeros(1 << self._bits, np.uint64), np.zeros(1 << self._bits, np.int32), 0
         self._ids, self._used = np.zeros(1 << 16, np.uint32), 0
         self._from, self._n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
-    def _learn(self, hashes: list[int], pieces: list[str]):
-        # all in one call, parted by a special token, whose id marks the pieces' ends
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry of each key, -1 for those that are not known."""
+        slot = (keys >> np.uint64(64 - self._bits)).astype(np.int64)
+        out, open_ = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        while len(open_):
+            there = self._keys[slot[open_]]
+            hit = there == keys[open_]
+            out[open_[hit]] = self._entry[slot[open_[hit]]]
+            open_ = open_[~hit & (there != 0)]
+            slot[open_] = (slot[open_] + 1) & ((1 << self._bits) - 1)
+        return out
+
+    def _insert(self, keys: np.ndarray, entries: np.ndarray):
+        """Add different keys that are not in the table."""
+        slot, open_ = (keys >> np.uint64(64 - self._bits)).astype(np.int64), np.arange(len(keys))
+        while len(open_):
+            free = open_[self._keys[slot[open_]] == 0]
+            self._keys[slot[free]] = keys[free]  # of several for one slot the last stays
+            here = self._keys[slot[free]] == keys[free]
+            self._entry[slot[free[here]]] = entries[free[here]]
+            open_ = np.setdiff1d(open_, free[here], assume_unique=True)
+            slot[open_] = (slot[open_] + 1) & ((1 << self._bits) - 1)
+
+    def _of_letters(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of pieces of ASCII letters, encoded as one text of words; None if their ends do not show in it."""
+        n = ends - starts
+        begin = np.cumsum(n + 1) - (n + 1)
+        text = np.full(int(begin[-1] + n[-1]), ord(" "), np.uint8)
+        inside = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        text[inside] = data[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        flat = np.array(self._tokenizer.encode_batch_fast([text.tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
+        last = np.flatnonzero(self._last[flat])
+        return (flat, np.diff(last, prepend=-1).astype(np.int32)) if len(last) == len(n) and last[-1] == len(flat) - 1 else None
+
+    def _of_any(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces in one call, parted by a special token, whose id marks the pieces' ends."""
         whole = self._parter[0].join(pieces) + self._parter[0]
         flat = np.array(self._tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, np.uint32)
         marks = np.flatnonzero(flat == self._parter[1])
-        if len(marks) != len(pieces):  # a piece holds that token's text
-            got = [e.ids for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-            flat, n = np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int32)
-        else:
-            flat, n = np.delete(flat, marks), (np.diff(marks, prepend=-1) - 1).astype(np.int32)
-        first, total = len(self._known), self._used + len(flat)
-        while len(self._ids) < total:
-            self._ids = np.concatenate((self._ids, np.zeros_like(self._ids)))
-        while len(self._from) < first + len(n):
-            self._from, self._n = np.concatenate((self._from, np.zeros_like(self._from))), np.concatenate((self._n, np.zeros_like(self._n)))
-        self._ids[self._used : total] = flat
-        self._n[first : first + len(n)] = n
-        self._from[first : first + len(n)] = self._used + np.cumsum(n) - n
-        self._used = total
-        self._known.update(zip(hashes, range(first, first + len(n))))
+        if len(marks) == len(pieces):
+            return np.delete(flat, marks), (np.diff(marks, prepend=-1) - 1).astype(np.int32)
+        # a piece holds that token's text
+        got = [e.ids for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int32)
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        other = np.cumsum(~_LETTER[data])
+        plain = other[ends - 1] - np.where(starts > 0, other[starts - 1], 0) == 0
+        raw = data.tobytes()
+        for group in (np.flatnonzero(plain), np.flatnonzero(~plain)):
+            if not len(group):
+                continue
+            got = self._of_letters(data, starts[group], ends[group]) if plain[group[0]] else None
+            flat, n = got or self._of_any([raw[a:b].decode() for a, b in zip(starts[group].tolist(), ends[group].tolist())])
+            first, total = self._known, self._used + len(flat)
+            while len(self._ids) < total:
+                self._ids = np.concatenate((self._ids, np.zeros_like(self._ids)))
+            while len(self._from) < first + len(n):
+                self._from, self._n = np.concatenate((self._from, np.zeros_like(self._from))), np.concatenate((self._n, np.zeros_like(self._n)))
+            self._ids[self._used : total] = flat
+            self._n[first : first + len(n)] = n
+            self._from[first : first + len(n)] = self._used + np.cumsum(n) - n
+            self._used, self._known = total, first + len(n)
+            self._insert(keys[group], np.arange(first, first + len(n)))
 
     def _encode(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the joined texts, and how many of them each text has."""
@@ -102,16 +157,21 @@ class WordEncoder:
         opened = np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|")))
         for k in np.unique(np.searchsorted(starts, opened, "right") - 1):
             data[starts[k] : ends[k]] = raw[starts[k] : ends[k]]
-        keys, at, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self._known) + len(keys) > self._limit:
-            self._clear()
-        listed = keys.tolist()
-        fresh = [k for k, h in enumerate(listed) if h not in self._known]
-        if fresh:
-            raw = data.tobytes()
-            self._learn([listed[k] for k in fresh], [raw[starts[at[k]] : ends[at[k]]].decode() for k in fresh])
-        known = self._known
-        entry = np.fromiter((known[h] for h in listed), np.int64, len(listed))[which]
+        keys = np.maximum(span_hashes(data, starts, ends), np.uint64(1))  # 0 is an empty slot
+        entry = self._find(keys)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            fresh, at = np.unique(keys[missing], return_index=True)
+            if self._known + len(fresh) > self._limit:
+                self._clear()
+                missing = np.arange(len(keys))
+                fresh, at = np.unique(keys, return_index=True)
+                while len(fresh) > self._limit:  # more words than the table takes in one piece of text
+                    self._limit, self._bits = 2 * self._limit, self._bits + 1
+                    self._clear()
+            at = missing[at]
+            self._learn(fresh, data, starts[at], ends[at])
+            entry[missing] = self._find(keys[missing])
         n = self._n[entry].astype(np.int64)
         upto = np.cumsum(n)
         ids = self._ids[np.repeat(self._from[entry] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
@@ -155,51 +215,88 @@ def _encoder(path: str) -> WordEncoder:
 # -- grammar -----------------------------------------------------------------
 
 
-def compress(ids: np.ndarray, vocabulary: int, rounds: int = ROUNDS, round_rules: int = ROUND_RULES, min_uses: int = MIN_USES):
-    """(symbols, rules): pairs of symbols replaced by nonterminals, the most frequent first.
-
-    A round counts all pairs, makes a rule of each of the most frequent
-    and replaces their occurrences from the left; where two overlap, the left one counts.
-    ``END`` is part of no rule, so documents begin at symbols.
+def _spans(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different numbers, ascending, and how often each occurs."""
+    code = np.sort(code)
+    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
+    return code[first], np.diff(np.append(first, len(code)))
+
+
+def _settle(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the occurrences ``at`` (ascending) are replaced: of two that overlap
+    the one of the better rank, or the left one, until none is open."""
+    won, open_ = np.zeros(len(at), bool), np.arange(len(at))
+    while len(open_):
+        p, r = at[open_], rank[open_]
+        touch = np.diff(p) == 1
+        left_better = r[:-1] <= r[1:]
+        beaten = np.zeros(len(p), bool)
+        beaten[1:] |= touch & left_better
+        beaten[:-1] |= touch & ~left_better
+        won[open_[~beaten]] = True
+        # a neighbour of a replaced one is gone
+        gone = ~beaten
+        gone[1:] |= touch & ~beaten[:-1]
+        gone[:-1] |= touch & ~beaten[1:]
+        open_ = open_[~gone]
+    return won
+
+
+def compress(ids: np.ndarray, vocabulary: int, min_uses: int = MIN_USES, round_rules: int = ROUND_RULES):
+    """(symbols, rules): pairs of symbols replaced by nonterminals until no pair occurs ``min_uses`` times.
+
+    A round counts pairs and makes a rule of each of the most frequent; where two occurrences overlap, the more
+    frequent pair is replaced.  A pair that once is too rare stays so, as only pairs with a new nonterminal gain
+    occurrences; such places are not looked at again.  ``END`` is part of no rule, so documents begin at symbols.
     """
     seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        slot = (seq[:-1] * np.uint32(0x9E3779B1) ^ seq[1:] * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35) >> np.uint32(12)
-        is_end = seq == END
-        free = ~(is_end[:-1] | is_end[1:])
-        slot[~free] = 1 << 20
-        often = np.bincount(slot, minlength=(1 << 20) + 1)[: 1 << 20]
-        least = max(min_uses, int(np.partition(often, -round_rules)[-round_rules]))
-        flag = np.append(often >= least, False)
-        at = np.flatnonzero(flag[slot])
-        if not len(at):
-            break
-        # of the pairs that share a slot, the first one stands for it in this round
-        pair, own = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], slot[at]
-        first_of = np.zeros(1 << 20, np.uint64)
-        first_of[own[::-1]] = pair[::-1]
-        same = pair == first_of[own]
-        at, own = at[same], own[same]
-        uses = np.bincount(own, minlength=1 << 20)
-        best = np.argsort(-uses, kind="stable")[:round_rules]
-        best = best[uses[best] >= min_uses]
-        if not len(best):
+    free = seq != END
+    live = np.flatnonzero(free[:-1] & free[1:])
+    # slots of hashes bound the counts from above
+    slot = (seq[live] * np.uint32(0x9E3779B1) ^ seq[live + 1] * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35) >> np.uint32(12)
+    live = live[np.bincount(slot, minlength=1 << 20)[slot] >= min_uses]
+    while len(live):
+        left, right = seq[live], seq[live + 1]
+        code = left.astype(np.uint64) << np.uint64(32) | right
+        # of a run of one symbol every second pair counts
+        twin = np.flatnonzero(left == right)
+        if len(twin):
+            first = np.concatenate(([True], (np.diff(live[twin]) > 1)))
+            place = np.arange(len(twin)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+            pairs, n = _spans(np.delete(code, twin[place % 2 == 1]))
+        else:
+            pairs, n = _spans(code)
+        pairs, n = pairs[n >= min_uses], n[n >= min_uses]
+        if not len(pairs):
             break
-        new = np.zeros(1 << 20, np.uint32)
-        new[best] = vocabulary + len(rules) + np.arange(len(best), dtype=np.uint32)
-        symbol = new[own]
-        at, symbol = at[symbol > 0], symbol[symbol > 0]
-        # in a run of overlapping occurrences every second one is replaced
-        first = np.concatenate(([True], np.diff(at) > 1))
-        place = np.arange(len(at)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-        at, symbol = at[place % 2 == 0], symbol[place % 2 == 0]
-        seq[at] = symbol
-        keep = np.ones(len(seq), bool)
+        own = np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)
+        often = pairs[own] == code
+        live, own = live[often], own[often]
+        best = np.argsort(-n, kind="stable")[:round_rules]
+        rank = np.full(len(pairs), len(pairs))
+        rank[best] = np.arange(len(best))
+        chosen = rank[own] < len(pairs)
+        at, of = live[chosen], rank[own[chosen]]
+        won = _settle(at, of)
+        at, of = at[won], of[won]
+        # the most frequent pair keeps all its uses; others may have lost too many
+        uses = np.bincount(of, minlength=len(best))
+        made = np.flatnonzero(uses >= min_uses)
+        number = np.full(len(best), -1)
+        number[made] = np.arange(len(made))
+        at, of = at[number[of] >= 0], number[of[number[of] >= 0]]
+        symbols = pairs[best[made]]
+        seq[at] = (vocabulary + len(rules) + of).astype(np.uint32)
+        rules = np.concatenate((rules, np.column_stack((symbols >> np.uint64(32), symbols & np.uint64(0xFFFFFFFF))).astype(np.uint32)))
+        keep, look = np.ones(len(seq), bool), np.zeros(len(seq), bool)
         keep[at + 1] = False
-        seq = seq[keep]
-        rules = np.concatenate((rules, np.column_stack((first_of[best] >> np.uint64(32), first_of[best] & np.uint64(0xFFFFFFFF))).astype(np.uint32)))
+        look[live] = True
+        look[at] = True
+        seq, look = seq[keep], look[keep]
+        new = np.flatnonzero(seq >= vocabulary + len(rules) - len(made))
+        look[np.maximum(new - 1, 0)] = True
+        free = seq != END
+        live = np.flatnonzero(look[:-1] & free[:-1] & free[1:])
     return seq, rules
 
 
@@ -286,7 +383,8 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, vocabulary: int, te
 
     Null texts count as empty and yield the end id alone.  Rows of equal id lie
     side by side.  (part, seq) orders the shards.  The shards are written in the
-    shared folder and read back; a text with more than ``shard_tokens`` ids is a shard of its own.
+    shared folder and read back; a text with more than ``shard_tokens`` ids ends its shard.  The number of id ranges
+    grows with the texts' bytes.  Columns but doc_id and ``text`` are ignored; no rows, no shards.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +414,8 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, vocabulary: int, te
         if counts:
             yield shard()
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = docs.agg(F.sum(F.octet_length(text)).alias("n")).head()["n"] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-whole // RANGE_BYTES))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = ordered.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     return materialize(ordered.mapInArrow(encode, SHARD_SCHEMA))
@@ -336,7 +435,8 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 docs = Shard(row["block"]).documents()
                 n = np.array([len(d) for d in docs], np.int64)
                 crc = [zlib.crc32(np.ascontiguousarray(d, "<u4")) for d in docs]

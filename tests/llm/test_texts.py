@@ -131,6 +131,35 @@ def test_grammar_round_trip():
         tb.Shard(b"x" * 40)
 
 
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(5)
+    for high, uses in ((4, 2), (30, 16), (300, 5), (3, 16)):
+        ids = rng.zipf(1.3, 6000).clip(1, high).astype(np.uint32)
+        seq, rules = tb.compress(ids, 1000, min_uses=uses, round_rules=7)
+        flat, begin, n = tb.expansions(rules, 1000)
+        back = [x for s in seq.tolist() for x in (flat[begin[s - 1000] : begin[s - 1000] + n[s - 1000]].tolist() if s >= 1000 else [s])]
+        assert back == ids.tolist() and len({tuple(r) for r in rules.tolist()}) == len(rules)
+        left, k = {}, 0
+        while k + 1 < len(seq):
+            pair = (int(seq[k]), int(seq[k + 1]))
+            if tb.END not in pair:
+                left.setdefault(pair, [])
+                if not left[pair] or left[pair][-1] < k - 1 or pair[0] != pair[1]:
+                    left[pair].append(k)
+            k += 1
+        assert max((len(v) for v in left.values()), default=0) < uses
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    cased = Tokenizer(models.WordLevel({w: i for i, w in enumerate("Ab ab c , D d ?".split())}, unk_token="?"))
+    cased.pre_tokenizer = pre_tokenizers.Whitespace()
+    cased.save(str(tmp_path / "cased.json"))
+    with pytest.raises(ValueError):
+        tb.WordEncoder(str(tmp_path / "cased.json"))
+
+
 def test_special_tokens_of_mixed_case():
     from tokenizers import Tokenizer
 
@@ -156,7 +185,8 @@ def test_token_files(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
     rows = [(i * 3 % 101, t) for i, t in enumerate(odd_texts(100, 5))] + [(None, None), (500, ""), (501, 'say "id one" ! ' * 500)]
-    shards = tb.write_token_shards(spark.createDataFrame(rows, "doc_id long, text string"), path, 49408, shard_tokens=300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"start": F.lit("clash"), "part": F.lit("clash"), "block": F.lit(1)})
+    shards = tb.write_token_shards(docs, path, 49408, shard_tokens=300)
     assert shards.count() > 4
     got = {r.doc_id: r for r in tb.read_token_shards(shards).collect()}
     start = 0
