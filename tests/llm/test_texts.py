@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from grocerlake.llm import html_text as ht
@@ -274,17 +275,30 @@ def test_media_round_trip(spark):
     rng = random.Random(6)
     words = [f"w{rng.randint(0, 999)}" for _ in range(9000)]
     texts = [" ".join(words), " ".join(words[:8000]) + " tail", " ".join(words), None, "", "é" * 32, "x" * 40_000, *(" ".join(words[k : k + 300]) for k in range(0, 3000, 100))]
-    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(0, texts[0], 1)], "doc_id long, text string, key int")
-    packed = md.store_media(df)
-    got = md.read_media(packed).collect()
-    assert len(got) == len(texts) + 1
+    df = spark.createDataFrame([(i, t, 1, "z") for i, t in enumerate(texts)] + [(0, texts[0], 1, "z")], "doc_id long, text string, key int, salt string").repartition(4)
+    stored = md.store_media(df)
+    got = md.read_media(stored).collect()
+    assert sorted(r.doc_id for r in got) == sorted([*range(len(texts)), 0])
+    chunks = {bytes(r.digest): bytes(r.data) for r in stored.chunks.collect()}
+    media = {bytes(r.key): r for r in stored.media.collect()}
+    # each digest and each payload once
+    assert len(chunks) == stored.chunks.count() > 3 and len(media) == stored.media.count() == len({md.payload_of((t or "").encode()) for t in texts})
+    assert stored.hot.count() > 0  # "x" * 40_000 is one chunk again and again
     for r in got:
         raw = (texts[r.doc_id] or "").encode()
         p = raw + bytes(-len(raw) % 64 if raw else 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        row = media[bytes.fromhex(r.payload_sha256)]
+        form = bytes(row.recipe) + bytes(row.data or b"") + b"".join(chunks[bytes(d)] for d in row.shared)
+        assert (r.media_bytes, r.media_sha256) == (len(form), hashlib.sha256(form).hexdigest())
     assert len({(r.media_sha256, r.feature) for r in got if r.doc_id in (0, 2)}) == 1
-    stored = packed.where("kind = 'chunk'").select("key").distinct().count()
-    assert stored > 3 and md.read_media(md.store_media(df.limit(0))).count() == 0
+    # nothing is both stored with a payload and in the store, and a shared chunk has its digest
+    own = [d for r in media.values() for d, _, shared in md.read_recipe(bytes(r.recipe)) if not shared]
+    assert len(own) == len(set(own)) and not set(own) & set(chunks)
+    assert all(hashlib.blake2b(zstandard.decompress(f), digest_size=md.DIGEST).digest() == d for d, f in chunks.items())
+    assert md.read_media(md.store_media(df.limit(0))).count() == 0
+    with pytest.raises(ValueError):
+        md.read_recipe(b"GLCDxxxx")
 
 
 def test_cuts_depend_on_the_payload_alone():
