@@ -3,11 +3,14 @@
 Each language has a raw-content zstandard dictionary made of a bounded sample of
 its texts.  A text is encoded with every dictionary; the language that needs the fewest
 bytes wins, and a win by too small a margin is rejected.
+
+Whole bytes are too coarse a measure for few of them.  A text is encoded behind a primer, some of the
+language's own text, which also fills the encoder's tables; and as often, with other primers, as
+gives RESOLUTION bytes of it in all (once, then, for most texts).  The sizes are averaged.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,31 +21,30 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Bound of the sample: documents of a language, one of each hash slot, and characters of each.
+#: Bound of the sample: rows of a language, one of each hash slot, and characters of each, from a place that its hash tells.
 SAMPLE_DOCS, SAMPLE_CHARS = 256, 256
-#: Bytes encoded at a time.
-BLOCK = 2048
-#: Texts up to so many bytes are encoded behind a primer of the language's text,
-#: at a thorough level: of few bytes, single ones count.
-SHORT, PRIMER = 400, 2048
-LEVEL, SHORT_LEVEL = 6, 19
+#: Bytes encoded at a time, zstandard's level, bytes of a primer, number of primers.
+BLOCK, LEVEL, PRIMER, PRIMERS = 16384, 6, 512, 16
+#: Bytes of a text to be encoded in all, if the primers suffice.
+RESOLUTION = 512
 #: Least share of bytes that the best language must save against the second.
 MIN_MARGIN = 0.002
 
 RESULT = "lang_pred string, score double, rejected boolean"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def fit_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """``docs`` (doc_id, text, lang) to a dictionary for each non-null lang.
 
     The sample is one document for each of ``sample_docs`` hash slots of a language, the
-    one with the smallest hash, and ``sample_chars`` characters from it: at most
+    one with the smallest hash, and ``sample_chars`` characters from a place of it that depends on the hash: at most
     ``sample_docs * sample_chars`` characters of a language reach the driver.
-    Empty and null texts are never sampled.  No labelled rows: no dictionaries.
+    Empty and null texts are never sampled; of rows of one id the smallest piece counts.  No labelled rows: no dictionaries.
     """
     labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    keyed = labelled.select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, sample_chars).alias("piece"))
+    hashed = labelled.select("lang", "text", F.xxhash64("doc_id").alias("h"))
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1).cast("int") + 1
+    keyed = hashed.select("lang", "h", F.substring(F.col("text"), start, F.lit(sample_chars)).alias("piece"))
     slots = keyed.groupBy("lang", F.pmod("h", F.lit(sample_docs)).alias("slot")).agg(F.min(F.struct("h", "piece"))["piece"].alias("piece"))
     rows = slots.collect()
     pieces: dict[str, list] = {}
@@ -52,24 +54,26 @@ def fit_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_cha
 
 
 class _Encoder:
-    def __init__(self, content: bytes, level: int, primer: bytes = b""):
-        shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        shared.precompute_compress(level=level)
-        self._zstd = zstandard.ZstdCompressor(level=level, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False)
-        self._primer, self._own = primer, 0
-        self._own = self.size(b"") if primer else 0
+    """Sizes behind the primers, which are the dictionary's first bytes (half of a small one) and left out of it."""
+
+    def __init__(self, content: bytes):
+        primer = min(PRIMER, len(content) // (2 * PRIMERS))
+        shared = zstandard.ZstdCompressionDict(content[primer * PRIMERS :], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        shared.precompute_compress(level=LEVEL)
+        self._zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False)
+        self._primers = [content[k * primer : (k + 1) * primer] for k in range(PRIMERS)]
+        self._own = [len(self._zstd.compress(p)) for p in self._primers]
 
-    def size(self, data: bytes) -> int:
-        return len(self._zstd.compress(self._primer + data)) - self._own
+    def size(self, data: bytes) -> float:
+        k = min(PRIMERS, -(-RESOLUTION // len(data)))
+        pieces = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+        return sum(len(self._zstd.compress(p + piece)) - n for p, n in zip(self._primers[:k], self._own) for piece in pieces) / k
 
 
 @lru_cache(maxsize=2)
-def _encoders(dictionaries: tuple[tuple[str, bytes], ...]):
-    """For long and short texts, an encoder of each language; kept by the worker."""
-    long = [(lang, _Encoder(content, LEVEL)) for lang, content in dictionaries]
-    # the primer is taken from the dictionary's first half, and left out of it
-    short = [(lang, _Encoder(content[PRIMER:], SHORT_LEVEL, content[:PRIMER])) for lang, content in dictionaries]
-    return long, short
+def _encoders(dictionaries: tuple[tuple[str, bytes], ...]) -> list[tuple[str, _Encoder]]:
+    """An encoder of each language; kept by the worker."""
+    return [(lang, _Encoder(content)) for lang, content in dictionaries]
 
 
 def classify(text: str | None, dictionaries: tuple[tuple[str, bytes], ...], min_margin: float = MIN_MARGIN) -> tuple[str, float, bool]:
@@ -78,18 +82,13 @@ def classify(text: str | None, dictionaries: tuple[tuple[str, bytes], ...], min_
     The score is the share of bytes saved against the second language (1.0
     when there is just one).  A null text, or one without a letter, is ``und`` with score 0, and rejected.
     """
-    if text is None or not dictionaries or not _LETTER.search(text):
+    if text is None or not dictionaries or not any(map(str.isalpha, text)):
         return "und", 0.0, True
     data = text.lower().encode()
-    long, short = _encoders(dictionaries)
-    if len(data) <= SHORT:
-        sizes = sorted((e.size(data), lang) for lang, e in short)
-    else:
-        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        sizes = sorted((sum(map(e.size, blocks)), lang) for lang, e in long)
+    sizes = sorted((e.size(data), lang) for lang, e in _encoders(dictionaries))
     if len(sizes) == 1:
         return sizes[0][1], 1.0, False
-    best, second = max(sizes[0][0], 0), max(sizes[1][0], 1)
+    best, second = max(sizes[0][0], 0.0), max(sizes[1][0], 1.0)
     score = min(1.0, max(0.0, 1 - best / second))
     return sizes[0][1], score, score < min_margin
 
@@ -98,7 +97,7 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], text: str
     """Add lang_pred, score and rejected to each row, from ``text`` alone.
 
     See ``classify`` for null, empty and undecided texts.  Input columns with
-    these names are replaced.  The dictionaries' size is bounded by the sample.
+    these names are replaced, all others stay.  The dictionaries' size is bounded by the sample.
     """
     model = tuple(sorted(dictionaries.items()))
 
@@ -107,8 +106,9 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], text: str
         for texts in batches:
             yield pd.DataFrame([classify(t, model, min_margin) for t in texts], columns=["lang_pred", "score", "rejected"])
 
-    out = docs.drop("lang_pred", "score", "rejected").withColumn("_p", predict(F.col(text)))
-    return out.select("*", "_p.*").drop("_p")
+    kept = docs.drop("lang_pred", "score", "rejected").columns
+    row = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row")
+    return docs.select(row, predict(F.col(text)).alias("predicted")).select("row.*", "predicted.*")
 
 
 def held_out(doc_id: Column) -> Column:
