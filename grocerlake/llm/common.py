@@ -17,11 +17,13 @@ _own_scratch: list[str] = []
 def scratch_path(spark: SparkSession) -> str:
     """A new path below the shared folder named by ``spark.checkpoint.dir``.
 
-    Where that setting is absent (tests on one machine) a temporary folder of
-    this process takes its place.
+    Where that setting is absent and Spark runs in this process alone (``local``), a temporary folder of
+    it takes its place; on a cluster its absence is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own_scratch:
             _own_scratch.append(tempfile.mkdtemp(prefix="grocerlake-"))
         base = _own_scratch[0]
@@ -52,3 +54,8 @@ def word_count(text) -> "F.Column":
 def unit_hash(key) -> "F.Column":
     """A number in (0, 1) that only depends on the string ``key``: 52 bits of its md5."""
     return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def head64(digest) -> "F.Column":
+    """The first eight bytes of a binary column as a signed big-endian number."""
+    return F.conv(F.hex(F.substring(digest, 1, 8)), 16, -10).cast("long")

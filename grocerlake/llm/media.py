@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import CHUNK, chunks
-from .common import materialize, table
+from .common import head64, materialize, table
 
 ALIGN = 64
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 256, 8192, 10
@@ -233,11 +233,10 @@ def read_media(stored: MediaStore) -> DataFrame:
     none = F.lit(None).cast("array<struct<digest:binary,data:binary>>")
     whole = stored.media.where("size(shared) = 0").withColumn("chunks", none)
     mixed = stored.media.where("size(shared) > 0")
-    head = lambda d: F.conv(F.hex(F.substring(d, 1, 8)), 16, -10).cast("long")
     hot = F.broadcast(stored.hot)  # at most 1 / HOT_SHARE rows
-    refs = mixed.select("key", F.explode("shared").alias("digest")).withColumn("h", head(F.col("digest"))).join(hot, "h", "left")
+    refs = mixed.select("key", F.explode("shared").alias("digest")).withColumn("h", head64(F.col("digest"))).join(hot, "h", "left")
     refs = refs.select("key", "digest", F.pmod(F.xxhash64("key"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
-    dealt = stored.chunks.withColumn("h", head(F.col("digest"))).join(hot, "h", "left")
+    dealt = stored.chunks.withColumn("h", head64(F.col("digest"))).join(hot, "h", "left")
     dealt = dealt.select("digest", "data", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
     got = refs.join(dealt, ["digest", "salt"]).groupBy("key").agg(F.collect_list(F.struct("digest", "data")).alias("chunks"))
     features = whole.unionByName(mixed.join(got, "key")).mapInArrow(

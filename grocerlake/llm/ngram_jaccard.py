@@ -12,15 +12,15 @@ pairs that are connected already are not compared.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import CHUNK, LOWER, SPACE, chunks, mix, runs, span_hashes
-from .common import materialize, table
+from .common import head64, materialize, table
 from .components import connected_components
 
 N, PERCENT = 5, 80
@@ -31,8 +31,11 @@ FREQUENT = 100_000
 COUNT_BLOCK, COUNT_LEAST = 2_000_000, 4
 #: Bits, as a power of two, of the table of sets to be compared: 8 MB at any size of data.
 BIT_SLOTS = 26
-#: Sets of a group that are compared in one cell, as queries and as members.
+#: Sets of a group that are compared in one cell, as queries and as members, and shingles of them (of a block of several sets, on average).
 QUERY_BLOCK, MEMBER_BLOCK = 256, 1024
+QUERY_SHINGLES, MEMBER_SHINGLES = 1 << 20, 1 << 22
+#: Groups with more than this share of all places in groups are dealt over several tasks.
+HOT_SHARE = 1e-3
 #: Groups of more sets are first linked through so many of them.
 PIVOTS = 16
 
@@ -67,10 +70,21 @@ def shingle_sets(texts: list[bytes], n: int = N) -> Iterator[np.ndarray]:
                 yield words[:0]
 
 
-def set_id(s: np.ndarray) -> int:
-    """One number for equal sets; 64 bits of sums of spread hashes, never of the empty set."""
-    total = np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))) + np.uint64(len(s))
-    return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
+def set_id(s: np.ndarray) -> bytes:
+    """One name for equal sets: 128 bits of two sums of spread hashes; never of the empty set."""
+    one = np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))) + np.uint64(len(s))
+    two = np.add.reduce(mix(s * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(s))))
+    return mix(np.array([one, two], np.uint64)).astype(">u8").tobytes()
+
+
+def _pairs_of(names: pa.Array) -> np.ndarray:
+    """Names of 16 bytes as rows of two numbers."""
+    fixed = names.cast(pa.binary(16))
+    return np.frombuffer(fixed.buffers()[1], np.uint64)[2 * fixed.offset : 2 * (fixed.offset + len(fixed))].reshape(-1, 2)
+
+
+def _names_of(pairs: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(16), len(pairs), [None, pa.py_buffer(np.ascontiguousarray(pairs))]).cast(pa.binary())
 
 
 def least_overlap(size, percent: int = PERCENT):
@@ -107,7 +121,7 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
             kinds, n_sets = np.unique(np.concatenate(held), return_counts=True)
             keep = n_sets >= COUNT_LEAST
             none = pa.nulls(int(keep.sum()), pa.int64())
-            return pa.record_batch([none, none, pa.array(n_sets[keep].astype(np.int64)), pa.array(kinds[keep].view(np.int64))], names=names)
+            return pa.record_batch([none, pa.nulls(len(none), pa.binary()), pa.array(n_sets[keep].astype(np.int64)), pa.array(kinds[keep].view(np.int64))], names=names)
 
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
@@ -122,27 +136,27 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
                         held.append(s)
                         size += len(s)
                 k = len(texts)
-                yield pa.record_batch([ids[lo : lo + k], pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int64())], names=names)
+                yield pa.record_batch([ids[lo : lo + k], pa.array(sids, pa.binary()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int64())], names=names)
                 if size > COUNT_BLOCK:
                     yield often()
                     held, size, seen = [], 0, set()
         if held:
             yield often()
 
-    return materialize(docs.mapInArrow(describe, "doc_id long, sid long, size long, shingle long"))
+    return materialize(docs.mapInArrow(describe, "doc_id long, sid binary, size long, shingle long"))
 
 
 def _bits(rows: DataFrame) -> np.ndarray:
     """Bit table, of one size for all data, of (sid, doc_id); a bit set by chance costs time, not truth."""
-    slot = F.col("sid").bitwiseXOR(F.coalesce("doc_id", F.lit(0))).bitwiseAND(F.lit((1 << BIT_SLOTS) - 1))
+    slot = head64(F.col("sid")).bitwiseXOR(F.coalesce("doc_id", F.lit(0))).bitwiseAND(F.lit((1 << BIT_SLOTS) - 1))
     marked = rows.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (BIT_SLOTS - 6), np.int64)
     out[marked["word"].to_numpy()] = marked["bits"].to_numpy()
     return out
 
 
-def _is_marked(bits: np.ndarray, sid: int, doc_id: int | None) -> bool:
-    slot = (sid ^ (doc_id or 0)) & ((1 << BIT_SLOTS) - 1)
+def _is_marked(bits: np.ndarray, sid: bytes, doc_id: int | None) -> bool:
+    slot = (int.from_bytes(sid[:8], "big") ^ (doc_id or 0)) & ((1 << BIT_SLOTS) - 1)
     return bool(int(bits[slot >> 6]) >> (slot & 63) & 1)
 
 
@@ -199,9 +213,10 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
                     if sid is not None and sid not in told:
                         told.add(sid)
                         firsts.append(rank.prefix(s, len(s) - least_overlap(len(s), percent) + 1 + spare(len(s))))
-                        owners.append(np.full(len(firsts[-1]), sid, np.int64))
+                        owners.append(np.frombuffer(sid, np.uint64))
                 if owners:
-                    yield pa.record_batch([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.concatenate(owners))], names=["shingle", "sid"])
+                    sids = np.repeat(np.array(owners), [len(f) for f in firsts], axis=0)
+                    yield pa.record_batch([pa.array(np.concatenate(firsts).view(np.int64)), _names_of(sids)], names=["shingle", "sid"])
 
     def of_several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by shingle and set those whose shingle has another set; repeated rows once."""
@@ -209,11 +224,11 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         for batch in batches:
             if not batch.num_rows:
                 continue
-            shingle, sid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            shingle, sid = batch.column(0).to_numpy(), _pairs_of(batch.column(1))
             if last is not None:  # the row before may belong to this batch's first shingle
-                shingle, sid = np.append(last[0], shingle), np.append(last[1], sid)
+                shingle, sid = np.append(last[0], shingle), np.concatenate((last[1], sid))
             fresh = np.ones(len(shingle), bool)
-            fresh[1:] = (shingle[1:] != shingle[:-1]) | (sid[1:] != sid[:-1])
+            fresh[1:] = (shingle[1:] != shingle[:-1]) | (sid[1:] != sid[:-1]).any(axis=1)
             shingle, sid = shingle[fresh], sid[fresh]
             like_next = np.append(shingle[1:] == shingle[:-1], False)
             like_last = np.append(False, shingle[1:] == shingle[:-1])
@@ -222,13 +237,13 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
             keep = like_next | like_last
             last = (shingle[-1:], sid[-1:], bool(like_last[-1]))
             keep[-1] = False  # told with the next batch
-            yield pa.record_batch([pa.array(shingle[keep]), pa.array(sid[keep])], names=["shingle", "sid"])
+            yield pa.record_batch([pa.array(shingle[keep]), _names_of(sid[keep])], names=["shingle", "sid"])
         if last is not None and last[2]:
-            yield pa.record_batch([pa.array(last[0]), pa.array(last[1])], names=["shingle", "sid"])
+            yield pa.record_batch([pa.array(last[0]), _names_of(last[1])], names=["shingle", "sid"])
 
-    firsts = rows.select("text").mapInArrow(first_ones, "shingle long, sid long")
+    firsts = rows.select("text").mapInArrow(first_ones, "shingle long, sid binary")
     together = firsts.repartition("shingle").sortWithinPartitions("shingle", "sid")
-    shared = materialize(together.mapInArrow(of_several, "shingle long, sid long"))
+    shared = materialize(together.mapInArrow(of_several, "shingle long, sid binary"))
 
     # groups: by the shingle that most other sets have in common with this one
     sizes = sets.where("sid is not null").groupBy("sid").agg(F.first("size").alias("size"), F.min("doc_id").alias("least_id"))
@@ -243,11 +258,22 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     met = meets.groupBy("sid", "g").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("size"), F.first("own").alias("own")).join(reach, "g")
     least = F.ceil(F.col("size") * percent / 100)
     asks = met.where((F.col("c") > F.floor(least / 20)) & (least <= F.col("hi")) & (F.col("lo") * percent <= F.col("size") * 100))
-    asks = materialize(asks.select("sid", "g", "own"))
+    asks = materialize(asks.select("sid", "g", "own", "size"))
     # of two groups the one with the smaller number asks; who asks nowhere is linked with none
-    members = group_of.join(asks.select("sid").distinct(), "sid").select("sid", F.col("own").alias("g"))
-    queries = asks.where("own <= g").select("sid", "g")
-    members = materialize(members.join(queries.select("g").distinct(), "g").select("sid", "g"))
+    members = group_of.join(asks.select("sid").distinct(), "sid").select("sid", F.col("own").alias("g"), "size")
+    queries = asks.where("own <= g").select("sid", "g", "size")
+    in_groups = materialize(queries.unionByName(members).groupBy("g").agg(F.count(F.lit(1)).alias("n")))
+    least_hot = max(float(MEMBER_BLOCK), (in_groups.agg(F.sum("n")).head()[0] or 0) * HOT_SHARE)
+    hot = materialize(in_groups.where(F.col("n") > least_hot).select("g", F.ceil(F.col("n") / least_hot).cast("int").alias("salts")))
+
+    def by_group(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
+        """Join rows (g, sid, ...) with rows of one per g; of hot groups, at most 1 / HOT_SHARE, the rows are dealt by set."""
+        few, salts = F.broadcast(hot), F.coalesce("salts", F.lit(1))
+        dealt = rows.join(few, "g", "left").withColumn("_s", F.pmod(F.xxhash64("sid"), salts).cast("int")).drop("salts")
+        copies = groups.join(few, "g", "left").withColumn("_s", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+        return dealt.join(copies, ["g", "_s"], how).drop("_s")
+
+    members = materialize(by_group(members, queries.select("g").distinct()).select("sid", "g", "size"))
 
     # the sets that take part, from one text of each
     # (texts that the table holds for others by chance go no further than the join with the cells)
@@ -264,26 +290,27 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
                     if len(s) and _is_marked(bits.value, sid := set_id(s), ids[lo + i]) and sid not in told:
                         told.add(sid)
                         found.append((sid, s.tobytes()))
-                yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["sid", "shingles"])
+                yield pa.record_batch([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], names=["sid", "shingles"])
 
-    spelt = materialize(rows.mapInArrow(spell, "sid long, shingles binary"))
+    spelt = materialize(rows.mapInArrow(spell, "sid binary, shingles binary"))
 
     # large groups: link their sets with a few of them, then ask only for what is not in the main part
     everyone = queries.unionByName(members).distinct()
     big = materialize(everyone.groupBy("g").count().where(F.col("count") > MEMBER_BLOCK).select("g"))
     links = None
     if not big.isEmpty():
-        in_big = everyone.join(big, "g")
-        nth = Window.partitionBy("g").orderBy(F.xxhash64("sid"), "sid")
-        pivots = members.join(big, "g").withColumn("_n", F.row_number().over(nth)).where(F.col("_n") <= PIVOTS).select("sid", "g")
-        links = materialize(_compare(in_big, pivots, spelt, percent))
+        in_big = by_group(everyone, big)
+        # a pivot of each hash slot, so that no task orders a group
+        slot = F.pmod(F.xxhash64("sid"), F.lit(PIVOTS)).alias("_slot")
+        pivots = by_group(members, big).groupBy("g", slot).agg(F.min(F.struct(F.xxhash64(F.lit(1), "sid").alias("h"), "sid", "size")).alias("p")).select("p.sid", "g", "p.size")
+        links = materialize(_compare(in_big, materialize(pivots), spelt, percent, by_group))
         parts = connected_components(links)
-        known = in_big.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid"))
+        known = materialize(in_big.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid")))
         main = known.groupBy("g", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(F.max(F.struct("c", "part"))["part"].alias("main"))
-        left = known.join(main, "g").where("part <> main").select("sid", "g")
-        queries = queries.join(big, "g", "left_anti").unionByName(left)
-        members = members.join(big, "g", "left_anti").unionByName(in_big.select("sid", "g"))
-    found = _compare(queries, members, spelt, percent)
+        left = by_group(known, main).where("part <> main").select("sid", "g", "size")
+        queries = by_group(queries, big, "left_anti").unionByName(left)
+        members = by_group(members, big, "left_anti").unionByName(in_big.select("sid", "g", "size"))
+    found = _compare(queries, members, spelt, percent, by_group)
     links = materialize(found if links is None else found.unionByName(links))
 
     parts = connected_components(links)
@@ -295,30 +322,28 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     return linked.unionByName(empty)
 
 
-def _compare(queries: DataFrame, members: DataFrame, spelt: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the queries and the members of each group, as forests of cells.
+def _compare(queries: DataFrame, members: DataFrame, spelt: DataFrame, percent: int, by_group: Callable) -> DataFrame:
+    """Links (a, b) between the queries and the members (sid, g, size) of each group, as forests of cells.
 
     A cell is a block of a group's queries and a block of its members; a row goes
-    to each cell of its block, so no cell holds more than two blocks.
+    to each cell of its block, so no cell holds more than two blocks.  Blocks are bounded in sets and in shingles.
     """
 
-    def blocks(df: DataFrame, size: int, name: str) -> tuple[DataFrame, DataFrame]:
-        n = df.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
-        return df, n
+    def blocks(df: DataFrame, sets: int, shingles: int, name: str) -> DataFrame:
+        n = F.greatest(F.ceil(F.count(F.lit(1)) / sets), F.ceil(F.sum("size") / shingles)).cast("int")
+        return df.groupBy("g").agg(n.alias(name))
 
-    q, nq = blocks(queries, QUERY_BLOCK, "nq")
-    m, nm = blocks(members, MEMBER_BLOCK, "nm")
-    both = nq.join(nm, "g")
+    both = materialize(blocks(queries, QUERY_BLOCK, QUERY_SHINGLES, "nq").join(blocks(members, MEMBER_BLOCK, MEMBER_SHINGLES, "nm"), "g"))
     part = lambda k: F.pmod(F.xxhash64("sid", "g"), F.col(k)).cast("int")
-    asked = q.join(both, "g").select("g", "sid", F.lit(True).alias("query"), part("nq").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("j"))
-    held = m.join(both, "g").select("g", "sid", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("i"), part("nm").alias("j"))
+    asked = by_group(queries, both).select("g", "sid", F.lit(True).alias("query"), part("nq").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("j"))
+    held = by_group(members, both).select("g", "sid", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("i"), part("nm").alias("j"))
     cells = asked.unionByName(held).join(spelt, "sid").select(F.xxhash64("g", "i", "j").alias("cell"), "g", "i", "j", "query", "sid", "shingles")
 
     def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
         def out(found):
-            return pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+            return pa.record_batch([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], names=["a", "b"])
 
         for batch in batches:
             columns = [batch.column(k) for k in range(7)]
@@ -333,10 +358,10 @@ def _compare(queries: DataFrame, members: DataFrame, spelt: DataFrame, percent:
             yield out(found)
 
     ordered = cells.repartition("cell").sortWithinPartitions("cell", "g", "i", "j", "query", "sid")
-    return ordered.mapInArrow(links_of, "a long, b long")
+    return ordered.mapInArrow(links_of, "a binary, b binary")
 
 
-def cell_links(rows: list[tuple[bool, int, np.ndarray]], percent: int = PERCENT) -> list[tuple[int, int]]:
+def cell_links(rows: list[tuple[bool, bytes, np.ndarray]], percent: int = PERCENT) -> list[tuple[bytes, bytes]]:
     """Exact links of a cell's queries with its members, without those that others imply."""
     members = [(sid, s) for is_query, sid, s in rows if not is_query]
     asking = [(sid, s) for is_query, sid, s in rows if is_query]

@@ -58,10 +58,10 @@ def texts_with_copies(seed, n=60, most=40):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("blocks", [None, (4, 8, 2)])
+@pytest.mark.parametrize("blocks", [None, (4, 8, 2, 300, 500)])
 def test_components_are_exact(spark, monkeypatch, blocks):
     if blocks:
-        for name, v in zip(("QUERY_BLOCK", "MEMBER_BLOCK", "PIVOTS"), blocks):
+        for name, v in zip(("QUERY_BLOCK", "MEMBER_BLOCK", "PIVOTS", "QUERY_SHINGLES", "MEMBER_SHINGLES"), blocks):
             monkeypatch.setattr(nj, name, v)
     rows = texts_with_copies(11 if blocks else 12)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("size", F.lit("clash"))
