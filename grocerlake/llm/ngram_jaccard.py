@@ -6,7 +6,8 @@ among the first ones, that many and k more, they share k.  Sets are grouped by s
 shingle; the matrix tells which groups hold which shingles, and thus which groups a set can be similar to at all.
 A group is opened by those sets only of which enough shingles are in the union of its members'.
 
-Equal sets are one set all along.  Links are reported as a spanning forest:
+Candidates are sought by short names of sets (the first 64 bits of the 128 that name one); sets whose short names are
+equal by chance are told apart where sets are compared.  Equal sets are one set all along.  Links are reported as a spanning forest:
 pairs that are connected already are not compared.
 """
 
@@ -77,14 +78,8 @@ def set_id(s: np.ndarray) -> bytes:
     return mix(np.array([one, two], np.uint64)).astype(">u8").tobytes()
 
 
-def _pairs_of(names: pa.Array) -> np.ndarray:
-    """Names of 16 bytes as rows of two numbers."""
-    fixed = names.cast(pa.binary(16))
-    return np.frombuffer(fixed.buffers()[1], np.uint64)[2 * fixed.offset : 2 * (fixed.offset + len(fixed))].reshape(-1, 2)
-
-
-def _names_of(pairs: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(16), len(pairs), [None, pa.py_buffer(np.ascontiguousarray(pairs))]).cast(pa.binary())
+def short(name: bytes) -> int:
+    return int.from_bytes(name[:8], "big", signed=True)
 
 
 def least_overlap(size, percent: int = PERCENT):
@@ -115,7 +110,7 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
-        names = ["doc_id", "sid", "size", "shingle"]
+        names = ["doc_id", "name", "size", "shingle"]
 
         def often():
             kinds, n_sets = np.unique(np.concatenate(held), return_counts=True)
@@ -143,20 +138,20 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
         if held:
             yield often()
 
-    return materialize(docs.mapInArrow(describe, "doc_id long, sid binary, size long, shingle long"))
+    return materialize(docs.mapInArrow(describe, "doc_id long, name binary, size long, shingle long"))
 
 
 def _bits(rows: DataFrame) -> np.ndarray:
     """Bit table, of one size for all data, of (sid, doc_id); a bit set by chance costs time, not truth."""
-    slot = head64(F.col("sid")).bitwiseXOR(F.coalesce("doc_id", F.lit(0))).bitwiseAND(F.lit((1 << BIT_SLOTS) - 1))
+    slot = F.col("sid").bitwiseXOR(F.coalesce("doc_id", F.lit(0))).bitwiseAND(F.lit((1 << BIT_SLOTS) - 1))
     marked = rows.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (BIT_SLOTS - 6), np.int64)
     out[marked["word"].to_numpy()] = marked["bits"].to_numpy()
     return out
 
 
-def _is_marked(bits: np.ndarray, sid: bytes, doc_id: int | None) -> bool:
-    slot = (int.from_bytes(sid[:8], "big") ^ (doc_id or 0)) & ((1 << BIT_SLOTS) - 1)
+def _is_marked(bits: np.ndarray, sid: int, doc_id: int | None) -> bool:
+    slot = (sid ^ (doc_id or 0)) & ((1 << BIT_SLOTS) - 1)
     return bool(int(bits[slot >> 6]) >> (slot & 63) & 1)
 
 
@@ -198,7 +193,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = _describe(rows, n)
-    sets = described.where("shingle is null").select("doc_id", "sid", "size")
+    sets = described.where("shingle is null").select("doc_id", "name", "size")
     counted = described.where("shingle is not null").groupBy("shingle").agg(F.sum("size").alias("n"))
     top = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()  # at most FREQUENT numbers
     order = spark.sparkContext.broadcast(top["shingle"].to_numpy()[::-1].copy().view(np.uint64))
@@ -209,14 +204,13 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
             for _, texts in _texts(batch, 0):
                 firsts, owners = [], []
                 for s in shingle_sets(texts, n):
-                    sid = set_id(s) if len(s) else None
-                    if sid is not None and sid not in told:
-                        told.add(sid)
+                    name = set_id(s) if len(s) else None
+                    if name is not None and name not in told:
+                        told.add(name)
                         firsts.append(rank.prefix(s, len(s) - least_overlap(len(s), percent) + 1 + spare(len(s))))
-                        owners.append(np.frombuffer(sid, np.uint64))
+                        owners.append(np.full(len(firsts[-1]), short(name), np.int64))
                 if owners:
-                    sids = np.repeat(np.array(owners), [len(f) for f in firsts], axis=0)
-                    yield pa.record_batch([pa.array(np.concatenate(firsts).view(np.int64)), _names_of(sids)], names=["shingle", "sid"])
+                    yield pa.record_batch([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.concatenate(owners))], names=["shingle", "sid"])
 
     def of_several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by shingle and set those whose shingle has another set; repeated rows once."""
@@ -224,11 +218,11 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         for batch in batches:
             if not batch.num_rows:
                 continue
-            shingle, sid = batch.column(0).to_numpy(), _pairs_of(batch.column(1))
+            shingle, sid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if last is not None:  # the row before may belong to this batch's first shingle
-                shingle, sid = np.append(last[0], shingle), np.concatenate((last[1], sid))
+                shingle, sid = np.append(last[0], shingle), np.append(last[1], sid)
             fresh = np.ones(len(shingle), bool)
-            fresh[1:] = (shingle[1:] != shingle[:-1]) | (sid[1:] != sid[:-1]).any(axis=1)
+            fresh[1:] = (shingle[1:] != shingle[:-1]) | (sid[1:] != sid[:-1])
             shingle, sid = shingle[fresh], sid[fresh]
             like_next = np.append(shingle[1:] == shingle[:-1], False)
             like_last = np.append(False, shingle[1:] == shingle[:-1])
@@ -237,16 +231,17 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
             keep = like_next | like_last
             last = (shingle[-1:], sid[-1:], bool(like_last[-1]))
             keep[-1] = False  # told with the next batch
-            yield pa.record_batch([pa.array(shingle[keep]), _names_of(sid[keep])], names=["shingle", "sid"])
+            yield pa.record_batch([pa.array(shingle[keep]), pa.array(sid[keep])], names=["shingle", "sid"])
         if last is not None and last[2]:
-            yield pa.record_batch([pa.array(last[0]), _names_of(last[1])], names=["shingle", "sid"])
+            yield pa.record_batch([pa.array(last[0]), pa.array(last[1])], names=["shingle", "sid"])
 
-    firsts = rows.select("text").mapInArrow(first_ones, "shingle long, sid binary")
+    firsts = rows.select("text").mapInArrow(first_ones, "shingle long, sid long")
     together = firsts.repartition("shingle").sortWithinPartitions("shingle", "sid")
-    shared = materialize(together.mapInArrow(of_several, "shingle long, sid binary"))
+    shared = materialize(together.mapInArrow(of_several, "shingle long, sid long"))
 
     # groups: by the shingle that most other sets have in common with this one
-    sizes = sets.where("sid is not null").groupBy("sid").agg(F.first("size").alias("size"), F.min("doc_id").alias("least_id"))
+    named = sets.where("name is not null").groupBy("name").agg(F.first("size").alias("size"), F.min("doc_id").alias("least_id"))
+    sizes = named.withColumn("sid", head64(F.col("name")))
     counts = shared.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"))
     group_of = shared.join(counts, "shingle").groupBy("sid").agg(F.max(F.struct("c", "shingle"))["shingle"].alias("own")).join(sizes.select("sid", "size"), "sid")
     group_of = materialize(group_of)
@@ -255,7 +250,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     matrix = placed.groupBy("shingle", F.col("own").alias("g")).agg(F.count(F.lit(1)).alias("m"))
     # a set itself does not count in its own group's row
     meets = placed.join(matrix, "shingle").where((F.col("own") != F.col("g")) | (F.col("m") > 1))
-    met = meets.groupBy("sid", "g").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("size"), F.first("own").alias("own")).join(reach, "g")
+    met = meets.groupBy("sid", "g", "size", "own").agg(F.count(F.lit(1)).alias("c")).join(reach, "g")
     least = F.ceil(F.col("size") * percent / 100)
     asks = met.where((F.col("c") > F.floor(least / 20)) & (least <= F.col("hi")) & (F.col("lo") * percent <= F.col("size") * 100))
     asks = materialize(asks.select("sid", "g", "own", "size"))
@@ -287,12 +282,14 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
             for lo, texts in _texts(batch, 1):
                 found = []
                 for i, s in enumerate(shingle_sets(texts, n)):
-                    if len(s) and _is_marked(bits.value, sid := set_id(s), ids[lo + i]) and sid not in told:
-                        told.add(sid)
-                        found.append((sid, s.tobytes()))
-                yield pa.record_batch([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], names=["sid", "shingles"])
+                    name = set_id(s) if len(s) else None
+                    if name is not None and name not in told and _is_marked(bits.value, short(name), ids[lo + i]):
+                        told.add(name)
+                        found.append((short(name), name, s.tobytes()))
+                columns = zip(*found) if found else [[]] * 3
+                yield pa.record_batch([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], names=["sid", "name", "shingles"])
 
-    spelt = materialize(rows.mapInArrow(spell, "sid binary, shingles binary"))
+    spelt = materialize(rows.mapInArrow(spell, "sid long, name binary, shingles binary"))
 
     # large groups: link their sets with a few of them, then ask only for what is not in the main part
     everyone = queries.unionByName(members).distinct()
@@ -305,7 +302,8 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         pivots = by_group(members, big).groupBy("g", slot).agg(F.min(F.struct(F.xxhash64(F.lit(1), "sid").alias("h"), "sid", "size")).alias("p")).select("p.sid", "g", "p.size")
         links = materialize(_compare(in_big, materialize(pivots), spelt, percent, by_group))
         parts = connected_components(links)
-        known = materialize(in_big.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid")))
+        part_of = parts.select(head64(F.col("node")).alias("sid"), head64(F.col("component")).alias("part")).distinct()
+        known = materialize(in_big.join(part_of, "sid", "left").withColumn("part", F.coalesce("part", "sid")))
         main = known.groupBy("g", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(F.max(F.struct("c", "part"))["part"].alias("main"))
         left = by_group(known, main).where("part <> main").select("sid", "g", "size")
         queries = by_group(queries, big, "left_anti").unionByName(left)
@@ -314,11 +312,11 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     links = materialize(found if links is None else found.unionByName(links))
 
     parts = connected_components(links)
-    named = sizes.select("sid", "least_id").join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid"))
-    least = named.groupBy("part").agg(F.min("least_id").alias("component_id"))
-    of_set = named.join(least, "part").select("sid", "component_id")
-    linked = sets.where("sid is not null").join(of_set, "sid").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
-    empty = sets.where("sid is null").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    in_part = named.select("name", "least_id").join(parts.withColumnRenamed("node", "name"), "name", "left").withColumn("part", F.coalesce("component", "name"))
+    least = in_part.groupBy("part").agg(F.min("least_id").alias("component_id"))
+    of_set = in_part.join(least, "part").select("name", "component_id")
+    linked = sets.where("name is not null").join(of_set, "name").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+    empty = sets.where("name is null").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(empty)
 
 
@@ -337,7 +335,7 @@ def _compare(queries: DataFrame, members: DataFrame, spelt: DataFrame, percent:
     part = lambda k: F.pmod(F.xxhash64("sid", "g"), F.col(k)).cast("int")
     asked = by_group(queries, both).select("g", "sid", F.lit(True).alias("query"), part("nq").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("j"))
     held = by_group(members, both).select("g", "sid", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("i"), part("nm").alias("j"))
-    cells = asked.unionByName(held).join(spelt, "sid").select(F.xxhash64("g", "i", "j").alias("cell"), "g", "i", "j", "query", "sid", "shingles")
+    cells = asked.unionByName(held).join(spelt, "sid").select(F.xxhash64("g", "i", "j").alias("cell"), "g", "i", "j", "query", "name", "shingles")
 
     def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
@@ -357,7 +355,7 @@ def _compare(queries: DataFrame, members: DataFrame, spelt: DataFrame, percent:
         if found := cell_links(rows, percent):
             yield out(found)
 
-    ordered = cells.repartition("cell").sortWithinPartitions("cell", "g", "i", "j", "query", "sid")
+    ordered = cells.repartition("cell").sortWithinPartitions("cell", "g", "i", "j", "query", "name")
     return ordered.mapInArrow(links_of, "a binary, b binary")
 
 

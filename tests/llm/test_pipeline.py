@@ -69,6 +69,16 @@ def test_components_are_exact(spark, monkeypatch, blocks):
     assert got == plain_components(rows)
 
 
+def test_equal_short_names_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(nj, "short", lambda name: name[0] % 8)
+    monkeypatch.setattr(nj, "head64", lambda name: F.conv(F.hex(F.substring(name, 1, 1)), 16, 10).cast("long") % 8)
+    rows = texts_with_copies(13, 20, 3)
+    got = sorted(tuple(r) for r in nj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    plain = plain_components(rows)
+    # only links between sets of one short name that no other set shares a shingle with could be missed
+    assert [r[:2] for r in got] == [r[:2] for r in plain] and sum(a != b for a, b in zip(got, plain)) < len(rows) // 4
+
+
 def test_components_edges(spark):
     df = spark.createDataFrame([(5, "a b"), (3, "A\tb"), (3, "A\tb"), (None, "a b"), (None, None), (9, None)], "doc_id long, text string")
     got = [tuple(r) for r in nj.jaccard_components(df).collect()]
