@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+
 _own_scratch: list[str] = []
 
 
@@ -30,6 +37,19 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{base}/grocerlake-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Batches for Python of at most BATCH_ROWS rows: whole texts make the usual 10,000 some
+    ten megabytes, which lie in the memory of both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -38,7 +58,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,3 +80,26 @@ def unit_hash(key) -> "F.Column":
 def head64(digest) -> "F.Column":
     """The first eight bytes of a binary column as a signed big-endian number."""
     return F.conv(F.hex(F.substring(digest, 1, 8)), 16, -10).cast("long")
+
+
+_held: dict = {}
+
+
+def held(key, make=None):
+    """``make()`` for ``key``, kept by the Python worker until another key is asked for.
+
+    Workers outlive stages; so one holds the tables of one operator at a time.  Without ``make``, and with a key that
+    nobody has, only what is held is let go.
+    """
+    if key not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+        if make is None:
+            return None
+        _held[key] = make()
+    return _held[key]

@@ -12,14 +12,13 @@ gives RESOLUTION bytes of it in all (once, then, for most texts).  The sizes are
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held, table
 
 #: Bound of the sample: rows of a language, one of each hash slot, and characters of each, from a place that its hash tells.
 SAMPLE_DOCS, SAMPLE_CHARS = 256, 256
@@ -70,10 +69,9 @@ class _Encoder:
         return sum(len(self._zstd.compress(p + piece)) - n for p, n in zip(self._primers[:k], self._own) for piece in pieces) / k
 
 
-@lru_cache(maxsize=2)
 def _encoders(dictionaries: tuple[tuple[str, bytes], ...]) -> list[tuple[str, _Encoder]]:
     """An encoder of each language; kept by the worker."""
-    return [(lang, _Encoder(content)) for lang, content in dictionaries]
+    return held(("languages", dictionaries), lambda: [(lang, _Encoder(content)) for lang, content in dictionaries])
 
 
 def classify(text: str | None, dictionaries: tuple[tuple[str, bytes], ...], min_margin: float = MIN_MARGIN) -> tuple[str, float, bool]:

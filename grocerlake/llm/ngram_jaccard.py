@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import CHUNK, LOWER, SPACE, chunks, mix, runs, span_hashes
-from .common import head64, materialize, table
+from .common import head64, held, materialize, table
 from .components import connected_components
 
 N, PERCENT = 5, 80
@@ -109,11 +109,12 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
     """
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
+        held(None)
+        kept, size, seen = [], 0, set()
         names = ["doc_id", "name", "size", "shingle"]
 
         def often():
-            kinds, n_sets = np.unique(np.concatenate(held), return_counts=True)
+            kinds, n_sets = np.unique(np.concatenate(kept), return_counts=True)
             keep = n_sets >= COUNT_LEAST
             none = pa.nulls(int(keep.sum()), pa.int64())
             return pa.record_batch([none, pa.nulls(len(none), pa.binary()), pa.array(n_sets[keep].astype(np.int64)), pa.array(kinds[keep].view(np.int64))], names=names)
@@ -128,14 +129,14 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
                     sizes.append(len(s))
                     if key is not None and key not in seen:
                         seen.add(key)
-                        held.append(s)
+                        kept.append(s)
                         size += len(s)
                 k = len(texts)
                 yield pa.record_batch([ids[lo : lo + k], pa.array(sids, pa.binary()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int64())], names=names)
                 if size > COUNT_BLOCK:
                     yield often()
-                    held, size, seen = [], 0, set()
-        if held:
+                    kept, size, seen = [], 0, set()
+        if kept:
             yield often()
 
     return materialize(docs.mapInArrow(describe, "doc_id long, name binary, size long, shingle long"))
@@ -334,8 +335,8 @@ def _compare(queries: DataFrame, members: DataFrame, spelt: DataFrame, percent:
     both = materialize(blocks(queries, QUERY_BLOCK, QUERY_SHINGLES, "nq").join(blocks(members, MEMBER_BLOCK, MEMBER_SHINGLES, "nm"), "g"))
     part = lambda k: F.pmod(F.xxhash64("sid", "g"), F.col(k)).cast("int")
     asked = by_group(queries, both).select("g", "sid", F.lit(True).alias("query"), part("nq").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("j"))
-    held = by_group(members, both).select("g", "sid", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("i"), part("nm").alias("j"))
-    cells = asked.unionByName(held).join(spelt, "sid").select(F.xxhash64("g", "i", "j").alias("cell"), "g", "i", "j", "query", "name", "shingles")
+    offered = by_group(members, both).select("g", "sid", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("i"), part("nm").alias("j"))
+    cells = asked.unionByName(offered).join(spelt, "sid").select(F.xxhash64("g", "i", "j").alias("cell"), "g", "i", "j", "query", "name", "shingles")
 
     def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []

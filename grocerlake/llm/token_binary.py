@@ -16,7 +16,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytescan import CHUNK, LOWER, SPACE, chunks, runs, span_hashes
-from .common import materialize, table
+from .common import held, materialize, table
 
 END = 1
 SHARD_TOKENS = 1 << 19
@@ -207,9 +206,8 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text
 
 
-@lru_cache(maxsize=1)
 def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return held(("words", path), lambda: WordEncoder(path))
 
 
 # -- grammar -----------------------------------------------------------------
