@@ -49,7 +49,8 @@ def fct_scan_daily(scans: DataFrame, approx: bool = False) -> DataFrame:
     out = dated.groupBy("day").agg(*plain)
     for column, name in (("user_id", "active_users"), ("barcode", "unique_products")):
         counted = dated.groupBy("day", column).agg(F.lit(1)).groupBy("day").agg(F.count(column).alias(name))
-        out = out.join(counted, "day")
+        # scans without a time have a day of their own, null
+        out = out.join(counted.withColumnRenamed("day", "_day"), F.col("day").eqNullSafe(F.col("_day"))).drop("_day")
     return out
 
 

@@ -224,9 +224,10 @@ def record_scans(requests: DataFrame, profiles: DataFrame, products: DataFrame,
     return score_products(asked.join(products, "barcode")).select("user_id", "barcode", "score", "warnings", as_of.alias("created_at"))
 
 
-def latest_by(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The row of each key with the greatest ``order``."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last())
+def latest_by(df: DataFrame, key: str, order: str | None) -> DataFrame:
+    """The row of each key with the greatest ``order``; of equal ones, or without an order, the first by all its columns."""
+    first = [F.col(order).desc_nulls_last()] if order else []
+    w = Window.partitionBy(key).orderBy(*first, F.to_json(F.struct("*")))
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
@@ -259,6 +260,6 @@ def refresh_products(cache: DataFrame, fetched: DataFrame, as_of: Column, ttl_ho
 
 def upsert_products(cache: DataFrame, incoming: DataFrame, as_of: Column) -> DataFrame:
     """One row a barcode: the latest incoming one, stamped ``as_of``, before the cached one."""
-    latest = latest_by(incoming, "barcode", "updated_at") if "updated_at" in incoming.columns else incoming.dropDuplicates(["barcode"])
+    latest = latest_by(incoming, "barcode", "updated_at" if "updated_at" in incoming.columns else None)
     stamped = latest.withColumn("cached_at", as_of).select(*cache.columns)
     return cache.join(stamped.select("barcode"), "barcode", "left_anti").unionByName(stamped)

@@ -18,7 +18,7 @@ from grocerlake.operators import personal as pe
 from grocerlake.operators import products as pr
 from grocerlake.operators import retrieval as rt
 from grocerlake.plans.adapters import AS_OF, load, with_tables
-from grocerlake.sources.tables import markdown_fields
+from grocerlake.sources.tables import markdown_fields, read_eval_cases, read_product_dump, read_table, scratch_path
 from grocerlake.streaming import jobs as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -651,22 +651,12 @@ def routes(read, spark):
     return read("questions").select("query_id", tx.classify_route(c("question"), c("barcode")).alias("route"), tx.in_domain(c("question")).alias("in_domain"))
 
 
-@query(
-    """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM vectors WHERE vec_id % 50 = 0), s AS (SELECT query_id, chunk_id, round(list_dot_product(e::DOUBLE[], embedding::DOUBLE[]), 9) AS s FROM q, vectors)
-    SELECT query_id, chunk_id, round(s, 6) AS semantic_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM s QUALIFY rank <= 10"""
-)
-def vector_topk(read, spark):
-    v = read("vectors")
-    return rt.vector_topk(v.where("vec_id % 50 = 0").select(c("vec_id").alias("query_id"), c("embedding").alias("query_embedding")), v, 10).withColumn("semantic_score", F.round("semantic_score", 6))
-
-
-@query(
-    """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM vectors WHERE vec_id % 50 = 0), v AS (SELECT vec_id, embedding FROM vectors WHERE vec_id % 7 = 0) SELECT query_id, vec_id, round(list_dot_product(e::DOUBLE[], embedding::DOUBLE[]), 6) AS dot FROM q JOIN v ON vec_id % 100 = query_id % 100"""
-)
+@query("SELECT a.vec_id, b.vec_id AS other_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dot FROM vectors a JOIN vectors b ON b.vec_id = a.vec_id + 1")
 def dot_products(read, spark):
-    v = read("vectors")
-    q = v.where("vec_id % 50 = 0").select(c("vec_id").alias("query_id"), c("embedding").alias("e"))
-    return q.join(v.where("vec_id % 7 = 0"), c("vec_id") % 100 == c("query_id") % 100).select("query_id", "vec_id", F.round(rt.dot(c("e"), c("embedding")), 6).alias("dot"))
+    """Each vector with the next one."""
+    v = read("vectors").select("vec_id", "embedding")
+    after = v.select((c("vec_id") - 1).alias("vec_id"), c("vec_id").alias("other_id"), c("embedding").alias("other"))
+    return v.join(after, "vec_id").select("vec_id", "other_id", F.round(rt.dot(c("embedding"), c("other")), 6).alias("dot"))
 
 
 @query()
@@ -769,7 +759,13 @@ def metric_trend(read, spark):
     return ev.metric_trend(r, "m").select("id", "m", "previous", "delta")
 
 
-@query()
+_FAILED = "CASE metric " + " ".join(f"WHEN '{k}' THEN candidate {'>' if k.endswith('_ms') else '<'} {v}" for k, v in ev.THRESHOLDS.items()) + " ELSE false END"
+
+
+@query(
+    f"""WITH {AGG_SQL}, lg AS ({_LONG}), gd AS (SELECT count(*) FILTER ({_FAILED}) = 0 AS passed FROM lg)
+    SELECT id, CASE WHEN NOT passed THEN status WHEN id = '1' THEN 'published' WHEN status = 'published' THEN 'retired' ELSE status END AS status, CASE WHEN passed THEN 'succeeded' ELSE 'blocked' END AS run_status FROM releases, gd"""
+)
 def publish_if_passed(read, spark):
     decision = ev.gate(ev.aggregate_metrics(_case_metrics(read)))[0]
     registry, status = kn.publish_if_passed(read("releases"), "1", decision, NOW())
@@ -854,9 +850,22 @@ def parse_ingredients(read, spark):
     return lb.canonicalize_ingredients(rows)
 
 
-@query(f"SELECT doc_id, ['E100', 'E330'] AS additives, list_filter([{quoted(sorted(lb.ALLERGENS))}], lambda g: g IN ('gluten', 'milk')) AS allergens FROM label_texts")
+def _allergens_sql(folded: str) -> str:
+    held = lambda terms: " OR ".join(f"contains(' ' || {folded} || ' ', ' {t} ')" for t in terms)
+    return "list_filter([" + ", ".join(f"CASE WHEN {held(terms)} THEN '{group}' END" for group, terms in sorted(lb.ALLERGENS.items())) + "], lambda x: x IS NOT NULL)"
+
+
+_PRODUCT_TEXT = "SELECT doc_id, text FROM label_texts UNION ALL SELECT barcode AS doc_id, ingredients_text || CASE WHEN len(additives) > 0 THEN '; ' || array_to_string(additives, ', ') ELSE '' END AS text FROM product_cache"
+
+
+@query(
+    f"""WITH texts AS ({_PRODUCT_TEXT}), f AS (SELECT doc_id, text, {fold_sql('text')} AS folded FROM texts)
+    SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)\\bE[ -]?(\\d{{3,4}}[a-z]?)\\b', 1), lambda x: 'E' || upper(x)))) AS additives, {_allergens_sql('folded')} AS allergens FROM f"""
+)
 def additives_allergens(read, spark):
-    return read("label_texts").select("doc_id", lb.additive_codes(c("text")).alias("additives"), lb.detect_allergens(tx.fold_accents(c("text"))).alias("allergens"))
+    named = F.concat("ingredients_text", F.when(F.size("additives") > 0, F.concat(F.lit("; "), F.array_join("additives", ", "))).otherwise(""))
+    texts = read("label_texts").unionByName(read("product_cache").select(c("barcode").alias("doc_id"), named.alias("text")))
+    return texts.select("doc_id", lb.additive_codes(c("text")).alias("additives"), lb.detect_allergens(tx.fold_accents(c("text"))).alias("allergens"))
 
 
 def _provider_words(read):
@@ -1002,3 +1011,65 @@ def effective_request(read, spark):
 def throttle(read, spark):
     r = read("requests").withColumn("request_class", st.classify_request(c("method"), c("path"))).where("request_class is not null")
     return st.throttle(r)
+
+
+# -- streams, read to their end ----------------------------------------------
+
+
+def _drained(spark: SparkSession, rows: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream of the rows says when all of it is read; files lie in the shared folder."""
+    folder = scratch_path(spark)
+    rows.write.parquet(f"{folder}/in")
+    stream = build(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out")
+    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query(RAG_DAILY)
+def stream_rag_daily(read, spark):
+    return _drained(spark, read("rag_answer_audit"), st.stream_fct_rag_daily)
+
+
+@query("SELECT created_at::DATE AS day, count(*) AS scan_count, round(avg(score), 2) AS mean_score FROM scan_history GROUP BY ALL")
+def stream_scan_daily(read, spark):
+    return _drained(spark, read("scan_history"), st.stream_fct_scan_daily).select("day", "scan_count", "mean_score")
+
+
+@query(PIPELINE_DAILY)
+def stream_pipeline_daily(read, spark):
+    return _drained(spark, read("pipeline_runs"), st.stream_fct_pipeline_daily)
+
+
+@query(f"SELECT method, route, status, count(*) AS requests, round(sum(latency_ms), 2) AS latency_sum FROM {_ROUTES} GROUP BY ALL")
+def stream_http_counts(read, spark):
+    return _drained(spark, read("requests"), st.stream_http_metrics).withColumn("latency_sum", F.round("latency_sum", 2))
+
+
+# -- files -------------------------------------------------------------------
+
+
+@query("SELECT cast(item_id AS varchar) AS id, concat(CASE item_id % 3 WHEN 0 THEN 'sugar ' WHEN 1 THEN 'barcode protein ' ELSE '' END, text) AS question, CASE WHEN item_id % 5 = 0 THEN '4006381333931' END AS barcode FROM benchmark")
+def eval_case_files(read, spark):
+    """Cases written as JSON lines and read back."""
+    folder = scratch_path(spark)
+    read("questions").select(c("query_id").cast("string").alias("id"), "question", "barcode").write.json(folder)
+    return read_eval_cases(spark, [folder])[0].select("id", "question", "barcode")
+
+
+@query("SELECT barcode, name AS product_name, ingredients_text, nutriments['sugars_100g'] AS sugars FROM product_cache")
+def product_dump_files(read, spark):
+    """Payloads written as a dump of JSON lines and read back."""
+    folder = scratch_path(spark)
+    product = F.struct(c("name").alias("product_name"), "ingredients_text", "nutriments")
+    read("product_cache").select(c("barcode").alias("code"), F.lit(1).alias("status"), product.alias("product")).write.json(folder)
+    return read_product_dump(spark, folder).select("barcode", "product.product_name", "product.ingredients_text", c("product.nutriments")["sugars_100g"].alias("sugars"))
+
+
+@query("SELECT user_id, barcode, score, warnings, created_at, NULL::BIGINT AS quantity FROM scan_history")
+def declared_schema_files(read, spark):
+    """A table written without one of its declared columns and read with the declared schema."""
+    folder = scratch_path(spark)
+    read("scan_history").select("user_id", "barcode", "score", "warnings", "created_at").write.parquet(f"{folder}/scan_history.parquet")
+    got = read_table(spark, "scan_history", folder)
+    return got.select("user_id", "barcode", "score", "warnings", "created_at", c("id").cast("long").alias("quantity"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +88,11 @@ def read_product_dump(spark: SparkSession, path: str) -> DataFrame:
 def write_by_day(df: DataFrame, time: str, path: str) -> None:
     """Append events below a folder of each day."""
     df.withColumn("day", F.to_date(time)).write.mode("append").partitionBy("day").parquet(path)
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder that ``spark.checkpoint.dir`` names; a temporary one where Spark runs in this process alone."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{base or tempfile.gettempdir()}/grocerlake-{uuid.uuid4().hex}"
