@@ -7,6 +7,8 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,21 +96,31 @@ def chunk_documents(docs: DataFrame, max_tokens: int = 140, overlap: int = 24) -
     return out.select("*", "_chunk.*").drop("_chunk").withColumns({"content_hash": content_hash(F.col("content")), "token_count": F.size(tokenize(F.col("content")))})
 
 
-def hash_features(tokens, dims: int, memo: dict[str, tuple[int, float]]) -> np.ndarray:
-    """Unit vector of signed log counts of tokens and of neighbouring pairs, hashed to ``dims`` places."""
-    tokens = [] if tokens is None else list(tokens)
-    counts: dict[str, int] = {}
-    for feature in [*tokens, *map("::".join, zip(tokens, tokens[1:]))]:
-        counts[feature] = counts.get(feature, 0) + 1
-    vector = np.zeros(dims)
-    for feature, n in counts.items():
-        if feature not in memo:
-            digest = blake2b(feature.encode(), digest_size=8).digest()
-            memo[feature] = int.from_bytes(digest[:4], "big") % dims, 1.0 if digest[4] % 2 else -1.0
-        place, sign = memo[feature]
-        vector[place] += sign * np.log1p(n)
-    length = np.sqrt(vector @ vector)
-    return vector / length if length else vector
+def hash_features(tokens: pa.ListArray, dims: int) -> np.ndarray:
+    """A unit vector of each list: signed log counts of tokens and of neighbouring pairs, hashed to ``dims`` places.
+
+    Values for one place are added in ascending order, so that a text's vector does not depend on its batch.
+    """
+    n = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = tokens.flatten().dictionary_encode()
+    words, word = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    inside = row[1:] == row[:-1]
+    pairs, pair = np.unique((word[:-1] * len(words) + word[1:])[inside], return_inverse=True)
+    names = words + [f"{words[p // len(words)]}::{words[p % len(words)]}" for p in pairs.tolist()]
+    if not names:
+        return np.zeros((len(n), dims))
+    digests = np.frombuffer(b"".join(blake2b(x.encode(), digest_size=8).digest() for x in names), np.uint8).reshape(-1, 8)
+    place = digests[:, :4].copy().view(">u4").ravel().astype(np.int64) % dims
+    sign = np.where(digests[:, 4] % 2, 1.0, -1.0)
+    feature = np.concatenate((row * len(names) + word, row[1:][inside] * len(names) + len(words) + pair))
+    feature, count = np.unique(feature, return_counts=True)
+    row, feature = feature // len(names), feature % len(names)
+    value = sign[feature] * np.log1p(count)
+    order = np.lexsort((value, place[feature], row))
+    out = np.bincount((row * dims + place[feature])[order], weights=value[order], minlength=len(n) * dims).reshape(-1, dims)
+    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, length, out=out, where=length > 0)
 
 
 def model_name(dims: int = 256) -> str:
@@ -120,13 +132,11 @@ def feature_hash_embed(df: DataFrame, dims: int = 256, text: str = "content") ->
     if dims < 32:
         raise ValueError("dimensions must be at least 32")
 
-    @F.pandas_udf("array<double>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo: dict[str, tuple[int, float]] = {}
+    @F.arrow_udf("array<double>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            if len(memo) > 200_000:
-                memo.clear()
-            yield batch.map(lambda t: hash_features(t, dims, memo))
+            vectors = hash_features(batch, dims)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1) * dims, pa.int32()), pa.array(vectors.ravel()))
 
     return df.withColumn("embedding", embed(tokenize(F.col(text), True, True))).withColumn("embedding_model", F.lit(model_name(dims)))
 

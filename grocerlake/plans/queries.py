@@ -18,7 +18,7 @@ from grocerlake.operators import personal as pe
 from grocerlake.operators import products as pr
 from grocerlake.operators import retrieval as rt
 from grocerlake.plans.adapters import AS_OF, load, with_tables
-from grocerlake.sources.tables import markdown_fields, read_eval_cases, read_product_dump, read_table, scratch_path
+from grocerlake.sources.tables import markdown_fields, read_eval_cases, read_product_dump, read_table, scratch_path, store
 from grocerlake.streaming import jobs as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -493,6 +493,12 @@ def _chunks(read):
     return kn.chunk_documents(d).withColumnsRenamed({"filename": "source_filename", "title": "source_title"}).withColumn("chunk_id", F.concat("source_filename", F.lit("#"), "chunk_index"))
 
 
+def _release(read, embed=False):
+    """Chunks dealt evenly and stored once, as a release is, with their vectors if asked for."""
+    k = _chunks(read).repartition("chunk_id")
+    return store(kn.feature_hash_embed(k) if embed else k)
+
+
 @query(f"WITH {CHUNKS_SQL} SELECT source_filename, chunk_index, content, sha256(content) AS content_hash, len({tokens_sql('content')}) AS token_count FROM chunks")
 def chunk_documents(read, spark):
     return _chunks(read).select("source_filename", "chunk_index", "content", "content_hash", "token_count")
@@ -564,14 +570,14 @@ def postings(read, spark):
 
 @query(f"WITH {CHUNKS_SQL}, tk AS (SELECT chunk_id, {_WEIGHTED} AS t FROM chunks), u AS (SELECT DISTINCT chunk_id, unnest(t) AS token FROM tk) SELECT token, count(*) AS df, (SELECT count(*) FROM tk) AS n, (SELECT round(avg(len(t)), 6) FROM tk) AS avgdl FROM u GROUP BY token")
 def corpus_stats(read, spark):
-    k = _chunks(read)
+    k = _release(read)
     df, whole = rt.corpus_stats(rt.postings(k), k)
     return df.crossJoin(F.broadcast(whole)).withColumn("avgdl", F.round("avgdl", 6))  # one row
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, chunk_id, round(lexical_score, 6) AS lexical_score FROM bm")
 def bm25(read, spark):
-    return rt.bm25(read("questions"), _chunks(read)).withColumn("lexical_score", F.round("lexical_score", 6))
+    return rt.bm25(read("questions"), _release(read)).withColumn("lexical_score", F.round("lexical_score", 6))
 
 
 FLOOR_SQL = f"""
@@ -583,7 +589,7 @@ ctx AS (SELECT *, list(source_filename) FILTER (rank <= 3) OVER (PARTITION BY qu
 
 def _selected(read):
     """Hits of each question by words alone: no vectors, so that SQL can follow."""
-    k = _chunks(read)
+    k = _release(read)
     scored = rt.bm25(read("questions"), k).join(k.select("chunk_id", "source_filename", "source_title", "chunk_index", "content"), "chunk_id").withColumn("semantic_score", F.lit(0.0))
     return rt.select_answer_context(rt.apply_evidence_floor(rt.fuse(scored, 18), 6))
 
@@ -616,9 +622,9 @@ def answer_audit(read, spark):
 
 def _selected_hybrid(read):
     """Hits of each question by words and vectors, as answers are meant to have them; DuckDB cannot follow."""
-    k = _chunks(read)
+    k = _release(read, embed=True)
     q = kn.feature_hash_embed(read("questions"), text="question").withColumnRenamed("embedding", "query_embedding")
-    hits = rt.hybrid_search(q, kn.feature_hash_embed(k), 18).join(k.select("chunk_id", "source_title", "content"), "chunk_id")
+    hits = rt.hybrid_search(q, k, 18).join(k.select("chunk_id", "source_title", "content"), "chunk_id")
     return rt.select_answer_context(rt.apply_evidence_floor(hits, 6))
 
 
@@ -641,7 +647,7 @@ def answer_audit_hybrid(read, spark):
 
 @query()
 def hybrid_search(read, spark):
-    k = kn.feature_hash_embed(_chunks(read))
+    k = _release(read, embed=True)
     q = kn.feature_hash_embed(read("questions"), text="question").withColumnRenamed("embedding", "query_embedding")
     return rt.hybrid_search(q, k, 10).select("query_id", "chunk_id", "rank", "lexical_rank", "semantic_rank", F.round("fused_score", 8).alias("fused_score"))
 
@@ -659,9 +665,18 @@ def dot_products(read, spark):
     return v.join(after, "vec_id").select("vec_id", "other_id", F.round(rt.dot(c("embedding"), c("other")), 6).alias("dot"))
 
 
+@query(
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM vectors WHERE vec_id % 50 = 0), s AS (SELECT query_id, chunk_id, round(list_dot_product(e::DOUBLE[], embedding::DOUBLE[]), 9) AS s FROM q, vectors)
+    SELECT query_id, chunk_id, round(s, 6) AS semantic_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM s QUALIFY rank <= 10"""
+)
+def vector_topk(read, spark):
+    v = read("vectors")
+    return rt.vector_topk(v.where("vec_id % 50 = 0").select(c("vec_id").alias("query_id"), c("embedding").alias("query_embedding")), v, 10).withColumn("semantic_score", F.round("semantic_score", 6))
+
+
 @query()
 def candidates(read, spark):
-    k = kn.feature_hash_embed(_chunks(read))
+    k = _release(read, embed=True)
     q = kn.feature_hash_embed(read("questions"), text="question").withColumnRenamed("embedding", "query_embedding")
     return rt.candidates(q, k, 80)
 

@@ -96,3 +96,10 @@ def scratch_path(spark: SparkSession) -> str:
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{base or tempfile.gettempdir()}/grocerlake-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame) -> DataFrame:
+    """``df`` written once in the shared folder and read back, for what is used several times."""
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
