@@ -82,6 +82,24 @@ def head64(digest) -> "F.Column":
     return F.conv(F.hex(F.substring(digest, 1, 8)), 16, -10).cast("long")
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, which allocators otherwise keep."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(work):
+    """``work`` on a task's batches; the worker, which waits for the next task, gives back what it freed."""
+
+    def run(batches):
+        yield from work(batches)
+        _give_back()
+
+    return run
+
+
 _held: dict = {}
 
 
@@ -95,10 +113,7 @@ def held(key, make=None):
         if _held:
             _held.clear()
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            _give_back()
         if make is None:
             return None
         _held[key] = make()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import CHUNK, LOWER, SPACE, chunks, mix, runs, span_hashes
-from .common import head64, held, materialize, table
+from .common import head64, held, materialize, table, tidy
 from .components import connected_components
 
 N, PERCENT = 5, 80
@@ -139,7 +139,7 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
         if kept:
             yield often()
 
-    return materialize(docs.mapInArrow(describe, "doc_id long, name binary, size long, shingle long"))
+    return materialize(docs.mapInArrow(tidy(describe), "doc_id long, name binary, size long, shingle long"))
 
 
 def _bits(rows: DataFrame) -> np.ndarray:
@@ -236,9 +236,9 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         if last is not None and last[2]:
             yield pa.record_batch([pa.array(last[0]), pa.array(last[1])], names=["shingle", "sid"])
 
-    firsts = rows.select("text").mapInArrow(first_ones, "shingle long, sid long")
+    firsts = rows.select("text").mapInArrow(tidy(first_ones), "shingle long, sid long")
     together = firsts.repartition("shingle").sortWithinPartitions("shingle", "sid")
-    shared = materialize(together.mapInArrow(of_several, "shingle long, sid long"))
+    shared = materialize(together.mapInArrow(tidy(of_several), "shingle long, sid long"))
 
     # groups: by the shingle that most other sets have in common with this one
     named = sets.where("name is not null").groupBy("name").agg(F.first("size").alias("size"), F.min("doc_id").alias("least_id"))
@@ -290,7 +290,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
                 columns = zip(*found) if found else [[]] * 3
                 yield pa.record_batch([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], names=["sid", "name", "shingles"])
 
-    spelt = materialize(rows.mapInArrow(spell, "sid long, name binary, shingles binary"))
+    spelt = materialize(rows.mapInArrow(tidy(spell), "sid long, name binary, shingles binary"))
 
     # large groups: link their sets with a few of them, then ask only for what is not in the main part
     everyone = queries.unionByName(members).distinct()
@@ -357,7 +357,7 @@ def _compare(queries: DataFrame, members: DataFrame, spelt: DataFrame, percent:
             yield out(found)
 
     ordered = cells.repartition("cell").sortWithinPartitions("cell", "g", "i", "j", "query", "name")
-    return ordered.mapInArrow(links_of, "a binary, b binary")
+    return ordered.mapInArrow(tidy(links_of), "a binary, b binary")
 
 
 def cell_links(rows: list[tuple[bool, bytes, np.ndarray]], percent: int = PERCENT) -> list[tuple[bytes, bytes]]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytescan import CHUNK, LOWER, SPACE, chunks, runs, span_hashes
-from .common import held, materialize, table
+from .common import held, materialize, table, tidy
 
 END = 1
 SHARD_TOKENS = 1 << 19
@@ -416,7 +416,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, vocabulary: int, te
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-whole // RANGE_BYTES))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = ordered.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    return materialize(ordered.mapInArrow(encode, SHARD_SCHEMA))
+    return materialize(ordered.mapInArrow(tidy(encode), SHARD_SCHEMA))
 
 
 def _slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -444,7 +444,7 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
                     names=["part", "seq", "doc_id", "_at", "n_tokens", "ids_crc32"],
                 )
 
-    docs = shards.mapInArrow(decode, "part int, seq int, doc_id long, _at long, n_tokens long, ids_crc32 long")
+    docs = shards.mapInArrow(tidy(decode), "part int, seq int, doc_id long, _at long, n_tokens long, ids_crc32 long")
     sizes = shards.select("part", "seq", "n_tokens")
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
