@@ -188,3 +188,37 @@ def test_manifest_is_hashed_line_by_line(spark, capsys):
     assert [r[0] for r in kn.manifest_hash(df.limit(0), {}).collect()] == [sha256(b"\n").hexdigest()]
     got.explain()
     assert "collect_list" not in capsys.readouterr().out
+
+
+def test_feature_vectors_follow_a_plain_count():
+    import math
+    from collections import Counter
+    from hashlib import blake2b
+
+    import numpy as np
+    import pyarrow as pa
+
+    from grocerlake.operators.knowledge import hash_features
+
+    lists = [["sugar", "salt", "sugar", "salt"], None, [], ["fibre"], ["sugar", "sugar", "sugar"]]
+    want = np.zeros((len(lists), 40))
+    for row, words in enumerate(lists):
+        words = words or []
+        for feature, n in Counter([*words, *(f"{a}::{b}" for a, b in zip(words, words[1:]))]).items():
+            digest = blake2b(feature.encode(), digest_size=8).digest()
+            want[row, int.from_bytes(digest[:4], "big") % 40] += math.log1p(n) * (1 if digest[4] % 2 else -1)
+        want[row] /= np.linalg.norm(want[row]) or 1
+    together = hash_features(pa.array(lists, pa.list_(pa.string())), 40)
+    assert np.allclose(together, want, atol=1e-12)
+    # the same bits in whatever batch a text lies
+    assert all((hash_features(pa.array([x], pa.list_(pa.string())), 40)[0] == v).all() for x, v in zip(lists, together))
+    assert hash_features(pa.array([None, []], pa.list_(pa.string())), 40).tolist() == [[0.0] * 40] * 2
+    assert hash_features(pa.array([], pa.list_(pa.string())), 40).shape == (0, 40)
+
+
+def test_filled_dot_equals_dot(spark):
+    from grocerlake.operators.retrieval import dot, filled, filled_dot
+
+    df = spark.createDataFrame([([0.0, 2.0, 0.0, -1.5], [1.0, 0.25, 3.0, 4.0]), ([1.0], [1.0, 2.0]), ([], []), ([0.0, 0.0], [1.0, 2.0])], "a array<double>, b array<double>")
+    got = df.select(dot(F.col("a"), F.col("b")), filled_dot(F.size("a"), filled(F.col("a")), F.col("b"))).collect()
+    assert [r[0] for r in got] == [r[1] for r in got] == [-5.5, 0.0, 0.0, 0.0]
