@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language_id, licenses, media, mixing, ngram_jaccard, quality, sharding, token_binary
+from . import centroids, decontamination, html_text, language_id, licenses, media, merkle, minhash, mixing, ngram_jaccard, quality, sharding, token_binary
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_shard": sharding.op8_shard,
     "op9_media_chunks": media.op9_media_chunks,
     "op10_quality": quality.op10_quality,
+    "op11_centroid_clusters": centroids.op11_centroid_clusters,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_minhash_dedup": minhash.op13_minhash_dedup,
 }
 
 ORACLES = {
@@ -22,4 +25,7 @@ ORACLES = {
     "op3_source_mix": mixing.OP3_SQL,
     "op6_decontaminate": decontamination.OP6_SQL,
     "op8_shard": sharding.OP8_SQL,
+    "op11_centroid_clusters": centroids.OP11_SQL,
+    "op12_merkle_manifest": merkle.OP12_SQL,
+    "op13_minhash_dedup": minhash.OP13_SQL,
 }
