@@ -580,6 +580,12 @@ def bm25(read, spark):
     return rt.bm25(read("questions"), _release(read)).withColumn("lexical_score", F.round("lexical_score", 6))
 
 
+@query(f"WITH {BM25_SQL} SELECT query_id, chunk_id, round(lexical_score, 6) AS lexical_score, row_number() OVER (PARTITION BY query_id ORDER BY lexical_score DESC, source_filename, chunk_index) AS rank FROM bm JOIN chunks USING (chunk_id) QUALIFY rank <= 10")
+def bm25_topk(read, spark):
+    best = rt.bm25_topk(read("questions"), rt.PostingBlocks(_release(read)), 10)
+    return best.select("query_id", "chunk_id", F.round("lexical_score", 6).alias("lexical_score"), c("lexical_rank").alias("rank"))
+
+
 FLOOR_SQL = f"""
 {BM25_SQL}, h AS (SELECT query_id, chunk_id, source_filename, source_title, chunk_index, content, lexical_score, 1.0::DOUBLE / (60 + row_number() OVER w) AS fused, row_number() OVER w AS r FROM bm JOIN chunks USING (chunk_id) WINDOW w AS (PARTITION BY query_id ORDER BY lexical_score DESC, source_filename, chunk_index)),
 e AS (SELECT *, max(fused) OVER (PARTITION BY query_id) AS top FROM h WHERE r <= 18), fl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM e WHERE fused >= top * 0.72 QUALIFY rank <= 6),
@@ -588,9 +594,10 @@ ctx AS (SELECT *, list(source_filename) FILTER (rank <= 3) OVER (PARTITION BY qu
 
 
 def _selected(read):
-    """Hits of each question by words alone: no vectors, so that SQL can follow."""
+    """Hits of each question by words alone, of which the first 18 are sought."""
     k = _release(read)
-    scored = rt.bm25(read("questions"), k).join(k.select("chunk_id", "source_filename", "source_title", "chunk_index", "content"), "chunk_id").withColumn("semantic_score", F.lit(0.0))
+    best = rt.bm25_topk(read("questions"), rt.PostingBlocks(k), 18)
+    scored = best.drop("lexical_rank").join(k.select("chunk_id", "source_title", "content"), "chunk_id").withColumn("semantic_score", F.lit(0.0))
     return rt.select_answer_context(rt.apply_evidence_floor(rt.fuse(scored, 18), 6))
 
 
@@ -652,6 +659,64 @@ def hybrid_search(read, spark):
     return rt.hybrid_search(q, k, 10).select("query_id", "chunk_id", "rank", "lexical_rank", "semantic_rank", F.round("fused_score", 8).alias("fused_score"))
 
 
+# the same with vectors of the given table in place of made ones: chunk j of document d has vector (7 d + j) mod n, question q vector q mod n
+
+STORED_SQL = f"""
+{BM25_SQL}, vn AS (SELECT count(*) AS n FROM vectors), cv AS (SELECT k.*, v.embedding AS e FROM chunks k, vn JOIN vectors v ON v.vec_id = (7 * regexp_extract(k.source_filename, '([0-9]+)', 1)::BIGINT + k.chunk_index) % vn.n),
+qv AS (SELECT query_id, v.embedding AS e FROM questions, vn JOIN vectors v ON v.vec_id = query_id % vn.n),
+hs AS (SELECT query_id, chunk_id, source_filename, source_title, chunk_index, content, lexical_score, round(list_dot_product(cv.e::DOUBLE[], qv.e::DOUBLE[]), 9) AS semantic_score FROM bm JOIN cv USING (chunk_id) JOIN qv USING (query_id)),
+hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical_score DESC, source_filename, chunk_index) AS lexical_rank, row_number() OVER (PARTITION BY query_id ORDER BY semantic_score DESC, source_filename, chunk_index) AS sr FROM hs),
+hf AS (SELECT *, CASE WHEN semantic_score > 0 THEN sr END AS semantic_rank, 1.0::DOUBLE / (60 + lexical_rank) + coalesce(0.8::DOUBLE / (60 + CASE WHEN semantic_score > 0 THEN sr END), 0) AS fused FROM hr),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, lexical_score DESC, semantic_score DESC, source_filename, chunk_index) AS r FROM hf),
+e AS (SELECT *, max(fused) OVER (PARTITION BY query_id) AS top FROM h WHERE r <= 18), fl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM e WHERE fused >= top * 0.72 QUALIFY rank <= 6),
+ctx AS (SELECT *, list(source_filename) FILTER (rank <= 3) OVER (PARTITION BY query_id) AS s FROM fl), sel AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM ctx WHERE rank <= 3 OR list_contains(s, source_filename) QUALIFY place <= 4)
+"""
+
+
+def _stored_vectors(read):
+    """(questions with query_embedding, a stored release with embedding)."""
+    v = read("vectors").select(c("vec_id").alias("_v"), "embedding")
+    n = v.count()
+    k = _release(read)
+    of_chunk = F.pmod(7 * F.regexp_extract("source_filename", "([0-9]+)", 1).cast("long") + c("chunk_index"), F.lit(n))
+    k = store(k.withColumn("_v", of_chunk).join(v, "_v").drop("_v"))
+    q = read("questions").withColumn("_v", F.pmod("query_id", F.lit(n))).join(v.withColumnRenamed("embedding", "query_embedding"), "_v").drop("_v")
+    return store(q), k
+
+
+def _selected_stored(read):
+    q, k = _stored_vectors(read)
+    hits = rt.hybrid_search(q, k, 18).join(k.select("chunk_id", "source_title", "content"), "chunk_id")
+    return rt.select_answer_context(rt.apply_evidence_floor(hits, 6))
+
+
+@query(f"WITH {STORED_SQL} SELECT query_id, chunk_id, r AS rank, lexical_rank, semantic_rank, round(fused, 8) AS fused_score FROM h WHERE r <= 10")
+def hybrid_search_stored(read, spark):
+    q, k = _stored_vectors(read)
+    return rt.hybrid_search(q, k, 10).select("query_id", "chunk_id", "rank", "lexical_rank", "semantic_rank", F.round("fused_score", 8).alias("fused_score"))
+
+
+@query(f"WITH {STORED_SQL} SELECT query_id, chunk_id, place AS rank, round(fused, 8) AS fused_score FROM sel")
+def answer_context_stored(read, spark):
+    return _selected_stored(read).select("query_id", "chunk_id", "rank", F.round("fused_score", 8).alias("fused_score"))
+
+
+@query(f"WITH {STORED_SQL}, {answers_sql('sel', 'source_filename', 'place', 'content')} SELECT query_id, route, x IS NULL AS abstained, {_ANSWER} AS answer, coalesce(cited, []) AS sources FROM a")
+def answer_questions_stored(read, spark):
+    out = rt.answer_questions(read("questions"), _selected_stored(read))
+    sources = F.coalesce(F.transform("citations", lambda x: x["source"]), F.array().cast("array<string>"))
+    return out.select("query_id", "route", "abstained", "answer", sources.alias("sources"))
+
+
+@query(
+    f"""WITH {STORED_SQL}, lw AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY lexical_score DESC, source_filename, chunk_index) AS lexical_rank FROM bm JOIN chunks USING (chunk_id) QUALIFY lexical_rank <= 80),
+    lv AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(cv.e::DOUBLE[], qv.e::DOUBLE[]), 9) DESC, chunk_id) AS vector_rank FROM cv, qv QUALIFY vector_rank <= 80)
+    SELECT query_id, chunk_id, lexical_rank, vector_rank FROM lw FULL JOIN lv USING (query_id, chunk_id)"""
+)
+def candidates_stored(read, spark):
+    return rt.candidates(*_stored_vectors(read), 80)
+
+
 @query(f"SELECT query_id, {route_sql('question', 'barcode')} AS route, {_DOMAIN} AS in_domain FROM questions")
 def routes(read, spark):
     return read("questions").select("query_id", tx.classify_route(c("question"), c("barcode")).alias("route"), tx.in_domain(c("question")).alias("in_domain"))

@@ -214,11 +214,3 @@ def test_feature_vectors_follow_a_plain_count():
     assert all((hash_features(pa.array([x], pa.list_(pa.string())), 40)[0] == v).all() for x, v in zip(lists, together))
     assert hash_features(pa.array([None, []], pa.list_(pa.string())), 40).tolist() == [[0.0] * 40] * 2
     assert hash_features(pa.array([], pa.list_(pa.string())), 40).shape == (0, 40)
-
-
-def test_filled_dot_equals_dot(spark):
-    from grocerlake.operators.retrieval import dot, filled, filled_dot
-
-    df = spark.createDataFrame([([0.0, 2.0, 0.0, -1.5], [1.0, 0.25, 3.0, 4.0]), ([1.0], [1.0, 2.0]), ([], []), ([0.0, 0.0], [1.0, 2.0])], "a array<double>, b array<double>")
-    got = df.select(dot(F.col("a"), F.col("b")), filled_dot(F.size("a"), filled(F.col("a")), F.col("b"))).collect()
-    assert [r[0] for r in got] == [r[1] for r in got] == [-5.5, 0.0, 0.0, 0.0]
