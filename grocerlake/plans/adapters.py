@@ -182,6 +182,7 @@ def with_tables(body: str) -> str:
     """The same for DuckDB: the tables that ``body`` names, as common table expressions before it."""
     used = [n for n in ADAPTERS if re.search(rf"\b{n}\b", body)]
     parts = [f"{n} AS ({ADAPTERS[n](Duck)})" for n in used]
-    m = re.match(r"\s*WITH\s+", body)
+    m = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", body)
     rest = ", " + body[m.end() :] if m else " " + body
-    return "WITH " + ", ".join(parts) + rest if parts else body
+    recursive = "RECURSIVE " if m and m[1] else ""
+    return f"WITH {recursive}" + ", ".join(parts) + rest if parts else body

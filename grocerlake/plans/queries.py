@@ -1054,24 +1054,60 @@ def eligible_meals(read, spark):
     return ml.eligible_meals(read("meal_requests"), ml.meal_catalog(spark))
 
 
-@query()
+def _plans_sql() -> str:
+    """The greedy plans: of each request the steps so far, and in the next slot the best meal."""
+    rows = []
+    for i, m in enumerate(ml.meals()):
+        parts = [x["name"].lower() for x in m["ingredients"]]
+        held = " ".join([m["name"].lower(), *m["aliases"], *m["allergens"], *parts])
+        things = "[" + ", ".join(f"{{'name': '{x['name']}', 'quantity': {x['quantity']}::DOUBLE, 'unit': '{x['unit']}'}}" for x in m["ingredients"]) + "]"
+        rows.append(f"('{m['id']}', {i}, [{quoted(m['meal_types'])}], [{quoted(m['goals'])}], [{quoted(m['diets'])}], [{quoted(m['aliases'])}], [{quoted(parts)}], '{held}', {m['protein_g']}::DOUBLE, {m['fiber_g']}::DOUBLE, {m['kcal']}, {m['cost_vnd']}, {things})")
+    return (
+        "RECURSIVE mc AS (SELECT * FROM (VALUES " + ", ".join(rows) + ") v(meal_id, place, slots, goals, diets, aliases, parts, held, protein_g, fiber_g, kcal, cost_vnd, things)), "
+        """rq AS (SELECT *, list_transform(excluded_ingredients, lambda t: lower(trim(t))) AS blocked, list_distinct(list_transform(available_items, lambda t: lower(trim(t)))) AS pantry, ['breakfast', 'lunch', 'dinner'][1:meals_per_day] AS asked FROM meal_requests),
+    mo AS (SELECT request_id, meal_id, place, slots, cost_vnd, list_sort(list_filter(pantry, lambda t: list_contains(aliases, t) OR len(list_filter(parts, lambda p: contains(p, t))) > 0)) AS used, goals, protein_g, fiber_g, kcal, goal FROM rq, mc
+      WHERE (diet IS NULL OR diet IN ('', 'general') OR list_contains(diets, diet)) AND len(list_filter(blocked, lambda t: contains(held, t))) = 0),
+    mw AS (SELECT *, (CASE WHEN list_contains(goals, goal) THEN 12 ELSE 0 END + 5 * len(used) + CASE goal WHEN 'high_protein' THEN protein_g / 5 WHEN 'weight_loss' THEN fiber_g - kcal / 100 ELSE 0 END)::DOUBLE AS worth FROM mo),
+    ms(request_id, i, taken, slot, used) AS (SELECT request_id, 0, []::VARCHAR[], '', []::VARCHAR[] FROM rq
+      UNION ALL SELECT s.request_id, s.i + 1, list_append(s.taken, arg_max(w.meal_id, (r, -w.place))), s.next, arg_max(w.used, (r, -w.place)) FROM
+      (SELECT ms.*, rq.budget, asked[ms.i % len(asked) + 1] AS next, ms.i // len(asked) + 1 AS day FROM ms JOIN rq USING (request_id) WHERE ms.i < days * len(asked)) s JOIN mw w ON w.request_id = s.request_id AND list_contains(w.slots, s.next),
+      LATERAL (SELECT worth - 18 * len(list_filter(s.taken, lambda x: x = w.meal_id)) - CASE WHEN list_contains(s.taken[greatest(1, len(s.taken) - 2):], w.meal_id) THEN 24 ELSE 0 END - CASE WHEN coalesce(s.budget, 0) <> 0 THEN greatest(0, w.cost_vnd - s.budget / s.day / 3) / 5000 ELSE 0 END AS r) t
+      GROUP BY s.request_id, s.i, s.taken, s.next),
+    plans AS (SELECT ms.request_id, ((i - 1) // len(asked) + 1)::INT AS day, slot, (i - 1)::INT AS position, taken[-1] AS meal_id, used AS pantry_matches FROM ms JOIN rq USING (request_id) WHERE i > 0)"""
+    )
+
+
+PLANS_SQL = _plans_sql()
+
+
+@query(f"WITH {PLANS_SQL} SELECT *, NULL::VARCHAR AS reject_reason FROM plans")
 def plan_meals(read, spark):
     return ml.plan_meals(read("meal_requests"))
 
 
-@query()
+@query(
+    f"""WITH {PLANS_SQL}, sl AS (SELECT request_id, unnest(things) AS i, aliases, pantry FROM plans JOIN mc USING (meal_id) JOIN rq USING (request_id))
+    SELECT request_id, i.name AS item, i.unit AS unit, sum(i.quantity) AS quantity FROM sl WHERE len(list_filter(pantry, lambda t: contains(lower(i.name), t) OR list_contains(aliases, t))) = 0 GROUP BY ALL"""
+)
 def shopping_list(read, spark):
     r = read("meal_requests")
     return ml.shopping_list(ml.plan_meals(r), ml.meal_catalog(spark), r)
 
 
-@query()
+@query(
+    f"""WITH {PLANS_SQL}, pt AS (SELECT request_id, sum(kcal)::BIGINT AS calories_kcal, round(sum(protein_g), 1) AS protein_g, round(sum(fiber_g), 1) AS fiber_g, sum(cost_vnd)::BIGINT AS estimated_cost_vnd FROM plans JOIN mc USING (meal_id) GROUP BY request_id)
+    SELECT request_id, calories_kcal, protein_g, fiber_g, estimated_cost_vnd, round_even(calories_kcal / days, 0) AS daily_calories_kcal, round(protein_g / days, 1) AS daily_protein_g, round(fiber_g / days, 1) AS daily_fiber_g,
+      list_filter(['estimates', CASE WHEN budget > 0 AND estimated_cost_vnd > budget THEN 'over_budget' END, CASE WHEN target_calories > 0 AND abs(calories_kcal / days - target_calories) / target_calories > 0.2 THEN 'calories_off_target' END], lambda x: x IS NOT NULL) AS warnings FROM pt JOIN rq USING (request_id)"""
+)
 def plan_totals(read, spark):
     r = read("meal_requests")
     return ml.plan_totals(ml.plan_meals(r), ml.meal_catalog(spark), r)
 
 
-@query()
+@query(
+    f"""WITH {PLANS_SQL}, mr AS (SELECT p.*, array_to_string(list_filter([CASE WHEN list_contains(goals, goal) THEN 'phù hợp mục tiêu' END, CASE WHEN protein_g >= 30 THEN 'giàu protein' END, CASE WHEN fiber_g >= 10 THEN 'nhiều chất xơ' END, CASE WHEN len(pantry_matches) > 0 THEN 'tận dụng ' || array_to_string(pantry_matches, ', ') END], lambda x: x IS NOT NULL), ', ') AS told FROM plans p JOIN mc USING (meal_id) JOIN rq USING (request_id))
+    SELECT request_id, day, slot, position, meal_id, pantry_matches, NULL::VARCHAR AS reject_reason, CASE WHEN told <> '' THEN told ELSE 'tăng độ đa dạng thực phẩm' END AS reason FROM mr"""
+)
 def meal_reasons(read, spark):
     r = read("meal_requests")
     return ml.meal_reason(ml.plan_meals(r), ml.meal_catalog(spark), r)
