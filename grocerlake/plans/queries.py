@@ -924,10 +924,41 @@ def validate_nutriments(read, spark):
     return read("product_cache").select("barcode", lb.validate_nutriments(numbers).alias("issues"))
 
 
-@query()
+def _ingredients_sql(lists: str) -> str:
+    """Items of nested lists, depth by depth, from a table of (doc_id, part); a fold over the pieces of a part, as the fold of the library."""
+    fold = """list_reduce(list_concat([{'depth': 0, 'items': []::VARCHAR[], 'item': ''}], list_transform(list_append(regexp_extract_all(part, '[^(),;\\[\\]]+|[(),;\\[\\]]'), chr(0)), lambda t: {'depth': 0, 'items': []::VARCHAR[], 'item': t})),
+      lambda s, t: CASE WHEN t.item = chr(0) OR (t.item IN (',', ';') AND s.depth = 0) THEN {'depth': s.depth, 'items': CASE WHEN trim(s.item) <> '' THEN list_append(s.items, trim(s.item, ' .;:' || chr(10) || chr(9))) ELSE s.items END, 'item': ''}
+      ELSE {'depth': greatest(0, s.depth + CASE WHEN t.item IN ('(', '[') THEN 1 WHEN t.item IN (')', ']') THEN -1 ELSE 0 END), 'items': s.items, 'item': s.item || t.item} END).items"""
+    return f"""RECURSIVE il AS ({lists}), ip(doc_id, path, item, depth) AS (
+      SELECT doc_id, [k - 1]::INT[], x[k], 0 FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS k FROM (SELECT doc_id, {fold} AS x FROM il))
+      UNION ALL SELECT doc_id, list_append(path, (k - 1)::INT), x[k], depth + 1 FROM (SELECT doc_id, path, depth, x, unnest(range(1, len(x) + 1)) AS k FROM (SELECT doc_id, path, depth, {fold} AS x FROM
+        (SELECT doc_id, path, depth, substr(item, instr(item, '(') + 1, length(item) - instr(item, '(') - 1) AS part FROM ip WHERE contains(item, '(') AND ends_with(item, ')'))))),
+    it AS (SELECT doc_id, path, depth, CASE WHEN contains(item, '(') AND ends_with(item, ')') THEN trim(left(item, instr(item, '(') - 1)) ELSE item END AS name FROM ip),
+    ingredients AS (SELECT doc_id, path, trim(regexp_replace(name, '(?:\\(|\\b)(\\d+(?:[.,]\\d+)?)\\s*%', '', 'g'), ' (),') AS raw_name, try_cast(replace(regexp_extract(name, '(?:\\(|\\b)(\\d+(?:[.,]\\d+)?)\\s*%', 1), ',', '.') AS DOUBLE) AS percentage, depth FROM it)"""
+
+
+@query(f"""WITH {_ingredients_sql("SELECT doc_id, regexp_extract(text, 'Ingredients: ([^' || chr(10) || ']*)', 1) AS part FROM label_texts")} SELECT * FROM ingredients""")
 def parse_ingredients(read, spark):
-    rows = read("label_texts").select("doc_id", F.explode(lb.parse_ingredients(F.regexp_extract("text", "Ingredients: ([^\n]*)", 1))).alias("e")).select("doc_id", "e.*")
-    return lb.canonicalize_ingredients(rows)
+    lists = read("label_texts").select("doc_id", F.regexp_extract("text", "Ingredients: ([^\n]*)", 1).alias("part"))
+    return lb.parse_ingredients(lists, "part", "doc_id")
+
+
+_NESTED = "SELECT p_partkey AS doc_id, concat(p_type, ' (', replace(p_name, ' ', ', '), ' ', p_size, '% [', p_brand, '; x]), ', p_brand, ' (a, (', p_type, ' 2,5%; b (c)), d); ', p_size % 7, ' % rest (; ), .') AS part FROM part"
+
+
+@query(f"WITH {_ingredients_sql(_NESTED)} SELECT * FROM ingredients")
+def nested_ingredients(read, spark):
+    """Lists within lists, with brackets of both kinds, empty items and shares."""
+    p = read.raw("part")
+    text = F.concat("p_type", F.lit(" ("), F.replace("p_name", F.lit(" "), F.lit(", ")), F.lit(" "), "p_size", F.lit("% ["), "p_brand", F.lit("; x]), "), "p_brand", F.lit(" (a, ("), "p_type", F.lit(" 2,5%; b (c)), d); "), c("p_size") % 7, F.lit(" % rest (; ), ."))
+    return lb.parse_ingredients(p.select(c("p_partkey").alias("doc_id"), text.alias("part")), "part", "doc_id")
+
+
+@query()
+def canonical_ingredients(read, spark):
+    """Ingredients of labels and names of products with the known ingredient that is most like them."""
+    lists = read("label_texts").select("doc_id", F.regexp_extract("text", "Ingredients: ([^\n]*)", 1).alias("part"))
+    return lb.canonicalize_ingredients(lb.parse_ingredients(lists.unionByName(read("product_cache").select(c("barcode").alias("doc_id"), c("ingredients_text").alias("part"))), "part", "doc_id"))
 
 
 def _allergens_sql(folded: str) -> str:
@@ -956,7 +987,7 @@ def _provider_words(read):
 
 
 @query(
-    f"""WITH {WORDS_SQL}, rw AS (SELECT doc_id, (line_id * 10000 + place)::INT AS idx, text FROM words), rb AS (SELECT *, idx % 3 <> 0 AS paired, CASE WHEN idx % 2 = 0 THEN 0.95 ELSE 0.5 END::DOUBLE AS cb FROM rw),
+    f"""WITH {WORDS_SQL}, rw AS (SELECT doc_id, (line_id::BIGINT * 4294967296 + place) AS idx, text FROM words), rb AS (SELECT *, idx % 3 <> 0 AS paired, CASE WHEN idx % 2 = 0 THEN 0.95 ELSE 0.5 END::DOUBLE AS cb FROM rw),
     rp AS (SELECT doc_id, coalesce(avg(cb) FILTER (paired) > 0.8, false) AS second, CASE WHEN count(*) FILTER (paired) > 0 THEN 2 ELSE 1 END AS n FROM rb GROUP BY doc_id),
     rr AS (SELECT doc_id, idx, text, CASE WHEN paired THEN greatest(0.8, cb) ELSE 0.8 END::DOUBLE AS c, CASE WHEN paired THEN 2 ELSE 1 END / n AS agreed FROM rb JOIN rp USING (doc_id) WHERE paired OR NOT second)
     SELECT doc_id, idx, text, round(c * (0.75 + 0.25 * agreed)::DOUBLE, 3) AS confidence, round(agreed, 3) AS agreement FROM rr"""
@@ -994,7 +1025,7 @@ _BOX = "greatest(0, least(x0 + w, x0 + 5 + w) - (x0 + 5)) * greatest(0, 20 - pla
 @query(f"WITH {WORDS_SQL} SELECT doc_id, line_id, text, x0, round(({_BOX}) / (2 * w * 20 - {_BOX}), 6) AS iou FROM words")
 def bbox_iou(read, spark):
     w = lb.text_to_words(read("label_texts"))
-    down = (c("idx") % 10_000) % 25
+    down = (c("idx") % (1 << 32)) % 25
     moved = lb.bbox(c("bbox.x0") + 5, c("bbox.y0") + down, c("bbox.x1") + 5, c("bbox.y1") + down)
     return w.select("doc_id", c("line_id").cast("long"), "text", "bbox.x0", F.round(lb.bbox_iou(c("bbox"), moved), 6).alias("iou"))
 
@@ -1123,23 +1154,46 @@ def effective_request(read, spark):
 # -- throttle ----------------------------------------------------------------
 
 
-@query()
+def throttle_sql(limits: dict) -> str:
+    """Events one by one, each with the accepted times that still count."""
+    kind = "CASE WHEN method = 'POST' AND starts_with(path, '/api/auth/') THEN 'auth' WHEN method = 'POST' AND path = '/api/products/scan' THEN 'scan' WHEN method = 'POST' AND path = '/api/chat/stream' THEN 'chat' WHEN method IN ('POST', 'DELETE') AND starts_with(path, '/api/admin') THEN 'admin_mutation' END"
+    at = lambda i: "CASE request_class " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in limits.items()) + " END"
+    return f"""RECURSIVE te AS (SELECT *, {at(0)} AS most, {at(1)} AS span, row_number() OVER (PARTITION BY request_class, identity ORDER BY ts, event_id) AS n FROM (SELECT *, {kind} AS request_class FROM requests) WHERE request_class IS NOT NULL),
+    th(event_id, request_class, identity, ts, n, accepted, recent) AS (SELECT event_id, request_class, identity, ts, n, true, [ts] FROM te WHERE n = 1
+      UNION ALL SELECT e.event_id, e.request_class, e.identity, e.ts, e.n, len(k) < most, CASE WHEN len(k) < most THEN list_append(k, e.ts) ELSE k END
+      FROM (SELECT te.*, list_filter(th.recent, lambda r: epoch_us(te.ts) - epoch_us(r) <= span::BIGINT * 1000000) AS k FROM th JOIN te ON te.request_class = th.request_class AND te.identity = th.identity AND te.n = th.n + 1) e)"""
+
+
+def _requests(read):
+    return read("requests").withColumn("request_class", st.classify_request(c("method"), c("path"))).where("request_class is not null")
+
+
+@query(f"WITH {throttle_sql(st.LIMITS)} SELECT event_id, request_class, identity, ts, accepted FROM th")
 def throttle(read, spark):
-    r = read("requests").withColumn("request_class", st.classify_request(c("method"), c("path"))).where("request_class is not null")
-    return st.throttle(r)
+    return st.throttle(_requests(read))
+
+
+#: Limits a window of weeks, so that sessions are long and many requests are refused.
+_WEEKS = {"auth": (2, 3_000_000), "scan": (1, 2_000_000), "chat": (3, 9_000_000), "admin_mutation": (2, 1_000_000)}
+
+
+@query(f"WITH {throttle_sql(_WEEKS)} SELECT event_id, request_class, identity, ts, accepted FROM th")
+def throttle_weeks(read, spark):
+    return st.throttle(_requests(read), _WEEKS)
 
 
 # -- streams, read to their end ----------------------------------------------
 
 
-def _drained(spark: SparkSession, rows: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _drained(spark: SparkSession, rows: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:
     """What a stream of the rows says when all of it is read; files lie in the shared folder."""
     folder = scratch_path(spark)
     rows.write.parquet(f"{folder}/in")
     stream = build(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
-    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out")
-    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    place = (lambda n: f"{folder}/out/batch={n}") if mode == "append" else (lambda n: f"{folder}/out")
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(place(n))
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(*stream.columns)
 
 
 @query(RAG_DAILY)
@@ -1147,9 +1201,12 @@ def stream_rag_daily(read, spark):
     return _drained(spark, read("rag_answer_audit"), st.stream_fct_rag_daily)
 
 
-@query("SELECT created_at::DATE AS day, count(*) AS scan_count, round(avg(score), 2) AS mean_score FROM scan_history GROUP BY ALL")
+@query("SELECT created_at::DATE AS day, count(*) AS scan_count, count(DISTINCT user_id) AS active_users, count(DISTINCT barcode) AS unique_products, round(avg(score), 2) AS mean_score FROM scan_history GROUP BY ALL")
 def stream_scan_daily(read, spark):
-    return _drained(spark, read("scan_history"), st.stream_fct_scan_daily).select("day", "scan_count", "mean_score")
+    """A row a month after the last one ends the stream: it closes the days before, and its own stays open."""
+    rows = read("scan_history").select("created_at", "user_id", "barcode", "score")
+    end = rows.agg((F.max("created_at") + F.expr("interval 30 days")).alias("created_at")).select("created_at", *(F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in ("user_id", "barcode", "score")))
+    return _drained(spark, rows.unionByName(end), st.stream_fct_scan_daily, "append")
 
 
 @query(PIPELINE_DAILY)
@@ -1162,6 +1219,18 @@ def stream_http_counts(read, spark):
     return _drained(spark, read("requests"), st.stream_http_metrics).withColumn("latency_sum", F.round("latency_sum", 2))
 
 
+@query(f"SELECT barcode, CASE WHEN barcode[12] = '1' THEN 'second' ELSE name END AS name, {NOW_SQL} + CASE WHEN barcode[12] = '1' THEN interval 1 day ELSE interval 0 day END AS cached_at FROM product_cache")
+def stream_upserts(read, spark):
+    """All products, and then some of them again, upserted by a stream that is started twice."""
+    folder = scratch_path(spark)
+    p = read("product_cache").select("barcode", "name")
+    for day, rows in enumerate((p, p.where(F.substring("barcode", 12, 1) == "1").withColumn("name", F.lit("second")))):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(p.schema).parquet(f"{folder}/in")
+        st.stream_upsert_products(stream, f"{folder}/cache", f"{folder}/state", NOW() + F.expr(f"interval {day} days")).awaitTermination()
+    return st.read_cache(spark, f"{folder}/cache", "barcode string, name string, cached_at timestamp")
+
+
 # -- files -------------------------------------------------------------------
 
 

@@ -24,7 +24,7 @@ SCHEMAS = {
     "rag_answer_audit": "id string, user_id long, question_hash string, route string, abstained boolean, citation_count int, latency_ms int, created_at timestamp",
     "data_pipeline_runs": "id string, pipeline string, status string, input_count long, output_count long, rejected_count long, started_at timestamp, finished_at timestamp",
     "product_label_extractions": "id string, barcode string, status string, image_sha256 string, ocr_provider string, provider_runs array<struct<provider:string,status:string>>, confidence double, validation_issues array<string>, created_at timestamp",
-    "ocr_words": "doc_id string, provider string, idx int, text string, confidence double, bbox struct<x0:int,y0:int,x1:int,y1:int>, block_id int, line_id int",
+    "ocr_words": "doc_id string, provider string, idx long, text string, confidence double, bbox struct<x0:int,y0:int,x1:int,y1:int>, block_id int, line_id int",
 }
 PAYLOAD = (
     "status int, product struct<product_name:string,generic_name:string,brands:string,categories_tags:array<string>,categories:string,ingredients_text:string,allergens_tags:array<string>,allergens:string,"

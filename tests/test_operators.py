@@ -1,4 +1,6 @@
 import random
+import re
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,12 +130,94 @@ def test_label_text(spark):
     assert df.select(lb.additive_codes(F.col("text"))).first()[0] == ["E407", "E412"]
 
 
+def plain_items(text):
+    """Items of a list by characters."""
+    items, level, begin = [], 0, 0
+    for i, ch in enumerate(text + ","):
+        if i == len(text) or (ch in ",;" and level == 0):
+            if text[begin:i].strip():
+                items.append(text[begin:i].strip(" .;:\n\t"))
+            begin = i + 1
+        elif ch in "([":
+            level += 1
+        elif ch in ")]":
+            level = max(0, level - 1)
+    return items
+
+
+def plain_ingredients(text, above=(), depth=0):
+    out = []
+    for k, item in enumerate(plain_items(text or "")):
+        name, inner, at = item, [], item.find("(")
+        if at >= 0 and item.endswith(")"):
+            name, inner = item[:at].strip(), plain_ingredients(item[at + 1 : -1], (*above, k), depth + 1)
+        share = re.search(r"(?:\(|\b)(\d+(?:[.,]\d+)?)\s*%", name)
+        plain = re.sub(r"(?:\(|\b)(\d+(?:[.,]\d+)?)\s*%", "", name).strip(" (),")
+        out += [((*above, k), plain, float(share[1].replace(",", ".")) if share else None, depth), *inner]
+    return out
+
+
+def ingredients_of(spark, texts):
+    found = lb.parse_ingredients(spark.createDataFrame(list(enumerate(texts)), "doc long, t string"), "t", "doc").collect()
+    return [[(tuple(r.path), r.raw_name, r.percentage, r.depth) for r in sorted((r for r in found if r.doc == i), key=lambda r: r.path)] for i in range(len(texts))]
+
+
 def test_ingredients(spark):
-    found = lb.flatten_ingredients("chocolate (đường, cacao, sữa 12%), bột mì")
-    assert [(e["raw_name"], e["depth"], e["percentage"]) for e in found] == [("chocolate", 0, None), ("đường", 1, None), ("cacao", 1, None), ("sữa", 1, 12.0), ("bột mì", 0, None)]
-    named = lb.canonicalize_ingredients(spark.createDataFrame([(e["raw_name"],) for e in found], "raw_name string"))
+    found = ingredients_of(spark, ["chocolate (đường, cacao, sữa 12%), bột mì"])[0]
+    assert [r[1:] for r in found] == [("chocolate", None, 0), ("đường", None, 1), ("cacao", None, 1), ("sữa", 12.0, 1), ("bột mì", None, 0)]
+    named = lb.canonicalize_ingredients(spark.createDataFrame([(r[1],) for r in found], "raw_name string"))
     assert {r.raw_name: r.canonical_id for r in named.collect()}["sữa"] == "milk"
-    assert lb.closest_ingredient("bot whev")[0] == "whey_powder" and lb.flatten_ingredients(None) == []
+    assert lb.closest_ingredients(["bot whev"])[0][0][0] == "whey_powder"
+
+
+def test_ingredients_follow_the_sequential_form(spark):
+    rng = random.Random(7)
+    pieces = ["a", "sữa ế", " 12%", "5,5 %", "(3% b", "(", ")", "[", "]", ",", ";", " ", ".", ":", "\n"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 40))) for _ in range(300)]
+    texts += [None, "", " ,;, ", "a (b (c (d (e))))", "x)) , (y", "a (b) c (d)", "((((", ", ".join(f"i{k}" for k in range(1001)), "deep " + "(x, " * 12 + ")" * 12]
+    assert ingredients_of(spark, texts) == [plain_ingredients(t) for t in texts]
+
+
+def test_closest_ingredients_equal_comparing_all():
+    rng = random.Random(3)
+    aliases = [(known, alias) for known, many in lb.INGREDIENTS.items() for alias in many]
+    names = ["", "zzz", *("".join(rng.choices("abcdeghilmnosuy w", k=rng.randint(1, 14))) for _ in range(300)), *(a for _, a in aliases), *(a[:-1] + "x" for _, a in aliases)]
+    want = []
+    for n in names:
+        scores = [SequenceMatcher(a=n, b=alias).ratio() for _, alias in aliases]
+        k = scores.index(max(scores))
+        want.append((aliases[k][0] if scores[k] >= 0.78 else None, round(scores[k], 3)))
+    got, compared = lb.closest_ingredients(names)
+    assert got == want
+    # most comparisons cannot win and are not made
+    assert compared < 0.35 * len(names) * len(aliases)
+
+
+def test_words_of_long_lines(spark):
+    """A line of 100,000 words, and one of 10,001, among short ones: places and order of every word."""
+    rng = random.Random(9)
+    lines = [" ".join("x" * rng.randint(1, 5) for _ in range(n)) for n in (100_000, 0, 10_001, 3)]
+    df = spark.createDataFrame([("d", "\n".join(lines)), ("none", None), ("empty", "")], "doc_id string, text string")
+    got = sorted((r.idx, r.text, r.line_id, r.bbox.x0, r.bbox.x1, r.bbox.y0) for r in lb.text_to_words(df).collect())
+    want = []
+    for i, line in enumerate(lines):
+        x = 0
+        for w in line.split():
+            want.append((w, i, x, x + max(12, 8 * len(w)), 28 * i))
+            x += max(12, 8 * len(w)) + 8
+    assert [r[1:] for r in got] == want and len({r[0] for r in got}) == len(got)
+
+
+def test_order_statistics(spark):
+    rng = random.Random(11)
+    values = {"a": [rng.gauss(0, 1e6) for _ in range(400)], "b": [5.0] * 70, None: [1.0, float("inf"), -float("inf"), 1e-300, 0.0, 2.0], "c": [float(rng.randint(0, 3)) for _ in range(99)]}
+    rows = [(g, v) for g, own in values.items() for v in own] + [("a", None), ("d", None), ("b", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {(r.g, r.name): r.value for r in ev.order_statistics(df, "v", {"least": 0, "mid": 0.5, "p95": 0.95, "most": 1}, "g").collect()}
+    clip = lambda v: max(-1.7e308, min(1.7e308, v))
+    want = {(g, name): clip(sorted(own)[round((len(own) - 1) * q)]) for g, own in values.items() for name, q in (("least", 0), ("mid", 0.5), ("p95", 0.95), ("most", 1))}
+    assert got == want
+    assert ev.order_statistics(df.limit(0), "v", {"mid": 0.5}).count() == 0
 
 
 def test_providers_agree(spark):
@@ -159,6 +243,51 @@ def test_meal_plans(spark):
     assert ml.plan_meals(requests(spark, excluded_ingredients=["rau", "ú", "a"])).first().reject_reason == "no_suitable_meal"
 
 
+def plain_plan(request):
+    """The greedy choice, slot by slot."""
+    blocked = {t.strip().lower() for t in request["excluded_ingredients"] or [] if t and t.strip()}
+    pantry = {t.strip().lower() for t in request["available_items"] or [] if t and t.strip()}
+    offer, taken, out = [], [], []
+    for m in ml.meals():
+        parts = [i["name"].lower() for i in m["ingredients"]]
+        held = " ".join([m["name"].lower(), *m["aliases"], *m["allergens"], *parts])
+        if (request["diet"] in (None, "", "general") or request["diet"] in m["diets"]) and not any(t in held for t in blocked):
+            used = sorted(t for t in pantry if t in m["aliases"] or any(t in p for p in parts))
+            own = {"high_protein": m["protein_g"] / 5, "weight_loss": m["fiber_g"] - m["kcal"] / 100}.get(request["goal"], 0)
+            offer.append((m, (12 if request["goal"] in m["goals"] else 0) + 5 * len(used) + own, used))
+    for day in range(1, request["days"] + 1):
+        for slot in ml.SLOTS[: 3 if request["meals_per_day"] is None else request["meals_per_day"]]:
+            best = None
+            for m, worth, used in offer:
+                if slot in m["meal_types"]:
+                    score = worth - 18 * taken.count(m["id"]) - (24 if m["id"] in taken[-3:] else 0)
+                    if request["budget"]:
+                        score -= max(0, m["cost_vnd"] - request["budget"] / day / 3) / 5000
+                    if best is None or score > best[0]:
+                        best = score, m["id"], used
+            if best is None:
+                return [(day, slot, 0, None, [], "no_suitable_meal")]
+            taken.append(best[1])
+            out.append((day, slot, len(out), best[1], best[2], None))
+    return out
+
+
+def test_meal_plans_follow_the_sequential_form(spark):
+    rng = random.Random(13)
+    some = lambda pool: rng.choice([None, [], *[[rng.choice(pool) for _ in range(rng.randint(1, 3))] for _ in range(4)]])
+    rows = []
+    for i in range(250):
+        rows.append({
+            "request_id": i % 240, "days": rng.choice([0, 1, 2, 7]), "goal": rng.choice([None, "general", "high_protein", "weight_loss", "low_sugar", "vegan"]), "budget": rng.choice([None, 0.0, 30000.0, 90000.0, 400000.0]),
+            "diet": rng.choice([None, "", "general", "vegan", "vegetarian", "pescatarian", "none such"]), "excluded_ingredients": some([" Fish", "soy", "gà", "", None, "rau"]), "available_items": some(["Gạo", "gạo ", "rice", "trứng", None, " "]), "meals_per_day": rng.choice([None, 1, 2, 3]),
+        })
+    df = spark.createDataFrame(rows, "request_id long, days int, goal string, budget double, diet string, excluded_ingredients array<string>, available_items array<string>, meals_per_day int")
+    got = ml.plan_meals(df).collect()
+    want = [(r["request_id"], *p) for r in rows for p in plain_plan(r)]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r.request_id, r.day, r.slot, r.position, r.meal_id, list(r.pantry_matches), r.reject_reason) for r in got), key=key) == sorted(want, key=key)
+
+
 def test_cache_outcomes(spark):
     rows = [("ocr", "package_ocr_user_confirmed", None), ("fresh", "x", "2024-01-09 00:00:00"), ("edge", "x", "2024-01-03 00:00:00"), ("old", "x", "2024-01-01 00:00:00"), ("old2", "x", None)]
     cache = spark.createDataFrame(rows, "barcode string, source string, cached_at string").withColumn("cached_at", F.col("cached_at").cast("timestamp"))
