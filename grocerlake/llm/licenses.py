@@ -195,13 +195,21 @@ def scan(texts: list[bytes], index: Index, min_coverage: float = MIN_COVERAGE) -
         for (doc, k), diagonals in sorted(found.items()):
             lo, hi = first_word[doc], first_word[doc + 1]
             template = index.words[k]
+            kinds, most = np.unique(np.array(template, words.dtype), return_counts=True)
+            kind = np.minimum(np.searchsorted(kinds, words[lo:hi]), len(kinds) - 1)
+            kind[kinds[kind] != words[lo:hi]] = len(kinds)
             band, upto = min(BAND, max(1, len(template) // 4)), -1
             for diagonal, places in sorted(diagonals.items()):
                 if max(places) < upto:
                     continue  # within the match before
                 # only the words that the band can reach
                 base = max(0, diagonal - band)
-                near = words[lo + base : min(hi, lo + max(0, diagonal) + len(template) + band)].tolist()
+                end = min(hi, lo + max(0, diagonal) + len(template) + band)
+                # no alignment matches a word more often than both have it
+                common = np.minimum(np.bincount(kind[base : end - lo], minlength=len(kinds) + 1)[:-1], most).sum()
+                if common < min_coverage * len(template):
+                    continue
+                near = words[lo + base : end].tolist()
                 matched, a, b = align(template, near, diagonal - base, band)
                 coverage = matched / len(template)
                 if coverage >= min_coverage:

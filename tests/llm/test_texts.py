@@ -444,3 +444,49 @@ def test_quality_rows(spark):
     assert len(got) == 122 and got[3].expected_grade < got[4].expected_grade and not got[3].selected and got[4].selected
     assert not got[500].selected and not got[501].selected
     assert len(m.thresholds) == 2 and ql.score_quality(docs.limit(0), m).count() == 0
+
+
+# -- inputs of one repeated phrase
+
+
+def plain_settle(at, rank):
+    """Who wins, pass by pass: of two that overlap the one of the better rank, or the left one."""
+    won, open_ = set(), list(range(len(at)))
+    while open_:
+        worse = set()
+        for i, j in zip(open_, open_[1:]):
+            if at[j] - at[i] == 1:
+                worse.add(j if rank[i] <= rank[j] else i)
+        best = [i for i in open_ if i not in worse]
+        won |= set(best)
+        open_ = [i for i in worse if not any(abs(at[i] - at[k]) == 1 for k in best)]
+        open_.sort()
+    return [i in won for i in range(len(at))]
+
+
+def test_overlaps_are_settled_as_pass_by_pass():
+    rng = np.random.default_rng(8)
+    for _ in range(1500):
+        at = np.flatnonzero(rng.random(50) < rng.random())
+        rank = rng.integers(0, rng.integers(1, 5), len(at))
+        assert tb._settle(at, rank).tolist() == plain_settle(at.tolist(), rank.tolist())
+
+
+@pytest.mark.parametrize("phrase", [[7], [7, 8], [7, 7, 8]])
+def test_shards_of_one_phrase_take_seconds(phrase):
+    ids = np.resize(np.array(phrase, np.uint32), 1 << 20)
+    ids[-1] = tb.END
+    began = time.perf_counter()
+    block = tb.pack(ids, np.array([len(ids)]), 100)
+    assert time.perf_counter() - began < 2 and len(block) < 2000
+    assert (tb.Shard(block).document(0) == ids).all()
+
+
+def test_scan_of_one_phrase_takes_seconds():
+    index = lc._index(tuple(lc.TEMPLATES.items()))
+    name, notice = max(lc.TEMPLATES.items(), key=lambda t: len(t[1]))
+    text = "the software is " * 25_000 + notice + " the software is" * 25_000
+    began = time.perf_counter()
+    found = next(iter(lc.scan([text.encode()], index)))
+    assert time.perf_counter() - began < 10
+    assert [m[0] for m in found] == [name] and found[0][3] == 1.0
