@@ -222,20 +222,26 @@ def _spans(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _settle(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Which of the occurrences ``at`` (ascending) are replaced: of two that overlap
-    the one of the better rank, or the left one, until none is open."""
+    the one of the better rank, or the left one, until none is open.
+
+    A run of overlapping ones of equal rank, as of one symbol repeated, is settled at once: every second one from its left end.
+    """
     won, open_ = np.zeros(len(at), bool), np.arange(len(at))
     while len(open_):
         p, r = at[open_], rank[open_]
         touch = np.diff(p) == 1
         left_better = r[:-1] <= r[1:]
-        beaten = np.zeros(len(p), bool)
-        beaten[1:] |= touch & left_better
-        beaten[:-1] |= touch & ~left_better
-        won[open_[~beaten]] = True
+        by_right = np.append(touch & ~left_better, False)
+        run = np.append(True, ~(touch & (r[:-1] == r[1:])))  # where a run of equal ones begins
+        begin = np.flatnonzero(run)
+        of = np.cumsum(run) - 1
+        lost = by_right | np.append(False, touch & left_better)
+        wins = ~lost[begin][of] & ((np.arange(len(p)) - begin[of]) % 2 == 0) & ~by_right
+        won[open_[wins]] = True
         # a neighbour of a replaced one is gone
-        gone = ~beaten
-        gone[1:] |= touch & ~beaten[:-1]
-        gone[:-1] |= touch & ~beaten[1:]
+        gone = wins.copy()
+        gone[1:] |= touch & wins[:-1]
+        gone[:-1] |= touch & wins[1:]
         open_ = open_[~gone]
     return won
 
