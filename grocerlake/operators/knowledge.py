@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grocerlake.functions.text import content_hash, has_injection_risk, hash_lines, missing_metadata, tokenize
+from grocerlake.sources.tables import store
 
+#: Buckets of an embedding history.
+HISTORY_BUCKETS = 256
 BLOCKS = "array<struct<heading_path:array<string>,text:string>>"
 
 
@@ -156,6 +159,21 @@ def embed_with_reuse(chunks: DataFrame, history: DataFrame, model: str, embed: C
     return out, looked.agg(F.count_if(F.col("_known").isNotNull()).alias("reused"), F.count_if(F.col("_known").isNull()).alias("generated"))
 
 
+def store_history(chunks: DataFrame, table: str, buckets: int = HISTORY_BUCKETS) -> None:
+    """Keep the embeddings of past releases as a table dealt by content hash into ``buckets``.
+
+    ``embed_with_reuse`` then joins with it where it lies: only the new chunks are shuffled, to the table's buckets.  Take at least as many buckets as
+    ``spark.sql.shuffle.partitions``; with fewer, Spark deals both sides anew.
+    """
+    embedding_history(chunks).write.mode("overwrite").bucketBy(buckets, "content_hash").sortBy("content_hash").saveAsTable(table)
+
+
+def append_history(chunks: DataFrame, table: str, buckets: int = HISTORY_BUCKETS) -> None:
+    """Add the contents that the history lacks, after a release; what it has is not rewritten."""
+    fresh = embedding_history(chunks).join(chunks.sparkSession.table(table).select("content_hash", "embedding_model"), ["content_hash", "embedding_model"], "left_anti")
+    store(fresh).write.mode("append").bucketBy(buckets, "content_hash").sortBy("content_hash").saveAsTable(table)
+
+
 def manifest_hash(docs: DataFrame, config: dict) -> DataFrame:
     """One row: hash of ``filename:sha256(body)`` lines in order and of the sorted settings.
 

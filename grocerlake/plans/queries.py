@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -282,6 +283,13 @@ def tdee(read, spark):
     return pr.tdee(read("user_profiles"))[0].select("user_id", "bmr_kcal", "tdee_kcal", "requested_deficit_kcal", "recommended_deficit_kcal", "target_calories_kcal", "warnings")
 
 
+@query("SELECT user_id, list_filter([CASE WHEN biological_sex IS NULL THEN 'biological_sex' END, CASE WHEN user_id % 7 = 0 THEN 'height_cm' END, CASE WHEN user_id % 11 = 0 THEN 'activity_level' END], lambda x: x IS NOT NULL) AS missing FROM user_profiles WHERE biological_sex IS NULL OR user_id % 7 = 0 OR user_id % 11 = 0")
+def tdee_rejects(read, spark):
+    """Profiles without energy needs, with the fields that they lack."""
+    gone = lambda name, n: F.when(c("user_id") % n != 0, c(name))
+    return pr.tdee(read("user_profiles").withColumns({"height_cm": gone("height_cm", 7), "activity_level": gone("activity_level", 11)}))[1].select("user_id", "missing")
+
+
 @query(
     f"""WITH f AS (SELECT barcode, name, CASE try_cast(barcode[12] AS INT) % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'not_found' ELSE 'error' END AS fetch_status FROM product_cache WHERE barcode[12] <> '7'), k AS (SELECT barcode, name, source, cached_at, true AS had FROM product_cache WHERE barcode[11] <> '3'),
     j AS (SELECT barcode, k.name AS old, f.name AS new, source, cached_at, coalesce(had, false) AS had, fetch_status, coalesce(epoch({NOW_SQL}) - epoch(cached_at) > 168 * 3600, true) AS stale FROM k FULL JOIN f USING (barcode)),
@@ -511,6 +519,18 @@ def embed_reuse_counts(read, spark):
     return kn.embed_with_reuse(k, history, kn.model_name())[1]
 
 
+@query(f"WITH {CHUNKS_SQL} SELECT source_filename, chunk_index, sha256(content) AS content_hash, sha256(content) IN (SELECT sha256(content) FROM chunks WHERE substr(sha256(content), 1, 1) < '8') AS reused, '{kn.model_name()}' AS embedding_model FROM chunks")
+def embed_with_history(read, spark):
+    """Chunks against a stored history of about half of their contents; history and new vectors are what a model makes of the text."""
+    k, table = store(_chunks(read)), f"history_{uuid.uuid4().hex}"
+    past = kn.feature_hash_embed(k.where(F.left("content_hash", F.lit(1)) < "8")).withColumn("release_id", F.lit("1"))
+    kn.store_history(past, table)
+    try:
+        return store(kn.embed_with_reuse(k, spark.table(table), kn.model_name())[0].select("source_filename", "chunk_index", "content_hash", "reused", "embedding_model"))
+    finally:
+        spark.sql(f"DROP TABLE {table}")
+
+
 @query()
 def feature_hash_embed(read, spark):
     return kn.feature_hash_embed(_chunks(read)).select("source_filename", "chunk_index", "embedding_model", F.size("embedding").alias("dims"), F.round(F.sqrt(rt.dot(c("embedding"), c("embedding"))), 6).alias("norm"))
@@ -536,6 +556,14 @@ def rollback_release(read, spark):
     return kn.rollback_release(read("releases"), NOW()).select("id", "status")
 
 
+@query(f"WITH {CHUNKS_SQL} SELECT source_filename, chunk_index, content, 'v1' AS knowledge_release FROM chunks")
+def export_release_files(read, spark):
+    """A release exported as JSON lines and its chunks read back."""
+    folder, k = scratch_path(spark), _chunks(read)
+    kn.export_release(k, _case_metrics(read), kn.manifest_hash(read("rag_documents"), {}), "v1", folder)
+    return spark.read.schema("source_filename string, chunk_index int, content string, knowledge_release string").json(f"{folder}/bronze/chunks")
+
+
 @query(f"WITH {CHUNKS_SQL} SELECT source_filename, chunk_index FROM chunks WHERE substr(source_filename, 5, 1) = '1'")
 def release_chunks(read, spark):
     return kn.release_chunks(_chunks(read).withColumn("release_id", F.substring("source_filename", 5, 1)), "1").select("source_filename", "chunk_index")
@@ -717,6 +745,14 @@ def candidates_stored(read, spark):
     return rt.candidates(*_stored_vectors(read), 80)
 
 
+@query("SELECT doc_id % 5 AS release_id, CASE WHEN count(CASE WHEN status = 'approved' OR doc_id % 5 < 3 THEN 1 END) FILTER (doc_id % 5 > 0) = 0 THEN 'hybrid_ephemeral' WHEN count(*) FILTER (NOT (doc_id % 5 = 1 OR coalesce(status = 'approved', false))) > 0 THEN 'hybrid_ephemeral_model_mismatch' ELSE 'hybrid_release' END AS strategy FROM rag_documents GROUP BY ALL")
+def embedding_strategies(read, spark):
+    """Releases of chunks with one model, several, or none."""
+    release = c("doc_id") % 5
+    model = F.when(release == 0, F.lit(None)).when((release == 1) | (c("status") == "approved"), "m").when(release < 3, "other")
+    return read("rag_documents").select(release.alias("release_id"), model.alias("model")).groupBy("release_id").agg(rt.embedding_strategy(c("model"), "m").alias("strategy"))
+
+
 @query(f"SELECT query_id, {route_sql('question', 'barcode')} AS route, {_DOMAIN} AS in_domain FROM questions")
 def routes(read, spark):
     return read("questions").select("query_id", tx.classify_route(c("question"), c("barcode")).alias("route"), tx.in_domain(c("question")).alias("in_domain"))
@@ -872,6 +908,14 @@ def field_metrics(read, spark):
     return ev.field_metrics(_field_rows(read)).select("barcode", "field_precision", "field_recall", "field_f1", "numeric_accuracy", "allergen_recall")
 
 
+@query(f"WITH {FIELDS_SQL} SELECT barcode AS id, CASE WHEN found THEN field_precision ELSE 0 END AS field_precision, CASE WHEN found THEN field_recall ELSE 0 END AS field_recall, CASE WHEN found THEN field_f1 ELSE 0 END AS field_f1, CASE WHEN found THEN numeric_accuracy ELSE 0 END AS numeric_accuracy, CASE WHEN found OR allergen_recall IS NULL THEN allergen_recall ELSE 0 END AS allergen_recall FROM (SELECT *, barcode[12] <> '5' AS found FROM fields)")
+def ocr_case_metrics(read, spark):
+    """Cases against what was parsed of them; of every tenth nothing was."""
+    rows = _field_rows(read).withColumnRenamed("barcode", "id")
+    parsed = rows.where(F.substring("id", 12, 1) != "5").select("id", "actual", "actual_allergens")
+    return ev.ocr_case_metrics(rows.select("id", "expected", "expected_allergens"), parsed).select("id", "field_precision", "field_recall", "field_f1", "numeric_accuracy", "allergen_recall")
+
+
 @query(f"WITH {FIELDS_SQL} SELECT count(*) AS case_count, round(avg(field_precision), 4) AS field_precision, round(avg(field_recall), 4) AS field_recall, round(avg(field_f1), 4) AS field_f1, round(avg(numeric_accuracy), 4) AS numeric_accuracy, round(avg(allergen_recall), 4) AS allergen_recall, count(*) >= 200 AND round(avg(field_f1), 4) >= 0.85 AS ready FROM fields")
 def ocr_aggregate(read, spark):
     return ev.ocr_aggregate(ev.field_metrics(_field_rows(read)))
@@ -1019,6 +1063,15 @@ def confirm_extractions(read, spark):
     return lb.confirm_extractions(p.select("id", "barcode", "nutriments", "allergens"), confirmed, NOW())[0].select("barcode", "name", "source", "cached_at")
 
 
+@query("SELECT barcode AS id, nutriments['sugars_100g'] AS predicted, '1' AS corrected, allergens AS predicted_allergens, ['en:soy'] AS corrected_allergens FROM product_cache WHERE barcode[12] = '2'")
+def extraction_corrections(read, spark):
+    """What users corrected, beside what was predicted."""
+    p = read("product_cache").withColumn("id", c("barcode"))
+    confirmed = p.where(F.substring("barcode", 12, 1) == "2").select("id", c("name").alias("confirmed_name"), F.create_map(F.lit("sugars_100g"), F.lit("1")).alias("confirmed_nutriments"), F.array(F.lit("en:soy")).alias("confirmed_allergens"))
+    out = lb.confirm_extractions(p.select("id", "barcode", "nutriments", "allergens"), confirmed, NOW())[1]
+    return out.select("id", c("nutriments")["sugars_100g"].alias("predicted"), c("confirmed_nutriments")["sugars_100g"].alias("corrected"), c("allergens").alias("predicted_allergens"), c("confirmed_allergens").alias("corrected_allergens"))
+
+
 _BOX = "greatest(0, least(x0 + w, x0 + 5 + w) - (x0 + 5)) * greatest(0, 20 - place % 25)"
 
 

@@ -12,6 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHOSEN = """
 tokenize redact_sensitive fold_accents normalize_product_code score_products tdee refresh_products top_warnings fct_scan_daily data_quality_report chunk_documents
 manifest_hash rollback_release bm25 answer_questions vector_topk search_passages case_metrics aggregate_metrics field_metrics parse_nutrition reconcile_words eligible_meals ocr_dashboard
+bm25_topk hybrid_search_stored candidates_stored plan_meals nested_ingredients throttle_weeks stream_scan_daily stream_upserts embed_with_history embedding_strategies ocr_case_metrics
 """.split()
 
 
@@ -65,6 +66,38 @@ def test_embeddings_are_made_once_and_counted_by_chunk(spark):
     assert sorted((r.content_hash, r.reused, len(r.embedding)) for r in out.collect()) == [("a", True, 1), ("b", False, 256), ("b", False, 256)]
 
 
+def test_history_stays_where_it_lies(spark, capsys):
+    """Only the new chunks are shuffled: above the scan of the bucketed history there is no exchange."""
+    model = kn.model_name()
+    past = spark.range(200).select(F.lit("1").alias("release_id"), F.lit("f").alias("source_filename"), F.col("id").alias("chunk_index"), F.sha2(F.col("id").cast("string"), 256).alias("content_hash"), F.lit(model).alias("embedding_model"), F.array(F.col("id").cast("double")).alias("embedding"))
+    chunks = spark.range(150, 260).select(F.sha2(F.col("id").cast("string"), 256).alias("content_hash"), F.col("id").cast("string").alias("content"))
+    kn.store_history(past, "history_of_tests", 8)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out, counts = kn.embed_with_reuse(chunks, spark.table("history_of_tests"), model)
+        assert tuple(counts.first()) == (50, 60)
+        assert sorted(r.embedding[0] for r in out.where("reused").collect()) == [float(i) for i in range(150, 200)]
+        capsys.readouterr()
+        counts.explain()
+        lines = capsys.readouterr().out.splitlines()
+        scan = next(i for i, line in enumerate(lines) if "history_of_tests" in line)
+        depth = lines[scan].index("FileScan")
+        above, at = [], depth
+        for line in reversed(lines[:scan]):
+            own = len(line) - len(line.lstrip(" :+-"))
+            if own < at:
+                above.append(line.strip(" :+-"))
+                at = own
+        join = next(i for i, line in enumerate(above) if "Join" in line)
+        assert not any("Exchange" in line for line in above[:join]) and any("Exchange hashpartitioning(content_hash" in line for line in lines)
+        kn.append_history(past.unionByName(past.withColumn("content_hash", F.concat("content_hash", F.lit("x")))), "history_of_tests", 8)
+        assert spark.table("history_of_tests").count() == 400
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE history_of_tests")
+
+
 def test_export(spark, tmp_path):
     df = spark.createDataFrame([("x",)], "content string")
     kn.export_release(df, df, df, "v1", str(tmp_path))
