@@ -98,33 +98,51 @@ def score_products(pairs: DataFrame) -> DataFrame:
     """Products joined with profiles to score, label, risk_level, warnings, good_points, missing_data.
 
     Needs nutriments, allergens, additives, nutriscore, ingredients_text of the product and goal,
-    diet, allergies of the profile.  Every rule is a condition with points and a message, in fixed order.
+    diet, allergies of the profile.  Where many requests ask for few products, ``score_requests`` reads each product once.
     """
-    n, goal = F.col("nutriments"), F.col("goal")
-    sugar, sodium = nutriment_num(n, "sugars_100g", "sugars"), nutriment_num(n, "sodium_100g", "sodium")
-    sodium = F.coalesce(sodium, nutriment_num(n, "salt_100g", "salt") / 2.5)
-    fat = nutriment_num(n, "saturated-fat_100g", "saturated_fat_100g")
-    protein = nutriment_num(n, "proteins_100g", "protein_100g")
-    fiber = nutriment_num(n, "fiber_100g", "fiber")
-    energy = nutriment_num(n, "energy-kcal_100g", "energy_kcal_100g", "energy-kcal")
-    values = {"_sugar": sugar, "_sodium": sodium, "_fat": fat, "_protein": protein, "_fiber": fiber, "_energy": energy}
-    base = pairs.withColumns(values | {"_tags": tag_tokens(F.col("allergens")), "_mine": tag_tokens(F.col("allergies")), "_added": tag_tokens(F.col("additives"))})
-    c = F.col
+    return _judge(_features(pairs))
+
+
+def score_requests(requests: DataFrame, products: DataFrame) -> DataFrame:
+    """Requests (barcode, goal, diet, allergies, ...) for products to the same; a product's numbers, tags and key words are found once, before the join.
+
+    Requests for unknown products give no row.
+    """
+    return _judge(requests.join(_features(products), "barcode"))
+
+
+_FEATURES = ["_sugar", "_sodium", "_fat", "_protein", "_fiber", "_energy", "_tags", "_meat", "_vegan", "_gluten", "_lactose"]
+
+
+def _features(products: DataFrame) -> DataFrame:
+    """Add what scoring reads of a product."""
+    n, text = F.col("nutriments"), F.col("ingredients_text")
+    sodium = F.coalesce(nutriment_num(n, "sodium_100g", "sodium"), nutriment_num(n, "salt_100g", "salt") / 2.5)
+    tags, both = tag_tokens(F.col("allergens")), F.array_distinct(F.concat(tag_tokens(F.col("allergens")), tag_tokens(F.col("additives"))))
+
+    def hits(words, tags: Column | None = None, names=()) -> Column:
+        found = keyword_hits(text, words)
+        return found if tags is None else F.array_sort(F.array_distinct(F.concat(found, F.array_intersect(tags, strings(names)))))
+
+    values = [
+        nutriment_num(n, "sugars_100g", "sugars"), sodium, nutriment_num(n, "saturated-fat_100g", "saturated_fat_100g"), nutriment_num(n, "proteins_100g", "protein_100g"), nutriment_num(n, "fiber_100g", "fiber"),
+        nutriment_num(n, "energy-kcal_100g", "energy_kcal_100g", "energy-kcal"), tags, hits(ANIMAL), hits(VEGAN, both, ["milk", "egg", "eggs"]), hits(GLUTEN, tags, ["gluten", "wheat", "barley"]), hits(DAIRY, tags, ["milk", "lactose"]),
+    ]
+    return products.withColumns(dict(zip(_FEATURES, values)))
+
+
+def _judge(rows: DataFrame) -> DataFrame:
+    """The rules, each a condition with points and a message, in fixed order."""
+    goal, c = F.col("goal"), F.col
     grade, n_added = F.lower(c("nutriscore")), F.coalesce(F.size("additives"), F.lit(0))
     diet = F.replace(F.lower(F.coalesce(_filled(c("diet")), _filled(goal), F.lit(""))), F.lit("-"), F.lit("_"))
-    shared = F.array_sort(F.array_intersect("_mine", "_tags"))
-    text = c("ingredients_text")
-    both = F.array_distinct(F.concat("_tags", "_added"))
-    vegan_tags, gluten_tags, milk_tags = (F.array_sort(F.array_intersect(a, strings(b))) for a, b in ((both, ["milk", "egg", "eggs"]), (c("_tags"), ["gluten", "wheat", "barley"]), (c("_tags"), ["milk", "lactose"])))
-
-    def diet_hits(words, found=None) -> Column:
-        hits = keyword_hits(text, words)
-        return hits if found is None else F.array_sort(F.array_distinct(F.concat(hits, found)))
+    rows = rows.withColumns({"_shared": F.array_sort(F.array_intersect(tag_tokens(F.col("allergies")), "_tags")), "_diet": diet})
+    diet, shared = c("_diet"), c("_shared")
 
     def listed(prefix: str, items: Column, most: int | None = None) -> Column:
         return F.concat(F.lit(prefix), F.array_join(F.slice(items, 1, most) if most else items, ", "), F.lit("."))
 
-    meat, vegan, gluten, lactose = diet_hits(ANIMAL), diet_hits(VEGAN, vegan_tags), diet_hits(GLUTEN, gluten_tags), diet_hits(DAIRY, milk_tags)
+    meat, vegan, gluten, lactose = c("_meat"), c("_vegan"), c("_gluten"), c("_lactose")
     bad = [
         (c("_sugar") >= 22.5, -18, F.lit("Đường cao trên mỗi 100g/ml.")),
         ((c("_sugar") >= 10) & (c("_sugar") < 22.5), -8, F.lit("Đường hơi cao, nên cân nhắc nếu đang hạn chế đường.")),
@@ -156,7 +174,7 @@ def score_products(pairs: DataFrame) -> DataFrame:
         points = points + F.when(condition, n_points).otherwise(0)
     told = lambda rules: F.filter(F.array(*[F.when(cond, text) for cond, _, text in rules]), lambda x: x.isNotNull())
     absent = [("energy-kcal_100g", "_energy"), ("fiber_100g", "_fiber"), ("proteins_100g", "_protein"), ("saturated-fat_100g", "_fat"), ("sodium_100g", "_sodium"), ("sugars_100g", "_sugar")]
-    out = base.withColumns({"score": F.greatest(F.lit(0), F.least(F.lit(100), points)), "warnings": told(bad), "good_points": told(good)})
+    out = rows.withColumns({"score": F.greatest(F.lit(0), F.least(F.lit(100), points)), "warnings": told(bad), "good_points": told(good)})
     return out.withColumns(
         {
             "warnings": F.when(F.size("warnings") > 0, F.col("warnings")).otherwise(strings([NO_WARNING])),
@@ -164,7 +182,7 @@ def score_products(pairs: DataFrame) -> DataFrame:
             "label": score_label(c("score")),
             "risk_level": risk_level(c("score")),
         }
-    ).drop(*values, "_tags", "_mine", "_added")
+    ).drop(*_FEATURES, "_shared", "_diet")
 
 
 def compare_products(pairs: DataFrame, products: DataFrame) -> DataFrame:
@@ -221,7 +239,7 @@ def record_scans(requests: DataFrame, profiles: DataFrame, products: DataFrame,
     """
     known = profiles.select("user_id", "goal", "diet", "allergies")
     asked = requests.join(known, "user_id", "left").withColumn("goal", F.coalesce("goal", F.lit("general")))
-    return score_products(asked.join(products, "barcode")).select("user_id", "barcode", "score", "warnings", as_of.alias("created_at"))
+    return score_requests(asked, products).select("user_id", "barcode", "score", "warnings", as_of.alias("created_at"))
 
 
 def latest_by(df: DataFrame, key: str, order: str | None) -> DataFrame:

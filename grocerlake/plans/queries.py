@@ -19,7 +19,7 @@ from grocerlake.operators import personal as pe
 from grocerlake.operators import products as pr
 from grocerlake.operators import retrieval as rt
 from grocerlake.plans.adapters import AS_OF, load, with_tables
-from grocerlake.sources.tables import markdown_fields, read_eval_cases, read_product_dump, read_table, scratch_path, store
+from grocerlake.sources.tables import deal, markdown_fields, read_eval_cases, read_product_dump, read_table, scratch_path, store
 from grocerlake.streaming import jobs as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -244,7 +244,7 @@ def _score_sql() -> str:
 @query(_score_sql())
 def score_products(read, spark):
     asked = read("scan_history").select("id", "user_id", "barcode").join(read("user_profiles").select("user_id", "goal", "diet", "allergies"), "user_id", "left").withColumn("goal", F.coalesce("goal", F.lit("general")))
-    return pr.score_products(asked.join(read("product_cache"), "barcode")).select("id", "score", "warnings", "good_points", "missing_data", "label", "risk_level")
+    return pr.score_requests(asked, read("product_cache")).select("id", "score", "warnings", "good_points", "missing_data", "label", "risk_level")
 
 
 _WARN = f"CASE WHEN len(w) > 0 THEN w ELSE ['{pr.NO_WARNING}'] END"
@@ -497,13 +497,13 @@ chunks AS (SELECT filename AS source_filename, title AS source_title, (row_numbe
 
 
 def _chunks(read):
-    d = read("rag_documents").where("trim(body) <> ''").select("filename", "title", "body")
+    d = deal(read("rag_documents").where("trim(body) <> ''").select("filename", "title", "body"), "filename")
     return kn.chunk_documents(d).withColumnsRenamed({"filename": "source_filename", "title": "source_title"}).withColumn("chunk_id", F.concat("source_filename", F.lit("#"), "chunk_index"))
 
 
 def _release(read, embed=False):
-    """Chunks dealt evenly and stored once, as a release is, with their vectors if asked for."""
-    k = _chunks(read).repartition("chunk_id")
+    """Chunks of documents dealt evenly, stored once, as a release is, with their vectors if asked for."""
+    k = _chunks(read)
     return store(kn.feature_hash_embed(k) if embed else k)
 
 

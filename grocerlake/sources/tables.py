@@ -98,6 +98,11 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{base or tempfile.gettempdir()}/grocerlake-{uuid.uuid4().hex}"
 
 
+def deal(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` into as many partitions as a shuffle has, which stay as many: for rows that are small but give much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def store(df: DataFrame) -> DataFrame:
     """``df`` written once in the shared folder and read back, for what is used several times."""
     path = scratch_path(df.sparkSession)
