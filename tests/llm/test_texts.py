@@ -336,6 +336,60 @@ def test_text_of_every_depth_is_template():
     assert ht.Page(sources[3]).text(wrapper) == " ".join(f"w3x{k}" for k in range(30))
 
 
+def test_elements_beside_and_around_the_article():
+    body = " ".join(f"w{k}" for k in range(60))
+    text = lambda source: ht.Page(source).text({})
+    # what is around the article does not take it along
+    assert text(f'<body><form id="aspnetForm"><div>menu</div><div><article><p>{body}</p></article></div></form></body>') == body
+    assert text(f'<body><form id="aspnetForm"><div><p>{body}</p></div></form></body>') == body
+    assert text(f"<body><nav><ul><li>Home<article><p>{body}</p></article><footer>end</footer></body>") == body
+    assert text(f"<body><div><p>{body}</p></div><form><p>mail?</p></form></body>") == body
+    assert text("<body><form><label>Name</label><p>Send us a mail</p></form></body>") == "" and text("<nav>Home</nav><footer>end</footer>") == ""
+    assert text(f"<body><div><p>{body}</p></div><aside><article>{body}</article></aside></body>") == body
+    # reader comments, longer than the article
+    notes = f"<div>{body} {body}</div><div>{body}</div>"
+    for article in (f"<article><p>{body}</p></article>", f"<div><p>{body}</p></div>"):
+        assert text(f'<body>{article}<section class="visitor-remarks">{notes}</section></body>') == body
+        assert text(f"<body>{article}<section><h2>12 comments</h2>{notes}</section></body>") == body
+        assert text(f'<body>{article}<section><h2>Comments</h2><article class="comment">{body} {body}</article></section></body>') == body
+    assert text(f"<article><p>{body}</p><section><h2>Comments on the law</h2><p>kept</p></section></article>") == f"{body} Comments on the law kept"
+    assert text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p></article>") == "Let x=2 be."
+
+
+def random_site(rng, host, pages):
+    """(url, html, text): pages of one layout without telling names, the text as it was put in."""
+    words = lambda n, tag: " ".join(f"{tag}{rng.randrange(10**9)}" for _ in range(n))
+    box, inner = rng.choice(["div", "section"]), rng.choice(["div", "p", ""])
+    before, after = [words(rng.randint(1, 40), "t") for _ in range(rng.randint(0, 3))], [words(rng.randint(1, 40), "t") for _ in range(rng.randint(0, 3))]
+    frame = rng.choice([("", ""), ('<form action="/">', "</form>"), ("<div>", "</div>"), ("<nav><ul><li>menu</ul>", "")])
+    article = "article" if frame[0].startswith("<nav") else rng.choice([box, "article"])
+    hold = lambda t, tag: f"<{tag}>{t}</{tag}>" if tag else t
+    for k in range(pages):
+        parts = [words(rng.randint(20, 60), f"p{k}q") for _ in range(rng.randint(1, 4))]
+        main = hold("".join(hold(t, inner or "p") for t in parts), article)
+        if not inner and len(parts) == 1:
+            main = hold(parts[0], article)
+        advert = f"<div class='ad'>{words(5, 'a')}</div>" if rng.random() < 0.5 else ""
+        remarks = f"<section><h3>Comments</h3>{hold(words(9, 'c'), 'div') * rng.randint(1, 9)}</section>" if rng.random() < 0.3 else ""
+        site = "".join(hold(hold(t, inner), box) for t in before) + advert + main + "".join(hold(hold(t, inner), box) for t in after) + remarks
+        yield f"http://{host}/{k}", f"<html><body>{frame[0]}{site}{frame[1]}</body></html>", " ".join(parts)
+
+
+def test_whole_extraction_on_random_sites(spark):
+    rng = random.Random(11)
+    rows = [row for h in range(30) for row in random_site(rng, f"h{h}.example.com", rng.randint(6, 24))]
+    got = {r.url: r.text for r in ht.extract_text(spark.createDataFrame([r[:2] for r in rows], "url string, html string")).collect()}
+    wrong = [(u, t, got[u], h) for u, h, t in rows if got[u] != t]
+    assert not wrong, (len(wrong), len(rows), wrong[0])
+
+
+def test_a_short_article_is_told_from_a_long_notice():
+    notice = " ".join(f"n{k}" for k in range(14))
+    sources = [f"<body><div>{notice}</div><div>" + " ".join(f"v{i}q{k}" for k in range(8)) + "</div></body>" for i in range(8)]
+    wrapper = ht.induce([ht.skeleton(s) for s in sources])
+    assert [ht.Page(s).text(wrapper) for s in sources] == [" ".join(f"v{i}q{k}" for k in range(8)) for i in range(8)]
+
+
 def random_tree(rng, most):
     nodes = [[-1, "", "", 0]]
     for _ in range(rng.randint(1, most)):
