@@ -6,7 +6,8 @@ where enough of an item's windows occur in a document, the values in its
 slots are compared: equal values of the item must have become equal values.
 
 Items without a window of enough words besides placeholders (short ones, rows of numbers) are found word by
-word: all their windows, as they are, of five words or of all words if there are fewer.
+word: all their windows, as they are, of five words or of all words if there are fewer.  An item of one word is
+found where that is the whole text, as anywhere else a word says nothing of a copy.
 
 A capital elsewhere (at the start of a text, a sentence, a quotation) may begin a name or not.
 Windows with such a word have two forms, the word itself and a name's placeholder, on both sides.
@@ -25,8 +26,6 @@ WINDOW = 5
 MIN_COVERAGE, MIN_CONSISTENCY = 0.8, 0.8
 #: Words besides placeholders in a window that counts.
 MIN_LITERALS = 2
-#: Items of fewer words occur by chance and are never found.
-MIN_WORDS = 3
 #: Benchmark windows up to this number (some 24 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
 
@@ -126,13 +125,13 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def _exact(df: DataFrame, lengths: list[int]) -> Column:
-    """Hashes of the windows of the given lengths, of words without signs; ``_words`` is there."""
+    """Hashes of the windows of the given lengths, of words without signs; ``_words`` is there.  Only a whole text is a window of one word."""
     words = F.transform("_words", lambda w: F.translate(w, f"@#~{_MAYBE}", ""))
 
     def windows(n: int) -> Column:
         last = F.size("_words") - n
         each = F.transform(F.sequence(F.lit(1), F.greatest(last + 1, F.lit(1))), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(words, i, F.lit(n)), " ")))
-        return F.when(last >= 0, each).otherwise(F.array().cast("array<bigint>"))
+        return F.when(last == 0 if n == 1 else last >= 0, each).otherwise(F.array().cast("array<bigint>"))
 
     return F.flatten(F.array(*map(windows, lengths)))
 
@@ -140,11 +139,11 @@ def _exact(df: DataFrame, lengths: list[int]) -> Column:
 def exact_windows(benchmark: DataFrame, found: DataFrame) -> DataFrame:
     """item_id, item_pos, window, length of the items (item_id, text) that have no row in ``found``, word by word.
 
-    Items of fewer than MIN_WORDS words have none.
+    Items without words have none.
     """
-    items = _with_windows(benchmark.select("item_id", "text").distinct(), "text").where(F.size("_words") >= MIN_WORDS)
+    items = _with_windows(benchmark.select("item_id", "text").distinct(), "text").where(F.size("_words") > 0)
     rest = items.join(found.select("item_id").distinct(), "item_id", "left_anti").withColumn("length", F.least(F.size("_words"), F.lit(WINDOW)))
-    of = {n: F.posexplode(_exact(rest, [n])).alias("item_pos", "window") for n in range(MIN_WORDS, WINDOW + 1)}
+    of = {n: F.posexplode(_exact(rest, [n])).alias("item_pos", "window") for n in range(1, WINDOW + 1)}
     parts = [rest.where(F.col("length") == n).select("item_id", each, "length") for n, each in of.items()]
     out = parts[0]
     for part in parts[1:]:
@@ -157,7 +156,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, min_coverage: floa
 
     Columns: doc_id, row_key (hash of id and text), item_id, windows (of the item), matched, slots (compared), changed (of
     them), consistency.  A document is known by id and text: equal rows give one row.
-    Null and empty texts contain nothing; null items and those of fewer than MIN_WORDS words are never found.  Other columns are ignored.
+    Null and empty texts contain nothing; null items and those without words are never found.  Other columns are ignored.
     Items without a countable window are found where their exact windows are, and have no slots.
 
     Any other item is found by the first of three ways that has enough windows and consistent slots, and the figures are that way's: possible names as words;
@@ -169,7 +168,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, min_coverage: floa
     index = bench.select("item_id", "item_pos", "window", "item_plain")
     index = F.broadcast(index) if n <= BROADCAST_WINDOWS else index
     exact = materialize(exact_windows(benchmark, bench))
-    lengths = sorted(r["length"] for r in exact.select("length").distinct().collect())  # at most three numbers
+    lengths = sorted(r["length"] for r in exact.select("length").distinct().collect())  # at most five numbers
     keyed = docs.select("doc_id", "text").where("text is not null").withColumn("_key", F.xxhash64("doc_id", "text"))
     worded = _with_windows(keyed, "text")
     windows = worded.select("_key", F.size("_windows").alias("_n"), F.posexplode_outer(F.concat("_windows", F.array_compact("_open"))).alias("_at", "window"))
@@ -261,9 +260,9 @@ c AS (SELECT k, doc_id, item_id, windows, count(DISTINCT ipos) AS matched FROM m
 s AS (SELECT DISTINCT k, item_id, dpos - ipos AS diagonal, ipos + o AS place, iwords[o + 1] AS iw, dwords[o + 1] AS dw
   FROM m SEMI JOIN c USING (k, item_id), range({WINDOW}) t(o) WHERE iwords[o + 1][1] IN ('#', '@', '~')),
 v AS (SELECT k, item_id, diagonal, iw, count(*) AS n, count(*) FILTER (iw <> dw) AS c, min(dw) = max(dw) AS same FROM s GROUP BY ALL),
-x AS (SELECT item_id, list_transform(words, lambda w: ltrim(w, '@#~')) AS words, least(len(words), {WINDOW}) AS n FROM bw WHERE len(words) >= {MIN_WORDS} AND item_id NOT IN (SELECT item_id FROM bi)),
+x AS (SELECT item_id, list_transform(words, lambda w: ltrim(w, '@#~')) AS words, least(len(words), {WINDOW}) AS n FROM bw WHERE len(words) > 0 AND item_id NOT IN (SELECT item_id FROM bi)),
 xi AS (SELECT item_id, n, p, array_to_string(words[p + 1 : p + n], ' ') AS win FROM (SELECT *, unnest(range(len(words) - n + 1)) AS p FROM x)),
-xd AS (SELECT k, doc_id, n, list_transform(words, lambda w: ltrim(w, '@#~')) AS words FROM dw, (SELECT DISTINCT n FROM x) WHERE len(words) >= n),
+xd AS (SELECT k, doc_id, n, list_transform(words, lambda w: ltrim(w, '@#~')) AS words FROM dw, (SELECT DISTINCT n FROM x) WHERE len(words) >= n AND (n > 1 OR len(words) = 1)),
 xw AS (SELECT k, doc_id, n, array_to_string(words[p + 1 : p + n], ' ') AS win FROM (SELECT *, unnest(range(len(words) - n + 1)) AS p FROM xd)),
 xc AS (SELECT k, doc_id, xi.item_id, any_value(w.windows) AS windows, count(DISTINCT xi.p) AS matched FROM xw JOIN xi USING (n, win) JOIN (SELECT item_id, count(*) AS windows FROM xi GROUP BY ALL) w ON w.item_id = xi.item_id
   GROUP BY k, doc_id, xi.item_id HAVING count(DISTINCT xi.p) >= any_value(w.windows) * {MIN_COVERAGE}),

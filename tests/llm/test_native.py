@@ -134,15 +134,16 @@ def test_names_that_begin_sentences_and_short_items(spark):
 
 
 def test_items_without_a_countable_window_are_found_word_by_word(spark, tmp_path):
+    # those of one or two words as well: no copied question is too short
     import duckdb
 
-    items = [(1, "Name the capital"), (2, "12 + 13 + 14 + 15 + 16 + 17"), (3, "one two"), (4, "Name the largest planet"), (5, ""), (6, None), (1, "Name the capital")]
-    docs = [(1, "The task: name the Capital of Peru"), (2, "name a capital"), (3, "we know 12, 13; 14 15 16 - 17!"), (4, "12 13 14 15 16 18"), (5, "one two"), (6, "say: NAME THE LARGEST PLANET and name the capital"), (7, None), (6, "say: NAME THE LARGEST PLANET and name the capital")]
+    items = [(1, "Name the capital"), (2, "12 + 13 + 14 + 15 + 16 + 17"), (3, "one two"), (4, "Name the largest planet"), (5, ""), (6, None), (1, "Name the capital"), (7, "Explain photosynthesis"), (8, "Paris")]
+    docs = [(1, "The task: name the Capital of Peru"), (2, "name a capital"), (3, "we know 12, 13; 14 15 16 - 17!"), (4, "12 13 14 15 16 18"), (5, "one two"), (6, "say: NAME THE LARGEST PLANET and name the capital"), (7, None), (6, "say: NAME THE LARGEST PLANET and name the capital"), (8, "Please explain photosynthesis to me"), (9, "explain the photosynthesis"), (10, "paris!"), (11, "Paris is large"), (12, "...")]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("length", F.lit("clash"))
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = sorted(dc.find_contamination(df, bench).drop("row_key").collect())
-    assert [(r.doc_id, r.item_id, r.windows, r.matched) for r in got] == [(1, 1, 1, 1), (3, 2, 2, 2), (6, 1, 1, 1), (6, 4, 1, 1)]
-    assert {r.doc_id for r in dc.drop_contaminated(df, bench).collect()} == {2, 4, 5, 7}
+    assert [(r.doc_id, r.item_id, r.windows, r.matched) for r in got] == [(1, 1, 1, 1), (3, 2, 2, 2), (5, 3, 1, 1), (6, 1, 1, 1), (6, 4, 1, 1), (8, 7, 1, 1), (10, 8, 1, 1)]
+    assert {r.doc_id for r in dc.drop_contaminated(df, bench).collect()} == {2, 4, 7, 9, 11, 12}
     con = duckdb.connect()
     con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
