@@ -15,13 +15,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import held, table
 
-#: Bound of the sample: rows of a language, one of each hash slot, and characters of each, from a place that its hash tells.
-SAMPLE_DOCS, SAMPLE_CHARS = 256, 256
+#: Bound of the sample: rows of a language, one of each hash slot, and bytes of their whole texts.
+SAMPLE_DOCS, SAMPLE_BYTES = 256, 1 << 16
 #: Bytes encoded at a time, zstandard's level, bytes of a primer, number of primers.
 BLOCK, LEVEL, PRIMER, PRIMERS = 16384, 6, 512, 16
 #: Bytes of a text to be encoded in all, if the primers suffice.
@@ -32,23 +32,27 @@ MIN_MARGIN = 0.002
 RESULT = "lang_pred string, score double, rejected boolean"
 
 
-def fit_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
+def fit_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
     """``docs`` (doc_id, text, lang) to a dictionary for each non-null lang.
 
-    The sample is one document for each of ``sample_docs`` hash slots of a language, the
-    one with the smallest hash, and ``sample_chars`` characters from a place of it that depends on the hash: at most
-    ``sample_docs * sample_chars`` characters of a language reach the driver.
-    Empty and null texts are never sampled; of rows of one id the smallest piece counts.  No labelled rows: no dictionaries.
+    The sample is whole texts: of each of ``sample_docs`` hash slots of a language the row with the smallest hash, and of these, by their
+    hashes, as many as ``sample_bytes`` hold together; equal texts count once.  That bounds what reaches the driver.  Rows are
+    chosen by hashes and sizes; only the texts of the chosen ones move.
+    Empty and null texts, and those longer than ``sample_bytes``, are never sampled; of rows of one id the text with the smallest hash counts.
+    No labelled rows: no dictionaries.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    hashed = labelled.select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1).cast("int") + 1
-    keyed = hashed.select("lang", "h", F.substring(F.col("text"), start, F.lit(sample_chars)).alias("piece"))
-    slots = keyed.groupBy("lang", F.pmod("h", F.lit(sample_docs)).alias("slot")).agg(F.min(F.struct("h", "piece"))["piece"].alias("piece"))
-    rows = slots.collect()
+    size = F.octet_length("text").cast("long")
+    labelled = docs.where(F.col("lang").isNotNull() & size.between(1, sample_bytes))
+    named = F.struct(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), size.alias("size"))
+    slots = labelled.select("lang", named.alias("row")).groupBy("lang", F.pmod("row.h", F.lit(sample_docs)).alias("slot")).agg(F.min("row").alias("row"))
+    once = slots.groupBy("lang", "row.t").agg(F.min("row").alias("row")).select("lang", "row.*")
+    order = Window.partitionBy("lang").orderBy("h", "t")  # at most sample_docs rows a language
+    chosen = once.withColumn("held", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("held") <= sample_bytes).select("lang", "h", "t")
+    texts = labelled.select("lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), "text").join(F.broadcast(chosen), ["lang", "h", "t"])
+    rows = texts.groupBy("lang", "h", "t").agg(F.min("text").alias("text")).collect()
     pieces: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.slot)):
-        pieces.setdefault(r.lang, []).append(r.piece)
+    for r in sorted(rows, key=lambda r: (r.lang, r.h, r.t)):
+        pieces.setdefault(r.lang, []).append(r.text)
     return {lang: "\n".join(p).lower().encode() for lang, p in sorted(pieces.items())}
 
 

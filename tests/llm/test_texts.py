@@ -68,10 +68,13 @@ def test_languages_against_a_plain_version(spark):
     for t in (t for t in texts if any(c.isalpha() for c in t)):
         got, score, rejected = li.classify(t, model)
         assert (got, score) == plain_language(t, model) and rejected == (score < li.MIN_MARGIN)
-    # pieces lie anywhere in their texts
-    marked = spark.createDataFrame([(i, "a" * 1000 + "b" * 1000, "x") for i in range(40)], "doc_id long, text string, lang string")
+    # whole texts, each once, as many as the budget holds
+    rows = [(i, f"{i} " * (10 + i), "x") for i in range(40)] + [(50 + i, "copy " * 40, "x") for i in range(40)] + [(99, "long " * 20_000, "x")]
+    marked = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     pieces = li.fit_dictionaries(marked)["x"].decode().split("\n")
-    assert {len(p) for p in pieces} == {256} and len(set(pieces)) > 1 and any("a" in p for p in pieces) and any("b" in p for p in pieces)
+    assert len(pieces) == len(set(pieces)) and set(pieces) <= {t for _, t, _ in rows[:80]} and "copy " * 40 in pieces and len(pieces) > 30
+    few = li.fit_dictionaries(marked, sample_bytes=1000)["x"].decode().split("\n")
+    assert set(few) <= set(pieces) and 0 < len("".join(few)) <= 1000
 
 
 def test_language_edges(spark):
