@@ -702,26 +702,26 @@ ctx AS (SELECT *, list(source_filename) FILTER (rank <= 3) OVER (PARTITION BY qu
 
 
 def _stored_vectors(read):
-    """(questions with query_embedding, a stored release with embedding)."""
+    """(questions with query_embedding, a function that adds the stored vector to rows of chunks)."""
     v = read("vectors").select(c("vec_id").alias("_v"), "embedding")
     n = v.count()
-    k = _release(read)
     of_chunk = F.pmod(7 * F.regexp_extract("source_filename", "([0-9]+)", 1).cast("long") + c("chunk_index"), F.lit(n))
-    k = store(k.withColumn("_v", of_chunk).join(v, "_v").drop("_v"))
     q = read("questions").withColumn("_v", F.pmod("query_id", F.lit(n))).join(v.withColumnRenamed("embedding", "query_embedding"), "_v").drop("_v")
-    return store(q), k
+    return store(q), lambda k: k.withColumn("_v", of_chunk).join(v, "_v").drop("_v")
 
 
 def _selected_stored(read):
-    q, k = _stored_vectors(read)
-    hits = rt.hybrid_search(q, k, 18).join(k.select("chunk_id", "source_title", "content"), "chunk_id")
-    return rt.select_answer_context(rt.apply_evidence_floor(hits, 6))
+    q, vectors = _stored_vectors(read)
+    hits = store(rt.hybrid_search(q, _chunks(read), 18, vectors=vectors))
+    # texts of the few chunks that were found
+    texts = _chunks(read).select("chunk_id", "source_title", "content").join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return rt.select_answer_context(rt.apply_evidence_floor(hits.join(texts, "chunk_id"), 6))
 
 
 @query(f"WITH {STORED_SQL} SELECT query_id, chunk_id, r AS rank, lexical_rank, semantic_rank, round(fused, 8) AS fused_score FROM h WHERE r <= 10")
 def hybrid_search_stored(read, spark):
-    q, k = _stored_vectors(read)
-    return rt.hybrid_search(q, k, 10).select("query_id", "chunk_id", "rank", "lexical_rank", "semantic_rank", F.round("fused_score", 8).alias("fused_score"))
+    q, vectors = _stored_vectors(read)
+    return rt.hybrid_search(q, _chunks(read), 10, vectors=vectors).select("query_id", "chunk_id", "rank", "lexical_rank", "semantic_rank", F.round("fused_score", 8).alias("fused_score"))
 
 
 @query(f"WITH {STORED_SQL} SELECT query_id, chunk_id, place AS rank, round(fused, 8) AS fused_score FROM sel")
@@ -742,7 +742,8 @@ def answer_questions_stored(read, spark):
     SELECT query_id, chunk_id, lexical_rank, vector_rank FROM lw FULL JOIN lv USING (query_id, chunk_id)"""
 )
 def candidates_stored(read, spark):
-    return rt.candidates(*_stored_vectors(read), 80)
+    q, vectors = _stored_vectors(read)
+    return rt.candidates(q, store(vectors(_chunks(read))), 80)
 
 
 @query("SELECT doc_id % 5 AS release_id, CASE WHEN count(CASE WHEN status = 'approved' OR doc_id % 5 < 3 THEN 1 END) FILTER (doc_id % 5 > 0) = 0 THEN 'hybrid_ephemeral' WHEN count(*) FILTER (NOT (doc_id % 5 = 1 OR coalesce(status = 'approved', false))) > 0 THEN 'hybrid_ephemeral_model_mismatch' ELSE 'hybrid_release' END AS strategy FROM rag_documents GROUP BY ALL")
