@@ -33,8 +33,12 @@ def add_favorites(favorites: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def latest_per_user(df: DataFrame, n: int, least: int = 1, most: int = 100, tie: str = "id") -> DataFrame:
-    """The newest rows of each user, n of them within bounds; ``rank`` numbers them.  Rows without a user are left out."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc(tie))
+    """The newest rows of each user, n of them within bounds; ``rank`` numbers them.  Rows without a user are left out.
+
+    Rows of one time and ``tie`` are ordered by their other columns, so that reruns agree.
+    """
+    rest = [F.asc(f.name) for f in df.schema if f.name not in ("user_id", "created_at", tie) and not f.dataType.simpleString().startswith(("map", "variant"))]
+    w = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc(tie), *rest)
     return df.where("user_id is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(least, min(most, n)))
 
 
