@@ -18,6 +18,8 @@ from grocerlake.sources.tables import store
 
 # Requests of a class allowed in so many seconds.
 LIMITS = {"auth": (12, 60), "scan": (20, 60), "label_ocr": (4, 60), "chat": (10, 60), "admin_mutation": (30, 60)}
+#: Rows of state that a day's users lie in, and its products.
+SLOTS = 32
 #: Hash buckets of a cache.
 CACHE_BUCKETS = 64
 THROTTLED = "event_id long, request_class string, identity string, ts timestamp, accepted boolean"
@@ -36,15 +38,16 @@ def stream_fct_rag_daily(stream: DataFrame, watermark: str = "1 day") -> DataFra
 def stream_fct_scan_daily(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
     """The daily scan mart with exact distinct counts, for append mode: a day comes when the watermark has passed its end.
 
-    Two stateful steps: first one row a day and user, and one a day and product, however many scans they have; then these are counted.  State
-    is a row for each user and product of the days that are open.
+    Two stateful steps: first the sets of users and of products of a day, each in SLOTS rows by hash, however many scans they have; then their sizes are
+    added up.  State is a row for each slot of the days that are open, with every user or product of it once; a key that is no row of its own takes a few bytes.
     """
-    keys = F.array(F.struct(F.lit("user").alias("kind"), F.col("user_id").cast("string").alias("key")), F.struct(F.lit("product").alias("kind"), F.col("barcode").cast("string").alias("key")))
+    pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int").alias("slot"), key.alias("key"))
+    keys = F.array(pair("user", F.col("user_id").cast("string")), pair("product", F.col("barcode").cast("string")))
     keyed = stream.withWatermark("created_at", watermark).select("created_at", "score", F.explode(keys).alias("k"))
-    once = keyed.groupBy(F.window("created_at", "1 day"), "k.kind", "k.key").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"), F.count("score").alias("scored"))
+    once = keyed.groupBy(F.window("created_at", "1 day"), "k.kind", "k.slot").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"), F.count("score").alias("scored"), F.size(F.collect_set("k.key")).alias("distinct"))
     of_user = F.col("kind") == "user"
     days = once.groupBy(F.window("window", "1 day")).agg(
-        F.sum(F.when(of_user, F.col("n"))).alias("scan_count"), F.count_if(of_user & F.col("key").isNotNull()).alias("active_users"), F.count_if(~of_user & F.col("key").isNotNull()).alias("unique_products"),
+        F.sum(F.when(of_user, F.col("n"))).alias("scan_count"), F.coalesce(F.sum(F.when(of_user, F.col("distinct"))), F.lit(0)).alias("active_users"), F.coalesce(F.sum(F.when(~of_user, F.col("distinct"))), F.lit(0)).alias("unique_products"),
         F.round(F.sum(F.when(of_user, F.col("s"))) / F.sum(F.when(of_user, F.col("scored"))), 2).alias("mean_score"),
     )
     return days.select(F.to_date("window.start").alias("day"), "scan_count", "active_users", "unique_products", "mean_score")

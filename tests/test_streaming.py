@@ -116,3 +116,15 @@ def test_versions_of_a_cache(spark, tmp_path):
     assert {r.name for r in st.read_cache(spark, path, CACHE, 2).where("barcode = '7'").collect()} == {"c2"}
     # an empty batch makes a version of its own without a bucket
     assert st.upsert_version(rows(("x", "y")).limit(0), 4, path, day(4), buckets=8) == [] and whole() == {**once, "7": ("c3", 3)}
+
+
+def test_state_of_daily_scans_is_a_row_a_slot(spark, tmp_path):
+    """3000 users and products of a day do not make a row of state each."""
+    rows = spark.range(3000).selectExpr("timestamp'2024-01-01 00:00:00' as created_at", "id as user_id", "cast(id as string) as barcode", "cast(id % 3 as int) as score")
+    rows.union(spark.sql("select timestamp'2024-02-01 00:00:00', null, null, null")).write.parquet(str(tmp_path / "in"))
+    stream = st.stream_fct_scan_daily(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    out = []
+    query = stream.writeStream.outputMode("append").foreachBatch(lambda batch, n: out.extend(map(tuple, batch.collect()))).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [r[1:] for r in out] == [(3000, 3000, 3000, 1.0)]
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 2 * st.SLOTS + 2
