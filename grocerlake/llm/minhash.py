@@ -4,7 +4,7 @@ A document is its set of distinct 5-word shingles; equal sets are one all along.
 Sets with equal minima in a band share a bucket.  Every set of a bucket is held against the bucket's first one; a pair
 of which enough minima agree is confirmed on full sets.  What is not joined with its bucket's first set in this way is
 then held against the bucket's other sets, in blocks, and buckets too large for that are cut by a second band, as pairs
-that are similar share many.  A linked pair is missed when no band agrees, or too few minima: below one in 10^9.
+that are similar share many.  Sets that agree there in several buckets are confirmed in one group of what hangs together.  A linked pair is missed when no band agrees, or too few minima: below one in 10^9.
 """
 
 from __future__ import annotations
@@ -153,24 +153,34 @@ def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield last[0], *(np.concatenate(c) for c in zip(*pieces))
 
 
-def cell_agreement(query: np.ndarray, part: np.ndarray, minima: np.ndarray, least: int) -> np.ndarray:
-    """Which rows of a cell have one of the other kind, in another part, of which ``least`` minima agree."""
-    open_ = np.zeros(len(query), bool)
+def cell_parts(query: np.ndarray, part: np.ndarray, minima: np.ndarray, least: int) -> np.ndarray:
+    """For rows of a cell that have one of the other kind, in another part, of which ``least`` minima agree, a row that they hang together with through such pairs; -1 for others."""
+    label, open_ = np.arange(len(query)), np.zeros(len(query), bool)
     asking, offered = np.flatnonzero(query), np.flatnonzero(~query)
     step = max(1, 4096 // max(1, len(offered)))
     for lo in range(0, len(asking) if len(offered) else 0, step):
         q = asking[lo : lo + step]
         alike = (minima[q][:, None, :] == minima[offered][None, :, :]).sum(axis=2) >= least
         alike &= part[q][:, None] != part[offered][None, :]
-        open_[q] |= alike.any(axis=1)
-        open_[offered] |= alike.any(axis=0)
-    return open_
+        for i in np.flatnonzero(alike.any(axis=1)).tolist():
+            found = np.append(offered[alike[i]], q[i])
+            open_[found] = True
+            joined = np.unique(label[found])
+            if len(joined) > 1:
+                label[np.isin(label, joined)] = joined[0]
+    return np.where(open_, label, -1)
+
+
+def cell_agreement(query: np.ndarray, part: np.ndarray, minima: np.ndarray, least: int) -> np.ndarray:
+    """Which rows of a cell have one of the other kind, in another part, of which ``least`` minima agree."""
+    return cell_parts(query, part, minima, least) >= 0
 
 
 def _agreeing(unlike: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """(g, query, sid) of the sets of buckets of which enough minima agree with those of a set in another part.
+    """(g, query, sid, near) of the sets of buckets of which enough minima agree with those of a set in another part.
 
-    Queries are sets outside the bucket's main part; they meet all sets of it, in cells of a block of each, and no pair is put out.
+    Queries are sets outside the bucket's main part; they meet all sets of it, in cells of a block of each.  No pair is put out: ``near`` is one set for all that hang
+    together in a cell through such pairs.
     """
     queries, members = unlike.where("part <> main"), unlike
     count = lambda df, size, name: df.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
@@ -184,12 +194,24 @@ def _agreeing(unlike: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, query, sid, part, minima in _whole_cells(batches):
-            found = cell_agreement(query, part, minima, least)
-            if found.any():
-                yield pa.record_batch([pa.array(np.full(found.sum(), g)), pa.array(query[found]), pa.array(sid[found])], names=["g", "query", "sid"])
+            found = cell_parts(query, part, minima, least)
+            open_ = found >= 0
+            if open_.any():
+                yield pa.record_batch([pa.array(np.full(open_.sum(), g)), pa.array(query[open_]), pa.array(sid[open_]), pa.array(sid[found[open_]])], names=["g", "query", "sid", "near"])
 
     ordered = cells.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-    return materialize(ordered.mapInArrow(tidy(look), "g long, query boolean, sid long"))
+    return materialize(ordered.mapInArrow(tidy(look), "g long, query boolean, sid long, near long"))
+
+
+def _once(open_: DataFrame) -> DataFrame:
+    """(g, query, sid) of the rows (g, query, sid, near), where what hangs together is one group in place of its many buckets, so that a set is spelt once and not once a bucket.
+
+    Such a group holds every pair that its buckets held.  More than MEMBER_BLOCK sets that hang together stay in their buckets.
+    """
+    whole = connected_components(open_.select(F.col("sid").alias("a"), F.col("near").alias("b")))
+    small = whole.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= MEMBER_BLOCK).select("component")
+    group_of = whole.join(small, "component").select(F.col("node").alias("sid"), F.xxhash64(F.lit("near"), "component").alias("own"))
+    return materialize(open_.join(group_of, "sid", "left").select(F.coalesce("own", "g").alias("g"), "query", "sid").distinct())
 
 
 def _spell(rows: DataFrame, taking_part: DataFrame, n: int) -> DataFrame:
@@ -256,7 +278,8 @@ def minhash_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         unlike = unlike.where("not large").unionByName(_unlike(again, _parts(links)))
     open_ = _agreeing(unlike, sets, least)
     if not open_.isEmpty():
-        ask = lambda query: open_.where(F.col("query") == query).select("g", "sid").distinct()
+        groups = _once(open_)
+        ask = lambda query: groups.where(F.col("query") == query).select("g", "sid")
         links = materialize(links.unionByName(_confirm(rows, sets, ask(True), ask(False), n, percent)))
 
     parts = connected_components(links)

@@ -208,3 +208,23 @@ def test_cells_show_who_has_a_partner():
     want = np.zeros(40, bool)
     want[[5, 20]] = True
     assert (mh.cell_agreement(query, part, minima, 84) == want).all()
+
+
+def test_sets_that_agree_in_many_buckets_are_confirmed_once(spark, monkeypatch):
+    asked, confirm = [], mh._confirm
+
+    def counted(rows, sets, queries, members, n, percent):
+        asked.append([(df.count(), df.select("sid").distinct().count()) for df in (queries, members)])
+        return confirm(rows, sets, queries, members, n, percent)
+
+    monkeypatch.setattr(mh, "_confirm", counted)
+    docs = spark.createDataFrame(list(enumerate(near_copies(3))), "doc_id long, text string")
+    mh.minhash_components(docs).count()
+    assert len(asked) == 2 and all(rows == sids > 0 for rows, sids in asked[1])
+
+
+def test_cells_show_who_hangs_together():
+    minima = np.arange(6)[:, None].repeat(mh.MINIMA, 1)
+    minima[[2, 4]] = minima[0]
+    query, part = np.arange(6) < 2, np.arange(6)
+    assert mh.cell_parts(query, part, minima, 84).tolist() == [0, -1, 0, -1, 0, -1]
