@@ -1,8 +1,8 @@
 """Main text of web pages by wrapper induction.
 
-A bounded sample of pages of each host is reduced to trees of block elements.  Simple
-tree matching aligns them: nodes with the same text on most pages may be the host's
-template wherever they stand, the others are slots.  Pages that are copies of one another count as one.  The wrapper of a host is the path of
+Every page is reduced to its tree of block elements.  The reference of a host is the page that holds most of what is on more than
+half of its pages.  Simple tree matching aligns every other page of the host with it: nodes with the same text on most pages may be the host's
+template wherever they stand, the others are slots.  Pages with the same tree and texts count as one, and copies of the reference do not count beside it.  The wrapper of a host is the path of
 the node that holds its slots, the places of slots outside it, and the template nodes, each of them
 confirmed by a count over all pages of the host; every page of the host is read by it.  Siblings of one signature are told
 apart by their number from the front or from the back, whichever the alignment bears out, but for paragraphs and rows.  Elements that say what they are
@@ -19,18 +19,18 @@ import json
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from functools import cached_property, lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, tidy
 
-#: Pages of a host that its wrapper is induced from, at most.
-SAMPLE_PAGES = 8
 #: A template node stands on so many different pages of a host, on at least this share of them,
 #: and other text in its place on at most the last share of the pages that have it.
 TEMPLATE_PAGES, TEMPLATE_SHARE, OTHER_SHARE = 4, 0.5, 0.1
@@ -45,10 +45,14 @@ NAMED_HELD = 0.8
 #: Tree matching: pairs of siblings compared at once, levels below them that weigh in, and pairs compared in all for two
 #: pages.  Beyond these, siblings are aligned by their equal subtrees and signatures, in linear time.
 CELLS, LEVELS, WORK = 4096, 8, 400_000
+#: Rows of siblings with more pairs are compared a row at a time.
+FEW_CELLS = 64
 #: A longer run of text is prose, not a form's label.
 PROSE = 80
 #: Wrappers up to so many characters are broadcast; more are joined by a shuffle, a host's pages in so many parts.
 BROADCAST_CHARS, PARTS = 32 << 20, 64
+#: About so many pages of a host are aligned with one copy of its reference, and so many such parts make a task.
+PART_PAGES, TASK_PARTS = 512, 8
 
 # HTML element names by role.
 _INLINE = frozenset(
@@ -109,6 +113,7 @@ def _named(names: str) -> bool:
     return False
 
 
+@lru_cache(maxsize=1 << 10)
 def _describe(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool, str]:
     """(whether an element is none of the content, whether it is so by its kind or by its class or id unless it holds the article, its signature)."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if _TELLING.search(attributes) else {}
@@ -392,10 +397,10 @@ def _content_node(parent: list[int], tag: list[str], held: list[int]) -> int:
     return node
 
 
-def skeleton(source: str) -> str:
-    """A page's tree without its words: for each node parent, signature, and hashes and length of its own text; for the first, hashes of the page's words as well."""
+def _nodes(source: str) -> list:
+    """A page's kept nodes: parent, signature, and hashes and length of its own text; for the first, the set of the page's words as well."""
     page = Page(source)
-    keep, nodes = {0: 0}, [[-1, "", "", 0, sorted({_hash(w) >> 32 for k, t in page.blocks if not page.drop[k] for w in t.split()})]]
+    keep, nodes = {0: 0}, [[-1, "", "", 0, set().union(*(t.split() for k, t in page.blocks if not page.drop[k]))]]
     for k in range(1, len(page.parent)):
         if page.drop[k]:
             keep[k] = -1
@@ -409,6 +414,13 @@ def skeleton(source: str) -> str:
             nodes[keep[k]][3] += len(t)
     for k, hashes in texts.items():
         nodes[k][2] = " ".join(hashes)
+    return nodes
+
+
+def skeleton(source: str) -> str:
+    """A page's tree as JSON, with hashes in place of its words."""
+    nodes = _nodes(source)
+    nodes[0][4] = sorted({_hash(w) >> 32 for w in nodes[0][4]})
     return json.dumps(nodes, separators=(",", ":"), ensure_ascii=False)
 
 
@@ -426,7 +438,6 @@ class Tree:
             self.children[self.parent[k]].append(k)
             self.path.append(_hash(self.signature[k], self.path[self.parent[k]]))
             self.depth.append(self.depth[self.parent[k]] + 1)
-        self.fore, self.back = _numbered(self.parent, self.signature, [False] * len(nodes))
         self.words = frozenset(nodes[0][4]) if len(nodes[0]) > 4 else frozenset()
         self.whole, self.nodes = [0] * len(nodes), [1] * len(nodes)
         for k in range(len(nodes) - 1, -1, -1):
@@ -436,6 +447,34 @@ class Tree:
     def tag(self, k: int) -> str:
         return self.signature[k].partition(".")[0]
 
+    @cached_property
+    def numbered(self) -> tuple[list[int], list[int]]:
+        return _numbered(self.parent, self.signature, [False] * len(self.parent))
+
+    @property
+    def fore(self) -> list[int]:
+        return self.numbered[0]
+
+    @property
+    def back(self) -> list[int]:
+        return self.numbered[1]
+
+    @cached_property
+    def codes(self) -> np.ndarray:
+        """Of each node numbers for its signature and its own text, and whether it has children."""
+        return np.array([[hash(s) for s in self.signature], [hash(h) for h in self.hash], [int(bool(c)) for c in self.children]], np.int64)
+
+    def paths(self) -> set[int]:
+        return {_signed(p) for p in self.path}
+
+    def texts(self) -> set[int]:
+        """Hashes of texts with their paths."""
+        return {_signed(_hash(h, p)) for p, hashes in zip(self.path, self.hash) for h in hashes.split()}
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
 
 class _Matcher:
     """Order-preserving matches of equal signatures below matched parents; a pair weighs one, and one more for equal text."""
@@ -483,13 +522,33 @@ class _Matcher:
     def _best(self, left: list[int], right: list[int], levels: int) -> list[tuple[int, int, int]]:
         a, b, m, n = self.a, self.b, len(left), len(right)
         self.work -= m * n
+        if m * n > FEW_CELLS:
+            return self._trace(left, right, *self._by_rows(left, right, levels))
         weight = [[self.weight(x, y, levels) if a.signature[x] == b.signature[y] else 0 for y in right] for x in left]
         best = [[0] * (n + 1) for _ in range(m + 1)]
         for i in range(m):
             row, above, now = weight[i], best[i], best[i + 1]
             for j in range(n):
                 now[j + 1] = max(above[j + 1], now[j], above[j] + row[j])
-        out, i, j = [], m, n
+        return self._trace(left, right, weight, best)
+
+    def _by_rows(self, left: list[int], right: list[int], levels: int) -> tuple[list[list[int]], list[list[int]]]:
+        """Weights and best sums as in _best, along the longer side at once."""
+        (name_a, text_a, inner_a), (name_b, text_b, inner_b) = self.a.codes[:, left], self.b.codes[:, right]
+        alike = name_a[:, None] == name_b
+        weight = alike * (1 + (text_a[:, None] == text_b))
+        # only what is below both says more than signature and text
+        for i, j in np.argwhere(alike & (inner_a[:, None] * inner_b > 0)).tolist():
+            weight[i, j] = self.weight(left[i], right[j], levels)
+        turned = len(left) > len(right)
+        rows = weight.T if turned else weight
+        best = np.zeros((len(rows) + 1, len(rows[0]) + 1), np.int64)
+        for i, row in enumerate(rows):
+            best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + row))
+        return weight.tolist(), (best.T if turned else best).tolist()
+
+    def _trace(self, left: list[int], right: list[int], weight: list[list[int]], best: list[list[int]]) -> list[tuple[int, int, int]]:
+        out, i, j = [], len(left), len(right)
         while i and j:
             if weight[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + weight[i - 1][j - 1]:
                 i, j = i - 1, j - 1
@@ -549,44 +608,77 @@ def match_trees(a: Tree, b: Tree) -> dict[int, int]:
     matcher, out, todo = _Matcher(a, b), {0: 0}, [(0, 0)]
     while todo:
         x, y = todo.pop()
-        for i, j, _ in matcher.pairs(a.children[x], b.children[y], LEVELS):
+        left, right = a.children[x], b.children[y]
+        if len(left) == len(right) == 1:  # whatever the weight of what is below
+            found = [(*left, *right, 1)] if a.signature[left[0]] == b.signature[right[0]] else []
+        else:
+            found = matcher.pairs(left, right, LEVELS)
+        for i, j, _ in found:
             out[i] = j
             todo.append((i, j))
     return out
 
 
 def _copies(a: Tree, b: Tree) -> bool:
-    return len(a.words & b.words) >= COPIES * max(1, len(a.words | b.words))
+    few, many = sorted((len(a.words), len(b.words)))
+    if few < COPIES * many:
+        return False
+    shared = len(a.words & b.words)
+    return shared >= COPIES * max(1, few + many - shared)
 
 
-def induce(skeletons: list[str]) -> dict:
-    """The wrapper of a host from skeletons of its pages; no pages, no wrapper.
+def reference(trees: list[Tree]) -> Tree:
+    """Of different pages of a host the one like most others that holds most of what is on more than half of them; of several the one with the most nodes."""
+    common = [{x for x, n in Counter(x for t in trees for x in of(t)).items() if 2 * n > len(trees)} for of in (Tree.paths, Tree.texts)]
 
-    Of pages that are copies of one another one counts.  The page with the most nodes, of those like most others, is aligned with each other one.
-    Nodes whose text is the same on most of them may be template; nodes whose text differs from that on TEMPLATE_PAGES - 1 others are slots
-    for certain.  Where no article or main holds the slots, those outside the root are named by their paths.
-    """
-    trees: list[Tree] = []
-    for tree in sorted((Tree(json.loads(s)) for s in sorted(set(skeletons))), key=lambda t: -len(t.parent)):
-        if not any(_copies(tree, t) for t in trees):
-            trees.append(tree)
+    def rank(t: Tree) -> tuple:
+        paths, shared = t.paths(), t.paths() & common[0]
+        return 2 * len(shared) < len(paths | common[0]), -len(shared) - len(t.texts() & common[1]), -len(t.parent), _signed(t.whole[0])
+
+    return min(trees, key=rank)
+
+
+#: What a page says about a node of the reference with text: its match has the same text or another, and has its number from the back or from the front alone.
+_SAME, _VARIED, _BACK, _FORE = range(4)
+#: And that the page counts.
+_PAGE = -1
+
+
+def votes(first: Tree, other: Tree) -> list[int]:
+    """What a page says about the nodes k of its host's reference, as 4 * k and one of the above; nothing if it is a copy of the reference."""
+    if first.whole[0] == other.whole[0] or _copies(first, other):
+        return []
+    out = [_PAGE]
+    for k, j in sorted(match_trees(first, other).items()):
+        if first.hash[k]:
+            out.append(4 * k + (_SAME if first.hash[k] == other.hash[j] else _VARIED))
+            back, fore = first.back[k] == other.back[j], first.fore[k] == other.fore[j]
+            if back != fore:
+                out.append(4 * k + (_BACK if back else _FORE))
+    return out
+
+
+def induce(skeletons: Iterable[str]) -> dict:
+    """The wrapper of a host from skeletons of all its pages; no pages, no wrapper."""
+    trees = list({t.whole[0]: t for t in (Tree(json.loads(s)) for s in skeletons)}.values())
     if not trees:
         return {}
-    places = [set(t.path) for t in trees]
-    alike = [sum(2 * len(p & q) >= len(p | q) for q in places) for p in places]
-    first = next((t for t, n in zip(trees, alike) if 2 * n > len(trees)), trees[0])
-    same, varied, backward = [int(bool(h)) for h in first.hash], [0] * len(first.hash), [0] * len(first.hash)
-    for other in trees:
-        if other is not first:
-            pairs = match_trees(first, other)
-            for k, h in enumerate(first.hash):
-                if h and k in pairs:
-                    equal = h == other.hash[pairs[k]]
-                    same[k] += equal
-                    varied[k] += not equal
-                    # whether numbers from the back or from the front say better which sibling it is
-                    backward[k] += (first.back[k] == other.back[pairs[k]]) - (first.fore[k] == other.fore[pairs[k]])
-    constant = [n > 1 and 2 * n > len(trees) for n in same]
+    first = reference(trees)
+    return conclude(first, Counter(v for t in trees for v in votes(first, t)))
+
+
+def conclude(first: Tree, counts: dict[int, int]) -> dict:
+    """The wrapper of a host from its reference and the counts of what its pages say.
+
+    Nodes whose text is the same on most pages may be template; nodes whose text differs from that on TEMPLATE_PAGES - 1 others, and on too many for a
+    template, are slots for certain.  Where no article or main holds the slots, those outside the root are named by their paths.
+    """
+    n_pages, nodes = 1 + counts.get(_PAGE, 0), range(len(first.hash))
+    same = [counts.get(4 * k + _SAME, 0) + bool(first.hash[k]) for k in nodes]
+    varied = [counts.get(4 * k + _VARIED, 0) for k in nodes]
+    # whether numbers from the back or from the front say better which sibling it is
+    backward = [counts.get(4 * k + _BACK, 0) - counts.get(4 * k + _FORE, 0) for k in nodes]
+    constant = [n > 1 and 2 * n > n_pages for n in same]
     slots = sum(n for n, c in zip(first.size, constant) if not c)
     # where hardly anything varies, all of the text tells where the content is
     inner = [0 if c and 2 * slots >= sum(first.size) else n for n, c in zip(first.size, constant)]
@@ -604,7 +696,7 @@ def induce(skeletons: list[str]) -> dict:
     out = {"root": first.path[root] if root else None, "template": [[place[k], int(h)] for k in range(len(below)) if constant[k] for h in first.hash[k].split()]}
     if root and first.tag(root) not in ("article", "main"):
         over = {first.path[k] for k in range(len(below)) if below[k]} | above
-        out["also"] = sorted({first.path[k] for k in range(1, len(below)) if not below[k] and first.size[k] and varied[k] >= TEMPLATE_PAGES - 1} - over)
+        out["also"] = sorted({first.path[k] for k in range(1, len(below)) if not below[k] and first.size[k] and varied[k] >= TEMPLATE_PAGES - 1 and varied[k] > OTHER_SHARE * same[k]} - over)
     return out
 
 
@@ -616,16 +708,93 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
+def _of_host(rows: DataFrame, facts: DataFrame, size: Column, deal: Column, how: str) -> DataFrame:
+    """Join rows (host, ...) with facts (one row a host), by broadcast if their ``size`` is small in all; else the rows of a host are dealt by a hash."""
+    if (facts.agg(F.sum(size + F.length("host"))).head()[0] or 0) <= BROADCAST_CHARS:
+        return rows.join(F.broadcast(facts), "host", how)
+    dealt = facts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.withColumn("part", F.pmod(deal, F.lit(PARTS)).cast("int")).join(dealt, ["host", "part"], how).drop("part")
+
+
+def _with_wrappers(keyed: DataFrame, wrappers: DataFrame, how: str) -> DataFrame:
+    """Join rows (host, html) with the wrappers of their hosts."""
+    return _of_host(keyed, wrappers, F.length("wrapper"), F.xxhash64("html"), how)
+
+
+def _named_pages(pages: DataFrame) -> DataFrame:
+    return pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> '' and html <> ''")
+
+
+def references(pages: DataFrame) -> DataFrame:
+    """(host, html, parts): the reference of each host, by counts over all its different pages, and how many parts all its pages make."""
+
+    @F.pandas_udf("page long, nodes int, paths array<long>, texts array<long>")
+    def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for sources in batches:
+            trees = (Tree(_nodes(s)) for s in sources)
+            rows = [(_signed(t.whole[0]), len(t.parent), list(t.paths()), list(t.texts())) for t in trees]
+            yield pd.DataFrame(rows, columns=["page", "nodes", "paths", "texts"])
+
+    named = _named_pages(pages).withColumn("at", F.xxhash64("html"))
+    looked = named.select("host", "at", look("html").alias("x")).select("host", "at", "x.*")
+    of_page = [F.first(c).alias(c) for c in ("nodes", "paths", "texts")]
+    different = materialize(looked.groupBy("host", "page").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"), *of_page))
+
+    whole = materialize(different.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.ceil(F.sum("copies") / PART_PAGES).cast("int").alias("parts")))
+    each = lambda c: different.select("host", F.lit(c).alias("kind"), F.explode(c).alias("x"))
+    counts = each("paths").unionByName(each("texts")).groupBy("host", "kind", "x").agg(F.count(F.lit(1)).alias("n"))
+    frequent = _of_host(counts, whole, F.lit(8), F.xxhash64("x"), "inner").where(2 * F.col("n") > F.col("pages"))
+    of_kind = lambda c: F.collect_list(F.when(F.col("kind") == c, F.col("x"))).alias(f"common_{c}")
+    common = materialize(frequent.groupBy("host").agg(of_kind("paths"), of_kind("texts")))
+
+    known = _of_host(different, common, 8 * (F.size("common_paths") + F.size("common_texts")), F.xxhash64("page"), "inner")
+    shared = F.size(F.array_intersect("paths", "common_paths"))
+    unlike = 2 * shared < F.size("paths") + F.size("common_paths") - shared
+    rank = F.struct(unlike, -shared - F.size(F.array_intersect("texts", "common_texts")), -F.col("nodes"), F.col("page"))
+    best = materialize(known.groupBy("host").agg(F.min_by("at", rank).alias("best")))
+    found = _of_host(named, best, F.lit(8), F.col("at"), "inner").where("at = best")
+    return found.groupBy("host").agg(F.min("html").alias("html")).join(whole.select("host", "parts"), "host")
+
+
 def induce_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper as JSON): at most SAMPLE_PAGES different pages of a host, one of each hash slot."""
+    """(host, wrapper as JSON): every page of a host is aligned with its reference, where it lies, and what pages say is counted by node."""
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = None
+        for batch in batches:
+            hosts, keys, says = [], [], []
+            for host, is_first, source in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                tree = Tree(_nodes(source.as_py()))
+                if is_first:
+                    first = tree
+                elif said := votes(first, tree):
+                    hosts.append(host)
+                    keys.append(_signed(tree.whole[0]))
+                    says.append(said)
+            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(says, pa.list_(pa.int32()))], names=["host", "page", "says"])
 
-    def of_host(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(induce([skeleton(p) for p in group["html"]]), ensure_ascii=False)]})
+    @F.pandas_udf("string")
+    def wrap(firsts: pd.Series, says: pd.Series, ns: pd.Series) -> pd.Series:
+        out = []
+        for first, ks, n in zip(firsts, says, ns):
+            counts = {} if ks is None else {int(k): int(m) for k, m in zip(ks, n)}
+            out.append(json.dumps(conclude(Tree(_nodes(first)), counts), ensure_ascii=False))
+        return pd.Series(out, dtype=object)
 
-    named = pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> '' and html <> ''")
-    hashed = named.withColumn("h", F.xxhash64("html"))
-    sample = hashed.groupBy("host", F.pmod("h", F.lit(SAMPLE_PAGES)).alias("slot")).agg(F.min_by("html", "h").alias("html"))
-    return sample.groupBy("host").applyInPandas(of_host, "host string, wrapper string")
+    # each part of a host's pages lies behind a copy of the reference
+    firsts = materialize(references(pages))
+    numbered = _named_pages(pages).withColumn("id", F.monotonically_increasing_id())
+    dealt = _of_host(numbered, firsts.select("host", "parts"), F.lit(4), F.col("id"), "inner")
+    dealt = dealt.select("host", F.pmod("id", "parts").cast("int").alias("part"), F.lit(False).alias("first"), "html")
+    ahead = firsts.select("host", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("first"), "html")
+    spark = pages.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (firsts.agg(F.sum("parts")).head()[0] or 0) // TASK_PARTS)
+    both = dealt.unionByName(ahead).repartition(tasks, "host", "part").sortWithinPartitions("host", "part", F.desc("first"))
+    said = both.mapInArrow(tidy(align), "host string, page long, says array<int>")
+    once = said.groupBy("host", "page").agg(F.first("says").alias("says"))
+    counts = once.select("host", F.explode("says").alias("k")).groupBy("host", "k").agg(F.count(F.lit(1)).alias("n"))
+    of_host = materialize(counts.groupBy("host").agg(F.collect_list(F.struct("k", "n")).alias("c")))
+    return firsts.join(of_host, "host", "left").select("host", wrap("html", F.col("c.k"), F.col("c.n")).alias("wrapper"))
 
 
 @lru_cache(maxsize=4096)
@@ -633,14 +802,6 @@ def _wrapper(text: str | None) -> dict:
     return json.loads(text) if text else {}
 
 
-def _with_wrappers(keyed: DataFrame, wrappers: DataFrame, how: str) -> DataFrame:
-    """Join rows (host, html) with the wrappers of their hosts, by broadcast if the wrappers' text is small."""
-    if (wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).head()[0] or 0) <= BROADCAST_CHARS:
-        return keyed.join(F.broadcast(wrappers), "host", how)
-    dealt = wrappers.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    return keyed.withColumn("part", F.pmod(F.xxhash64("html"), F.lit(PARTS)).cast("int")).join(dealt, ["host", "part"], how).drop("part")
-
-
 def confirm_templates(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     """The wrappers without the template nodes that the whole host does not bear out.
 
@@ -663,8 +824,7 @@ def confirm_templates(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     doubtful = wrappers.where("wrapper like '%\"template\": [[%'")
-    sources = pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> '' and html <> ''")
-    held = _with_wrappers(sources, doubtful, "inner").select("host", F.xxhash64("html").alias("page"), places("html", "wrapper").alias("ks"))
+    held = _with_wrappers(_named_pages(pages), doubtful, "inner").select("host", F.xxhash64("html").alias("page"), places("html", "wrapper").alias("ks"))
     # -2**31 counts the page itself
     rows = held.select("host", "page", F.explode(F.concat("ks", F.array(F.lit(-(1 << 31))))).alias("k")).distinct()
     counts = materialize(rows.groupBy("host", "k").agg(F.count(F.lit(1)).alias("n")))

@@ -386,6 +386,55 @@ def test_whole_extraction_on_random_sites(spark):
     assert not wrong, (len(wrong), len(rows), wrong[0])
 
 
+def test_wrappers_are_counted_over_all_pages_of_the_host(spark):
+    rows, text = [], {}
+    for h in range(12):
+        for i in range(40):
+            words = " ".join(f"h{h}p{i}q{k}" for k in range(30))
+            # a notice on most pages, not by far on all; a second text on one in five
+            notice = "<div class=press>Printed by the daily press</div>" if (i * 7 + h) % 40 < 23 else ""
+            tail = f"<div class=tail><p>end {h} {i}</p></div>" if (i * 11 + h) % 40 < 8 else ""
+            url = f"http://h{h}.example.com/{i}"
+            rows.append((url, f"<body><div class=text>{notice}<p>{words}</p></div>{tail}</body>"))
+            text[url] = words + (f" end {h} {i}" if tail else "")
+    got = {r.url: r.text for r in ht.extract_text(spark.createDataFrame(rows, "url string, html string")).collect()}
+    wrong = [u for u in text if got[u] != text[u]]
+    assert not wrong, (len(wrong), wrong[0], got[wrong[0]])
+
+
+@pytest.mark.parametrize("broadcast", [ht.BROADCAST_CHARS, -1])
+def test_the_job_induces_from_all_pages(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(ht, "BROADCAST_CHARS", broadcast)
+    rng = random.Random(14)
+    rows = [row[:2] for h in range(8) for row in random_site(rng, f"h{h}.example.com", rng.randint(9, 30))]
+    rows += rows[:20] + [("http://h0.example.com/odd", "<p>odd"), ("http://h1.example.com/none", None), ("http://one.example.com/", "<p>one")]
+    # near copies of one page, of which the reference is one, among others
+    rows += [(f"http://c.example.com/{k}", page(1).replace("Head", f"Head{k}")) for k in range(12)] + [(f"http://c.example.com/o{k}", page(k)) for k in range(2, 6)]
+    pages = {}
+    for url, source in rows:
+        if source:
+            pages.setdefault(url.split("/")[2], []).append(ht.skeleton(source))
+    got = {r.host: json.loads(r.wrapper) for r in ht.induce_wrappers(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert got == {host: ht.induce(skeletons) for host, skeletons in pages.items()}
+
+
+def test_rows_of_siblings_are_compared_alike_in_both_ways(monkeypatch):
+    rng = random.Random(15)
+    for _ in range(300):
+        a, b = random_tree(rng, 20), random_tree(rng, 20)
+        monkeypatch.setattr(ht, "FEW_CELLS", 1 << 30)
+        one = ht.match_trees(a, b)
+        monkeypatch.setattr(ht, "FEW_CELLS", 0)
+        assert ht.match_trees(a, b) == one
+
+
+def test_what_varies_on_hardly_any_page_is_no_slot():
+    layout = "<body><div><p>{w}</p></div><section>{s}</section></body>"
+    sources = [layout.replace("{w}", " ".join(f"w{i}x{k}" for k in range(30))).replace("{s}", "The site" if i % 20 else f"The site {i}") for i in range(80)]
+    wrapper = ht.induce(map(ht.skeleton, sources))
+    assert not wrapper["also"] and len(wrapper["template"]) == 1
+
+
 def test_a_short_article_is_told_from_a_long_notice():
     notice = " ".join(f"n{k}" for k in range(14))
     sources = [f"<body><div>{notice}</div><div>" + " ".join(f"v{i}q{k}" for k in range(8)) + "</div></body>" for i in range(8)]
